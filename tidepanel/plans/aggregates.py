@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.frames import per_entity
 from ..operators import forecast as FC, grid as G, profile as R, seasonal as S, tails as A
 from ..sources import fixtures as X
-from .registry import boost_sql, geo_sql, query, rounded
+from .registry import OFF_TIE, boost_sql, geo_sql, query, rounded
 
 
 def _tail(agg: str, n: int, skip: int = 0) -> str:
@@ -19,9 +19,10 @@ def monthly_totals(spark, d):
     return rounded(R.monthly_totals(X.obs(spark, d)), 2)
 
 
-@query("monthly_profile", "SELECT t, round(sum(amount), 2) AS total, round(avg(amount), 3) AS mean_amount, count(*) AS n FROM obs GROUP BY t")
+@query("monthly_profile", f"SELECT t, round(sum(amount), 2) AS total, round(avg(amount) + {OFF_TIE}, 4) AS mean_amount, count(*) AS n FROM obs GROUP BY t")
 def monthly_profile(spark, d):
-    return rounded(R.monthly_profile(X.obs(spark, d)), 3, total=2)
+    rows = R.monthly_profile(X.obs(spark, d))
+    return rounded(rows.withColumn("mean_amount", F.col("mean_amount") + OFF_TIE), 4, total=2)
 
 
 @query("seasonal_profile", "SELECT CAST(t % 12 + 1 AS INTEGER) AS month_num, round(avg(amount), 3) AS mean_amount FROM panel GROUP BY 1")

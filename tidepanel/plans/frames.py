@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C, keys as K
 from ..operators import forecast as FC, grid as G, horizon as H, joins as J, lags as L, learn as ML, peers as P, seasonal as S, validation as V
 from ..sources import fixtures as X
-from .registry import boost_sql, geo_sql, query, rounded
+from .registry import OFF_TIE as _OFF_TIE, boost_sql, geo_sql, query, rounded
 
 _W = "OVER (PARTITION BY entity_id ORDER BY t)"
 
@@ -235,8 +235,6 @@ near AS (
   FROM entities a JOIN entities o ON o.n_nationkey = a.n_nationkey AND o.entity_id <> a.entity_id
   JOIN panel b ON b.entity_id = o.entity_id GROUP BY a.entity_id, b.t)
 """
-# a mean of cents over 4 or 8 peers can end on a rounding tie, so both sides shift it off
-_OFF_TIE = 1.2e-6
 _NEAR_COLS = f"round(n.m + {_OFF_TIE}, 4) AS amount_peer_mean, round(n.s, 2) AS amount_peer_sum, n.x AS amount_peer_max, round(n.sd, 3) AS amount_peer_std"
 
 
@@ -270,15 +268,15 @@ lt_near AS (SELECT a.entity_id, b.t, avg(b.transaction_amount) AS m, sum(b.trans
 
 @query(
     "feature_mart",
-    _STATIC + "," + _YEARLY + "," + _NEAR + "," + _MART_PEERS + """
+    _STATIC + "," + _YEARLY + "," + _NEAR + "," + _MART_PEERS + f"""
 SELECT p.entity_id, p.t, p.amount,
   coalesce(q.amount, -1.0) AS pht_mean, coalesce(q.amount, -1.0) AS pht_sum, coalesce(q.amount, -1.0) AS pht_max,
   coalesce(l.transaction_amount, -1.0) AS lt_mean, coalesce(l.transaction_amount, -1.0) AS lt_sum, coalesce(l.transaction_amount, -1.0) AS lt_max,
   s.s_acctbal, s.n_nationkey, s.r_regionkey, s.n_parts,
-  coalesce(round(n.m + 1.2e-6, 4), -1.0) AS nht_nearby_mean, coalesce(round(n.s, 2), -1.0) AS nht_nearby_sum,
+  coalesce(round(n.m + {_OFF_TIE}, 4), -1.0) AS nht_nearby_mean, coalesce(round(n.s, 2), -1.0) AS nht_nearby_sum,
   coalesce(n.x, -1.0) AS nht_nearby_max, coalesce(round(n.sd, 3), -1.0) AS nht_nearby_std,
-  coalesce(round(pn.m + 1.2e-6, 4), -1.0) AS pht_nearby_mean, coalesce(round(pn.s, 2), -1.0) AS pht_nearby_sum,
-  coalesce(round(ln2.m + 1.2e-6, 4), -1.0) AS lt_nearby_mean, coalesce(round(ln2.s, 2), -1.0) AS lt_nearby_sum,
+  coalesce(round(pn.m + {_OFF_TIE}, 4), -1.0) AS pht_nearby_mean, coalesce(round(pn.s, 2), -1.0) AS pht_nearby_sum,
+  coalesce(round(ln2.m + {_OFF_TIE}, 4), -1.0) AS lt_nearby_mean, coalesce(round(ln2.s, 2), -1.0) AS lt_nearby_sum,
   CAST(1995 + p.t // 12 AS INTEGER) AS year, coalesce(y.n_orders, -1) AS n_orders, coalesce(y.total, -1.0) AS total, coalesce(y.avg_price, -1.0) AS avg_price
 FROM panel p
 LEFT JOIN second_hand q ON q.entity_id = p.entity_id AND q.t = p.t
@@ -419,8 +417,8 @@ def rolling_min_current(spark, d):
 
 @query(
     "ewm_running",
-    "SELECT p.entity_id, p.t, p.amount, round(sum(h.amount * pow(5.0 / 7.0, p.t - 1 - h.t)) / sum(CASE WHEN h.t IS NOT NULL THEN pow(5.0 / 7.0, p.t - 1 - h.t) END), 4) AS ewm_6 "
-    "FROM panel p LEFT JOIN panel h ON h.entity_id = p.entity_id AND h.t < p.t GROUP BY p.entity_id, p.t, p.amount",
+    "SELECT entity_id, t, amount, round(sum(amount * pow(1.4, t)) OVER before / sum(pow(1.4, t)) OVER before, 4) AS ewm_6 FROM panel "
+    "WINDOW before AS (PARTITION BY entity_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
 )
 def ewm_running(spark, d):
     return rounded(L.ewm_running(X.panel(spark, d), 6))
