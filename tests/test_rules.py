@@ -122,7 +122,7 @@ def test_peers_match_pairs(spark, panel):
     p = p.withColumn("g", F.when(F.col("entity_id") < 8, 0).when(F.col("entity_id") < 11, 1).otherwise(2))
     p = p.withColumn("amount", F.when((F.col("entity_id") == 3) & (F.col("t") == 2), F.lit(None)).otherwise(F.col("amount")))
     pdf = p.toPandas()
-    for r in P.peer_stats(p, "g", ["amount"], ("mean", "sum", "max", "std", "count")).collect():
+    for r in P.peer_stats(p, "g", {"amount": (*P.STATS, "count")}).collect():
         others = pdf[(pdf.g == r["g"]) & (pdf.t == r["t"]) & (pdf.entity_id != r["entity_id"])]["amount"].dropna()
         assert r["amount_peer_count"] == len(others)
         if len(others) == 0:
@@ -139,7 +139,7 @@ def test_peers_match_pairs(spark, panel):
 
 def test_peer_std_of_equal_peers_is_zero(panel):
     p = panel({1: [0.0], 2: [0.0], 3: [123456.78], 4: [0.0]}).withColumn("g", F.lit(1))
-    row = one(P.peer_stats(p, "g", ["amount"]).where("entity_id = 3"))
+    row = one(P.peer_stats(p, "g", {"amount": P.STATS}).where("entity_id = 3"))
     assert row["amount_peer_std"] == 0.0 and row["amount_peer_max"] == 0.0
 
 

@@ -8,7 +8,7 @@ from ..session import staged
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probs: dict[str, float], by: list[str] | None = None, accuracy: int = 10_000
+    df: DataFrame, value: str, probs: dict[str, float], by: list[str] | None = None, accuracy: int = 10_000, stage: bool = True
 ) -> DataFrame:
     """Linearly interpolated quantiles per group: one column per entry of ``probs``.
 
@@ -16,10 +16,14 @@ def exact_quantiles(
     which fails when a group is a whole table. Here a bounded sketch brackets each
     quantile, a second pass counts the rows below the bracket and the values
     inside it, and only those values are ranked: ``5 / accuracy`` of a large
-    group, or all of a group of at most ``10 * accuracy`` rows.
+    group, or all of a group of at most ``10 * accuracy`` rows. The values are read
+    twice, so they are staged first; ``stage=False`` suits a frame that is cheap to
+    read again, such as a file or a staged table.
     """
     by = list(by or [])
     source = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    if stage:
+        source = staged(source, "quantile-values")
     names = list(probs)
     slack = 2.0 / accuracy
     lows = [max(probs[n] - slack, 0.0) for n in names]

@@ -95,8 +95,9 @@ def continuity(obs: DataFrame, horizon_start: int) -> DataFrame:
     )
 
 
-def latest(df: DataFrame) -> DataFrame:
-    return df.where(F.col("t") == df.agg(F.max("t")).scalar())
+def latest(df: DataFrame, t_max: int | None = None) -> DataFrame:
+    """Rows of the newest period, which is looked up unless it is given."""
+    return df.where(F.col("t") == (df.agg(F.max("t")).scalar() if t_max is None else F.lit(t_max)))
 
 
 def force_zero(df: DataFrame, ids: list[int], value: str = "forecast") -> DataFrame:

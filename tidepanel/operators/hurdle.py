@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import tails as A
 from . import validation as V
 from ..functions import keys as K
+from ..session import staged
 from ..functions.frames import trailing, whole_entity
 from .forecast import forecast_seasonal
 from .horizon import blend_masked
@@ -33,7 +34,7 @@ def hurdle_forecast(panel: DataFrame, last: int = 66, steps: int = 12, holdout:
     panel, because present rows hold no zeros.
     """
     known = panel.where(F.col("t") <= last)
-    matrix = filled_matrix(known).persist()
+    matrix = staged(filled_matrix(known), "matrix")
     train = matrix.where(F.col("t") <= last - holdout)
     valid = matrix.where(F.col("t") > last - holdout)
     zero = fit_zero_classifier(train, FEATURES, **(classifier or {}))

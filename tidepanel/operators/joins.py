@@ -8,7 +8,7 @@ from ..functions import keys as K
 from ..functions.frames import per_entity
 from . import tails as A
 from .grid import grid
-from .peers import peer_stats
+from .peers import STATS, peer_stats
 
 
 def join_static(df: DataFrame, static: DataFrame) -> DataFrame:
@@ -60,12 +60,10 @@ def build_mart(
         .drop("_on_grid")
     )
     frame = join_static(frame, static)
-    frame = peer_stats(frame, group, ["amount"])
-    own = frame.columns
-    frame = peer_stats(frame, group, ["pht_sum", "lt_sum"], ("mean", "sum"))
-    names = {f"amount_peer_{s}": f"nht_nearby_{s}" for s in ("mean", "sum", "max", "std")}
+    frame = peer_stats(frame, group, {"amount": STATS, "pht_sum": ("mean", "sum"), "lt_sum": ("mean", "sum")})
+    names = {f"amount_peer_{s}": f"nht_nearby_{s}" for s in STATS}
     names |= {f"{v}_sum_peer_{s}": f"{v}_nearby_{s}" for v in ("pht", "lt") for s in ("mean", "sum")}
-    frame = frame.select(*own, *[f"{v}_sum_peer_{s}" for v in ("pht", "lt") for s in ("mean", "sum")]).withColumnsRenamed(names)
+    frame = frame.withColumnsRenamed(names)
     return join_yearly(frame, yearly, base_year).fillna(sentinel)
 
 

@@ -118,9 +118,9 @@ def features_at(hist: DataFrame, at: int, entities: DataFrame, ks=LAGS, windows=
     return lag_features(both, ks, windows).where(F.col("t") == at).drop("amount")
 
 
-def advanced_features(df: DataFrame, ks=LAGS, windows=WINDOWS) -> DataFrame:
+def advanced_features(df: DataFrame, ks=LAGS, windows=WINDOWS, t_max: int | None = None) -> DataFrame:
     """Lag frame plus calendar waves, progress, lag ratios, zero flags and lag spread."""
-    progress = df.agg(F.max("t")).scalar()
+    progress = df.agg(F.max("t")).scalar() if t_max is None else F.lit(t_max)
     out = lag_features(df, ks, windows)
     out = K.fourier(out, [12]).withColumn("year_progress", F.col("t") / progress)
     out = C.zero_flags(C.lag_ratio(out))

@@ -14,6 +14,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import keys as K
+from ..session import staged
 from . import validation as V
 from .lags import LAGS, WINDOWS, label_next, lag_feature_names, lag_features
 
@@ -193,7 +194,7 @@ def cross_validate(matrix: DataFrame, fit, folds=V.FOLDS, parallelism: int = 4)
 def search(matrix: DataFrame, cols: list[str], candidates: list[dict], folds=V.FOLDS, fit=fit_gbt, parallelism: int = 4) -> DataFrame:
     """Mean and deviation of the fold scores for every candidate, with its parameters as columns.
 
-    ``matrix`` should be persisted; every fit reads it.
+    ``matrix`` should be staged or persisted; every fit reads it.
     """
 
     def one(job: tuple[int, dict]) -> DataFrame:
@@ -237,7 +238,7 @@ def direct_forecast(panel: DataFrame, last: int = 66, steps: int = 12, first: in
     frame = label_next(frame.withColumn("now", F.col("amount")).withColumn("month_num", K.month_of("t")))
     frame = K.fourier(frame, [12, 6, 3]).fillna(-2.0, subset=lag_feature_names())
     cols = ["now", *FEATURES, *[f"{f}_{p}" for p in (12, 6, 3) for f in ("sin", "cos")]]
-    frame = frame.persist()
+    frame = staged(frame, "direct")
     known = frame.where((F.col("t") > first) & (F.col("t") <= last - 1))
     marked = known.withColumn("is_valid", F.col("t") == last - 1)
     fitted = fit_gbt(marked, cols, y="label", validation="is_valid", **params)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.quantiles import exact_quantiles
+from ..session import staged
 
 
 def ape(y: str = "y", p: str = "p", floor: float = 1e-12) -> Column:
@@ -80,13 +81,13 @@ def regression_report(df: DataFrame, by: tuple[str, ...] = (), y: str = "y", p:
 
 
 def ape_profile(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
-    errors = df.select(ape(y, p).alias("ape"))
+    errors = staged(df.select(ape(y, p).alias("ape")), "errors")
     shares = errors.agg(
         F.avg("ape").alias("mean_ape"),
         F.avg((F.col("ape") < 1).cast("double")).alias("share_below_1"),
         F.avg((F.col("ape") >= 1).cast("double")).alias("share_from_1"),
     )
-    median = exact_quantiles(errors, "ape", {"median_ape": 0.5}).scalar()
+    median = exact_quantiles(errors, "ape", {"median_ape": 0.5}, stage=False).scalar()
     return shares.withColumn("median_ape", median)
 
 

@@ -11,13 +11,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import staged
 
 
-def peer_stats(panel: DataFrame, group: str, values: list[str], stats: tuple[str, ...] = ("mean", "sum", "max", "std")) -> DataFrame:
+STATS = ("mean", "sum", "max", "std")
+
+
+def peer_stats(panel: DataFrame, group: str, wanted: dict[str, tuple[str, ...]]) -> DataFrame:
     """``panel`` plus ``<value>_peer_<stat>`` over the other rows of the same group and period.
 
+    ``wanted`` names the statistics (``mean sum max std count``) per value column.
+
     A null value counts as an absent row. Without any other row the result is null,
     and ``std`` needs two. ``panel`` must be unique per ``(entity_id, t)``.
     """
     panel = staged(panel, "peers-panel")
+    values, topped = list(wanted), [v for v, stats in wanted.items() if "max" in stats]
     keys = [group, "t"]
     first = panel.groupBy(*keys).agg(
         *[
@@ -28,21 +34,22 @@ def peer_stats(panel: DataFrame, group: str, values: list[str], stats: tuple[str
                 F.sum(v).alias(f"_s_{v}"),
                 F.avg(v).alias(f"_m_{v}"),
                 (F.var_pop(v) * F.count(v)).alias(f"_q_{v}"),
-                F.max(F.when(F.col(v).isNotNull(), F.struct(F.col(v).alias("x"), F.col("entity_id").alias("who")))).alias(f"_top_{v}"),
+                F.max(v).alias(f"_top_{v}"),
+                F.max_by("entity_id", v).alias(f"_who_{v}"),
             )
         ]
     )
-    if "max" in stats:
+    if topped:
         first = staged(first, "peers-first")
-        leaders = first.select(*keys, *[F.col(f"_top_{v}.who").alias(f"_who_{v}") for v in values])
+        leaders = first.select(*keys, *[f"_who_{v}" for v in topped])
         second = (
             panel.join(leaders, keys)
             .groupBy(*keys)
-            .agg(*[F.max(F.when(F.col("entity_id") != F.col(f"_who_{v}"), F.col(v))).alias(f"_second_{v}") for v in values])
+            .agg(*[F.max(F.when(F.col("entity_id") != F.col(f"_who_{v}"), F.col(v))).alias(f"_second_{v}") for v in topped])
         )
         first = first.join(second, keys)
     joined = panel.join(staged(first, "peers-stats"), keys, "left")
-    out = {f"{v}_peer_{s}": _without_self(v, s) for v in values for s in stats}
+    out = {f"{v}_peer_{s}": _without_self(v, s) for v, stats in wanted.items() for s in stats}
     return joined.select(*panel.columns, *[c.alias(name) for name, c in out.items()])
 
 
@@ -58,8 +65,8 @@ def _without_self(v: str, stat: str) -> Column:
     if stat == "mean":
         return F.when(n > 0, total / n)
     if stat == "max":
-        mine = F.col(f"_top_{v}.who") == F.col("entity_id")
-        return F.when(n > 0, F.when(here & mine, F.col(f"_second_{v}")).otherwise(F.col(f"_top_{v}.x")))
+        mine = F.col(f"_who_{v}") == F.col("entity_id")
+        return F.when(n > 0, F.when(here & mine, F.col(f"_second_{v}")).otherwise(F.col(f"_top_{v}")))
     # taking one value out of a sum of squared deviations from the group mean
     removed = F.when(here, F.pow(own - F.col(f"_m_{v}"), 2) * F.col(f"_n_{v}") / n).otherwise(F.lit(0.0))
     rest = F.col(f"_q_{v}") - removed

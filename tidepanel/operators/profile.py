@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.frames import per_entity
 from ..functions.quantiles import exact_quantiles
+from ..session import staged
 
 
 def monthly_totals(obs: DataFrame) -> DataFrame:
@@ -42,15 +43,17 @@ def zero_profile(panel: DataFrame, last: int = 66, recent: int = 12) -> DataFram
         F.sum(zero).alias("_z"),
         F.count(F.lit(1)).alias("_n"),
     )
+    per = staged(per, "zero-rates")
     overall = per.agg(F.sum("_z") / F.sum("_n")).scalar()
     return per.drop("_z", "_n").withColumn("panel_zero_rate", overall)
 
 
 def describe(df: DataFrame, col: str) -> DataFrame:
+    df = staged(df.select(col), "describe")
     moments = df.agg(
         F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).alias("min"), F.max(col).alias("max")
     )
-    quartiles = exact_quantiles(df, col, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    quartiles = exact_quantiles(df, col, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, stage=False)
     packed = quartiles.select(F.struct("q25", "q50", "q75")).scalar()
     return moments.withColumn("_q", packed).select("n", "mean", "std", "min", "_q.q25", "_q.q50", "_q.q75", "max")
 
@@ -76,7 +79,7 @@ def missing_rate(df: DataFrame, top: int = 20) -> DataFrame:
 
 def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     """Equal-width bins between min and max; the last bin is closed; empty bins are kept."""
-    x = F.col(col).cast("double")
+    df, x = staged(df.select(col), "histogram"), F.col(col).cast("double")
     bounds = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
     rows = df.select(x.alias("_x"), bounds.alias("_b")).where(F.col("_x").isNotNull())
     position = F.floor(F.try_divide((F.col("_x") - F.col("_b.lo")) * bins, F.col("_b.hi") - F.col("_b.lo")))
@@ -97,6 +100,7 @@ def column_max(df: DataFrame) -> DataFrame:
 
 
 def forecast_summary(df: DataFrame, value: str = "forecast") -> DataFrame:
+    df = staged(df.select(value), "forecasts")
     row = df.agg(
         F.count(value).alias("n"),
         F.avg(value).alias("mean"),
@@ -105,7 +109,7 @@ def forecast_summary(df: DataFrame, value: str = "forecast") -> DataFrame:
         F.stddev_samp(value).alias("std"),
         F.max(value).alias("max"),
     )
-    return row.withColumn("median", exact_quantiles(df, value, {"median": 0.5}).scalar())
+    return row.withColumn("median", exact_quantiles(df, value, {"median": 0.5}, stage=False).scalar())
 
 
 def value_summary(df: DataFrame, col: str) -> DataFrame:

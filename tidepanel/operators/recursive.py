@@ -39,7 +39,7 @@ def array_features(hist: str = "hist", ks=LAGS, windows=WINDOWS) -> dict[str, Co
 
 def recursive_forecast(
     fitted, state: DataFrame, last: int, steps: int = 12, impute: dict[str, float] | float = 0.0,
-    guard: str | None = None, damp: str | None = None, damp_factor: float = 0.5, checkpoint_every: int = 4,
+    guard: str | None = None, damp: str | None = None, damp_factor: float = 0.5, checkpoint_every: int = 6,
 ) -> DataFrame:
     """Features, fill, predict, clip at 0, guard, damp and append, once per future period.
 
@@ -48,10 +48,11 @@ def recursive_forecast(
     """
     depth = max(*LAGS, *WINDOWS)
     extra = [c for c in (guard, damp) if c]
+    features = array_features()
     current = state.select("entity_id", "hist", F.array().cast("array<double>").alias("out"), *extra)
     for step in range(1, steps + 1):
         month = (last + step) % 12 + 1
-        framed = current.withColumns(array_features()).withColumn("month_num", F.lit(month))
+        framed = current.withColumns({**features, "month_num": F.lit(month)})
         predicted = fitted.predict(framed.fillna(impute, subset=None if isinstance(impute, dict) else fitted.cols), "_p")
         value = F.greatest(F.col("_p"), F.lit(0.0))
         if damp:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import clip
 from ..functions.frames import per_entity, whole_entity
+from ..session import staged
 from .tails import PEAK, SEASON, december_boost
 
 
@@ -19,6 +20,7 @@ def december_multiplier(panel: DataFrame, last: int = 66, eps: float = 1e-9, min
         F.avg(F.when(~top, F.col("amount"))).alias("_rest"),
         F.count(F.when(top, F.col("amount"))).alias("_n"),
     )
+    per = staged(per, "multipliers")
     overall = per.agg(F.avg("_high") / (F.avg("_rest") + eps)).scalar()
     raw = F.when(F.col("_n") >= min_obs, F.col("_high") / (F.col("_rest") + eps)).otherwise(overall)
     return per.select("entity_id", clip(F.coalesce(raw, F.lit(1.0)), lo, hi).alias("multiplier"))

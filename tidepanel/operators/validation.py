@@ -54,14 +54,16 @@ def ts_folds(df: DataFrame, n_splits: int = 4, test_size: int = 12) -> DataFrame
     )
 
 
-def holdout(df: DataFrame, size: int = 12) -> DataFrame:
-    newest = df.agg(F.max("t")).scalar()
+def holdout(df: DataFrame, size: int = 12, t_max: int | None = None) -> DataFrame:
+    """Roles by distance from the newest period, which is looked up unless it is given."""
+    newest = df.agg(F.max("t")).scalar() if t_max is None else F.lit(t_max)
     return df.withColumn("role", F.when(F.col("t") > newest - size, "valid").otherwise("train"))
 
 
 def cv_geo_pairs(panel: DataFrame, folds=FOLDS, lookback: int = 6, guard: int = 6) -> DataFrame:
     """Out-of-fold ``(fold, entity_id, t, y, p)`` of the geometric-mean forecast."""
-    rows = assign_folds(panel, folds, history=max(lookback, guard))
+    # placed by entity before rows are copied per fold; (fold, entity) then needs no shuffle
+    rows = assign_folds(panel.repartition("entity_id"), folds, history=max(lookback, guard))
     valid = F.when(F.col("role") == "valid", F.struct("t", "amount"))
     per = rows.groupBy("fold", "entity_id").agg(
         A.geo_mean_guard(lookback, guard, F.col("train_hi")).alias("p"),

@@ -25,9 +25,10 @@ def monthly_profile(spark, d):
     return rounded(rows.withColumn("mean_amount", F.col("mean_amount") + OFF_TIE), 4, total=2)
 
 
-@query("seasonal_profile", "SELECT CAST(t % 12 + 1 AS INTEGER) AS month_num, round(avg(amount), 3) AS mean_amount FROM panel GROUP BY 1")
+@query("seasonal_profile", f"SELECT CAST(t % 12 + 1 AS INTEGER) AS month_num, round(avg(amount) + {OFF_TIE}, 4) AS mean_amount FROM panel GROUP BY 1")
 def seasonal_profile(spark, d):
-    return rounded(S.seasonal_profile(X.panel(spark, d)), 3)
+    rows = S.seasonal_profile(X.panel(spark, d))
+    return rounded(rows.withColumn("mean_amount", F.col("mean_amount") + OFF_TIE))
 
 
 @query(

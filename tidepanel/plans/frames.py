@@ -241,7 +241,7 @@ _NEAR_COLS = f"round(n.m + {_OFF_TIE}, 4) AS amount_peer_mean, round(n.s, 2) AS
 @query("nearby_agg", _NEAR + f"SELECT p.entity_id, p.t, {_NEAR_COLS} FROM panel p LEFT JOIN near n ON n.entity_id = p.entity_id AND n.t = p.t")
 def nearby_agg(spark, d):
     members = X.panel(spark, d).join(X.nation_of(spark, d), "entity_id")
-    rows = P.peer_stats(members, "n_nationkey", ["amount"]).drop("n_nationkey", "amount")
+    rows = P.peer_stats(members, "n_nationkey", {"amount": P.STATS}).drop("n_nationkey", "amount")
     rows = rows.withColumn("amount_peer_mean", F.col("amount_peer_mean") + _OFF_TIE)
     return rounded(rows, 3, amount_peer_sum=2, amount_peer_mean=4)
 
@@ -253,7 +253,7 @@ def nearby_agg(spark, d):
 )
 def join_nearby(spark, d):
     members = X.panel(spark, d).join(X.nation_of(spark, d), "entity_id")
-    panel = P.peer_stats(members, "n_nationkey", ["amount"]).drop("n_nationkey")
+    panel = P.peer_stats(members, "n_nationkey", {"amount": P.STATS}).drop("n_nationkey")
     side = P.nearby_agg(X.second_hand(spark, d), "amount", ("sum",), "second_hand")
     panel = panel.withColumn("amount_peer_mean", F.col("amount_peer_mean") + _OFF_TIE)
     return rounded(J.join_nearby(panel, side), 3, amount=2, amount_peer_sum=2, second_hand_sum=2, amount_peer_mean=4)
@@ -465,7 +465,7 @@ def lag_feature_frame(spark, d):
     "round(s, 4) AS lag_std, round(s / (m + 1), 4) AS lag_cv FROM framed f JOIN stats ON stats.entity_id = f.entity_id AND stats.t = f.t",
 )
 def advanced_features(spark, d):
-    return rounded(L.advanced_features(X.panel(spark, d)))
+    return rounded(L.advanced_features(X.panel(spark, d), t_max=X.END))
 
 
 # ---- sets and layouts ----

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import grid as G, hurdle, learn as ML, recursive as RC, validation as V
+from ..session import staged
 from ..sources import fixtures as X
 from .registry import query, rounded
 
@@ -12,7 +13,7 @@ _TREES = {"maxDepth": 4, "maxIter": 10}
 
 
 def _matrix(spark, d) -> DataFrame:
-    return ML.filled_matrix(X.panel(spark, d, X.LAST)).persist()
+    return staged(ML.filled_matrix(X.panel(spark, d, X.LAST)), "matrix")
 
 
 def _forecast(spark, d, fitted) -> DataFrame:
