@@ -8,7 +8,7 @@ from ..session import staged
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probs: dict[str, float], by: list[str] | None = None, accuracy: int = 10_000, stage: bool = True
+    df: DataFrame, value: str, probs: dict[str, float], by: list[str] | None = None, accuracy: int = 10_000, stage: bool = True, limit: int = 1_000_000
 ) -> DataFrame:
     """Linearly interpolated quantiles per group: one column per entry of ``probs``.
 
@@ -18,7 +18,8 @@ def exact_quantiles(
     inside it, and only those values are ranked: ``5 / accuracy`` of a large
     group, or all of a group of at most ``10 * accuracy`` rows. The values are read
     twice, so they are staged first; ``stage=False`` suits a frame that is cheap to
-    read again, such as a file or a staged table.
+    read again, such as a file or a staged table. More than ``limit`` candidates are
+    ranked in parts, so that no task sorts them all.
     """
     by = list(by or [])
     source = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
@@ -60,8 +61,9 @@ def exact_quantiles(
         .groupBy(*by, "_n", F.col("_h.i").alias("_i"), F.col("_h.v").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    running = Window.partitionBy(*by, "_i").orderBy(F.col("_v").asc_nulls_first())
-    ranked = counted.withColumn("_cum", F.sum("_c").over(running.rowsBetween(Window.unboundedPreceding, 0)))
+    counted = staged(counted, "quantile-candidates")
+    widest = counted.groupBy(*by, "_i").agg(F.count(F.lit(1)).alias("_k")).agg(F.max("_k")).first()[0]
+    ranked = _ranked(counted, [*by, "_i"]) if (widest or 0) <= limit else _ranked_in_parts(counted, [*by, "_i"])
     columns = []
     for i, name in enumerate(names):
         position = F.lit(probs[name]) * (F.col("_n") - 1)
@@ -71,3 +73,23 @@ def exact_quantiles(
         fraction = F.max(position - F.floor(position))
         columns.append((left + (right - left) * fraction).alias(name))
     return ranked.groupBy(*by).agg(*columns)
+
+
+def _ranked(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """Running row count up to each candidate value."""
+    upto = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    return counted.withColumn("_cum", F.sum("_c").over(upto))
+
+
+def _ranked_in_parts(counted: DataFrame, keys: list[str], parts: int = 256) -> DataFrame:
+    """``_ranked`` by value ranges of about equal size: range totals first, then each range alone."""
+    points = [k / parts for k in range(1, parts)]
+    splits = counted.where(F.col("_v").isNotNull()).groupBy(*keys).agg(F.percentile_approx("_v", points, 10_000).alias("_p"))
+    # a part is the number of split points below the value, so parts are in value order
+    part = F.when(F.col("_v").isNull(), F.lit(-1)).otherwise(F.size(F.filter("_p", lambda p: p < F.col("_v"))))
+    placed = counted.join(staged(splits, "quantile-splits"), keys, "left").withColumn("_part", part).drop("_p")
+    totals = placed.groupBy(*keys, "_part").agg(F.sum("_c").alias("_t"))
+    upto = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    before = totals.withColumn("_before", F.sum("_t").over(upto) - F.col("_t")).drop("_t")
+    ranked = _ranked(placed, [*keys, "_part"]).join(staged(before, "quantile-parts"), [*keys, "_part"])
+    return ranked.withColumn("_cum", F.col("_cum") + F.col("_before")).drop("_part", "_before")

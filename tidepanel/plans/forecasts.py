@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.frames import per_entity
@@ -419,15 +420,18 @@ def grid_blend_weights(spark, d):
     return rounded(V.grid_blend_weights(_blend_pairs(spark, d), ("geo", "mean6", "med12"), "pz"), 6)
 
 
-@query("custom_forecaster")
+@query(
+    "custom_forecaster",
+    "per AS (SELECT entity_id, avg(CASE WHEN t > 54 THEN amount END) AS level, "
+    "(avg(CASE WHEN t > 60 THEN amount END) - avg(CASE WHEN t > 54 AND t <= 60 THEN amount END)) / 6 AS slope FROM train GROUP BY entity_id) "
+    "SELECT entity_id, t, round(greatest(level + slope * (t - 66), 0.0), 4) AS forecast FROM per CROSS JOIN ahead",
+)
 def custom_forecaster(spark, d):
-    def drift(rows):
-        known = rows[rows["t"] <= X.LAST]
-        level = known["amount"].tail(12).mean()
-        slope = (known["amount"].tail(6).mean() - known["amount"].tail(12).head(6).mean()) / 6
+    def drift(rows: pd.DataFrame) -> pd.DataFrame:
+        known = rows.loc[rows["t"] <= X.LAST, "amount"].tail(12)
+        slope = (known.tail(6).mean() - known.head(6).mean()) / 6
         steps = range(1, X.STEPS + 1)
-        import pandas as pd
-
-        return pd.DataFrame({"entity_id": int(rows["entity_id"].iloc[0]), "t": [X.LAST + s for s in steps], "forecast": [max(level + slope * s, 0.0) for s in steps]})
+        values = [max(known.mean() + slope * s, 0.0) for s in steps]
+        return pd.DataFrame({"entity_id": int(rows["entity_id"].iloc[0]), "t": [X.LAST + s for s in steps], "forecast": values})
 
     return rounded(custom.custom_forecaster(X.panel(spark, d, X.LAST), drift))

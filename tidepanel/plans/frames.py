@@ -111,7 +111,7 @@ def row_lag_stats(spark, d):
     return rounded(rows.select("entity_id", "t", "lag_std", "lag_cv"))
 
 
-@query("compact_types")
+@query("compact_types", "SELECT entity_id, t, CAST(num AS TINYINT) AS num, CAST(amount AS FLOAT) AS amount FROM obs")
 def compact_types(spark, d):
     rows = X.obs(spark, d).select("entity_id", "t", "num", "amount", F.lit(0).alias("nothing"))
     return C.cast_floats(C.compact_types(rows))
