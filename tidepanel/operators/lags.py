@@ -7,7 +7,7 @@ present rows it is the previous row the entity has.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import columns as C, keys as K
 from ..functions.frames import full_window, in_time, trailing
@@ -76,8 +76,8 @@ def ewm_running(df: DataFrame, span: int = 6, value: str = "amount") -> DataFram
     ``700 / -ln(1 - alpha)`` rows (2,080 for span 6) before weights underflow.
     """
     keep = 1.0 - 2.0 / (span + 1)
-    whole = in_time().rowsBetween(-(2**31), 2**31 - 1)
-    before = in_time().rowsBetween(-(2**31), -1)
+    whole = in_time().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = in_time().rowsBetween(Window.unboundedPreceding, -1)
     position = F.row_number().over(in_time())
     newest = F.count(F.lit(1)).over(whole)
     weighted = df.withColumn("_w", F.pow(F.lit(keep), newest - position))
