@@ -417,11 +417,12 @@ def rolling_min_current(spark, d):
 
 @query(
     "ewm_running",
-    "SELECT entity_id, t, amount, round(sum(amount * pow(1.4, t)) OVER before / sum(pow(1.4, t)) OVER before, 4) AS ewm_6 FROM panel "
+    f"SELECT entity_id, t, amount, round(sum(amount * pow(1.4, t)) OVER before / sum(pow(1.4, t)) OVER before + {_OFF_TIE}, 4) AS ewm_6 FROM panel "
     "WINDOW before AS (PARTITION BY entity_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
 )
 def ewm_running(spark, d):
-    return rounded(L.ewm_running(X.panel(spark, d), 6))
+    rows = L.ewm_running(X.panel(spark, d), 6)
+    return rounded(rows.withColumn("ewm_6", F.col("ewm_6") + _OFF_TIE), amount=2)
 
 
 @query(
