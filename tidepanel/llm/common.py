@@ -115,6 +115,16 @@ def map_batches(df: DataFrame, work, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+#: Rows up to which a written table is broadcast; beyond, the join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame, name: str = "side") -> DataFrame:
+    """Write a table of a few numbers a row; broadcast it if it has at most ``BROADCAST_ROWS`` rows."""
+    df = staged(df, name)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``(a, b)`` edges: ``(id, component)``, the component being its smallest id.
 

@@ -5,9 +5,9 @@ Two sets that are similar enough differ in at most ``H`` members; with ``F = H +
 one fragment is the same in both. ``H`` depends on the sizes, so sizes fall into classes, and each document is cut
 once for its own class and once for the class below.
 
-1. Each document gives a key for each of its fragments. Documents with a common key form a star around the smallest
-   id of the key, first inside a batch (so a key sends one row a batch), then across the table. No pairs are made.
-2. The components of the stars are families: no similar pair lies across two families.
+1. Each document gives a key for each of its fragments. Documents of a batch that share keys, directly or through others, are joined there to the
+   smallest of them, and each key sends that one on; across the table a key's documents form a star around the smallest. No pairs are made.
+2. The components of these links are families: no similar pair lies across two families.
 3. A family's distinct sets are dealt into blocks, and every two blocks meet in one task. There the overlaps are counted
    fragment by fragment with one matrix product for each, and summed per pair. The task emits links, not pairs: a spanning forest
    of its similar pairs and the number of links of each document.
@@ -23,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidepanel.llm.common import components, map_batches, mix64, powers, signed, slices, word_hashes
+from tidepanel.llm.common import components, map_batches, mix64, powers, signed, slices, small_side, word_hashes
 from tidepanel.session import staged
 
 BLOCK = 1024
@@ -106,25 +106,33 @@ def _keys(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 def _stars(keyed: DataFrame) -> DataFrame:
     """Star edges ``(a, b)`` between documents with a common key."""
-    def lead(batch):
+    def local(batch):
+        """Keys of a batch in order, the place where each begins, the document of each row, and each document's batch-wide label."""
         lists = batch.column("keys")
         keys = lists.flatten().to_numpy(zero_copy_only=False)
-        ids = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))
-        order = np.lexsort((ids, keys))
-        keys, ids = keys[order], ids[order]
-        heads = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
-        return keys, ids, heads
+        docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.argsort(np.argsort(docs, kind="stable"), kind="stable"), np.diff(lists.offsets.to_numpy()))
+        order = np.argsort(keys, kind="stable")
+        keys, owner = keys[order], owner[order]
+        begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        runs = np.diff(np.append(begins, len(keys)))
+        label = np.arange(len(docs))
+        while True:
+            least = np.repeat(np.minimum.reduceat(label[owner], begins), runs)
+            new = label.copy()
+            np.minimum.at(new, owner, least)
+            if (new == label).all():
+                return keys[begins], np.sort(docs), label[owner[begins]], label
+            label = new
 
     def heads_of(batch):
-        keys, ids, heads = lead(batch)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[heads]), pa.array(ids[heads])], ["key", "id"])
+        keys, docs, at, _ = local(batch)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(docs[at])], ["key", "id"])
 
     def inner(batch):
-        keys, ids, heads = lead(batch)
-        if len(keys):
-            leader = ids[heads][np.cumsum(heads) - 1]
-            pairs = np.unique(np.stack([leader, ids])[:, leader != ids], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        _, docs, _, label = local(batch)
+        moved = docs[label] != docs
+        yield pa.RecordBatch.from_arrays([pa.array(docs[label][moved]), pa.array(docs[moved])], ["a", "b"])
 
     rows = keyed.where("doc_id is not null and n > 0").select("doc_id", "keys")
     heads = map_batches(rows, heads_of, "key long, id long")
@@ -224,7 +232,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text
                 ["family", "n", "sig1", "doc_id", "copies", "blocks", "block", "own", "grams"],
             )
 
-    loaded = map_batches(rows.join(todo, "doc_id").select("family", "n", "sig1", "doc_id", "copies", "blocks", "block", "text"), load, "family long, n long, sig1 long, doc_id long, copies long, blocks int, block int, own long, grams binary")
+    loaded = map_batches(rows.join(small_side(todo), "doc_id").select("family", "n", "sig1", "doc_id", "copies", "blocks", "block", "text"), load, "family long, n long, sig1 long, doc_id long, copies long, blocks int, block int, own long, grams binary")
     loaded = loaded.where("own = sig1")
     met = loaded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("family", "doc_id", "copies", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "grams")

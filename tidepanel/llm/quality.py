@@ -71,13 +71,13 @@ def host_rates(ruled: DataFrame, host: str = "source") -> DataFrame:
     )
     counts = staged(counts, "hosts")
     total = counts.agg(F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("hosts"), *(F.sum(f"f_{r}").alias(f"all_{r}") for r in RULES))
-    rates = counts.withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one").drop("one")
+    rates = counts.withColumn("of", total.select(F.struct("*")).scalar()).select(*counts.columns, "of.*")
     for r in RULES:
         rates = rates.withColumn(f"m_{r}", F.col(f"all_{r}") / F.col("all_n")).withColumn(
             f"d_{r}", F.col("n") * F.pow(F.col(f"f_{r}") / F.col("n") - F.col(f"m_{r}"), 2)
         )
     spread = rates.agg(*(F.sum(f"d_{r}").alias(f"sum_{r}") for r in RULES))
-    rates = rates.withColumn("one", F.lit(1)).join(spread.withColumn("one", F.lit(1)), "one").drop("one")
+    rates = rates.withColumn("of", spread.select(F.struct("*")).scalar()).select(*rates.columns, "of.*")
     for r in RULES:
         chance = F.col(f"m_{r}") * (1 - F.col(f"m_{r}"))
         between = (F.col(f"sum_{r}") - F.col("hosts") * chance) / F.col("all_n")

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidepanel.llm.common import documents
+from tidepanel.llm.lines import line_report
 from tidepanel.llm.ngram import ngram_join
+from tidepanel.llm.packing import pack
+from tidepanel.llm.pii import pii_report
 from tidepanel.llm.quality import quality_rules
 from tidepanel.llm.twins import ORACLES  # noqa: F401
 
@@ -31,3 +34,19 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join(documents(spark, folder), n=3, percent=90)
+
+
+@query
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(documents(spark, folder))
+
+
+@query
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii_report(documents(spark, folder))
+
+
+@query
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = line_report(documents(spark, folder))
+    return found.withColumn("dropped", F.array_join(F.col("dropped").cast("array<string>"), ","))

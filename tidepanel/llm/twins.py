@@ -64,10 +64,10 @@ shingled AS (
          ELSE list_distinct([array_to_string(w[i:i + {n} - 1], ' ') FOR i IN range(1, len(w) - {n} + 2)]) END AS s
   FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {docs})),
 members AS (SELECT doc_id, unnest(s) AS g FROM shingled),
-overlaps AS (
+shared_grams AS (
   SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM members a JOIN members b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
 links AS (
-  SELECT x, y FROM overlaps JOIN shingled a ON a.doc_id = x JOIN shingled b ON b.doc_id = y
+  SELECT x, y FROM shared_grams JOIN shingled a ON a.doc_id = x JOIN shingled b ON b.doc_id = y
   WHERE 100 * o >= {percent} * (len(a.s) + len(b.s) - o)),
 both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach(x, y) AS (SELECT x, y FROM both_ways UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x),
@@ -83,7 +83,40 @@ def linked(docs: str, n: int, percent: int) -> str:
     return LINKED.replace("{docs}", docs).replace("{n}", str(n)).replace("{percent}", str(percent))
 
 
+#: Lines of every document, and what goes; a line within two byte edits starts with, ends with or holds a third of the other.
+LINES = r"""
+place AS (
+  SELECT DISTINCT doc_id, u.n - 1 AS line, u.s AS s
+  FROM (SELECT doc_id, unnest([{'n': i, 's': l[i]} FOR i IN range(1, len(l) + 1)]) AS u
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM {docs} WHERE doc_id IS NOT NULL))
+  WHERE regexp_matches(u.s, '[^\x20\x09-\x0D]')),
+firsts AS (SELECT s, min({'d': doc_id, 'l': line}) AS at, strlen(s) AS n, length(s) AS c FROM place GROUP BY s),
+near AS (
+  SELECT a.s AS x, b.s AS y, a.at AS at_x, b.at AS at_y
+  FROM firsts a JOIN firsts b ON abs(a.n - b.n) <= 2 AND a.s <> b.s
+  WHERE a.n >= 24 AND b.n >= 24
+    AND (starts_with(b.s, left(a.s, a.c // 3)) OR ends_with(b.s, right(a.s, a.c // 3)) OR contains(b.s, substr(a.s, a.c // 3 + 1, a.c - 2 * (a.c // 3))))
+    AND levenshtein(a.s, b.s) <= 2),
+late AS (SELECT x AS s, bool_or(at_y < at_x) AS late, count(*) AS links FROM near GROUP BY x),
+fate AS (
+  SELECT p.doc_id, p.line, coalesce(links, 0) AS links,
+         coalesce(late, FALSE) OR f.at <> {'d': p.doc_id, 'l': p.line} AS gone
+  FROM place p JOIN firsts f USING (s) LEFT JOIN late USING (s)),
+line_fate AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, CAST(sum(links) AS BIGINT) AS n_near,
+         coalesce(string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) FILTER (gone), '') AS dropped
+  FROM fate GROUP BY doc_id)
+"""
+
+LINE_DEDUP = (
+    "WITH" + LINES.replace("{docs}", "documents") + """
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(n_near, 0) AS n_near, coalesce(dropped, '') AS dropped
+FROM documents d LEFT JOIN line_fate USING (doc_id)
+"""
+)
+
 ORACLES = {
+    "op7_line_dedup": LINE_DEDUP,
     "op1_quality_rules": QUALITY,
     "op4_ngram_join": "WITH RECURSIVE" + linked("documents", 3, 90) + "SELECT doc_id, n_shingles, component_id, n_links FROM linked",
 }
