@@ -13,6 +13,9 @@ import numpy as np
 #: Words remembered by a worker; beyond, its memory starts anew.
 MEMORY = 250_000
 
+#: A sign that is one token, and how many words are encoded together.
+MARK, GROUP = "~", 200
+
 #: Characters that Python splits at and the tokenizer does not.
 _NOT_BLANK = re.compile("[\x1c-\x1f]")
 _ASCII_BLANKS = re.compile("[ \t-\r]+")
@@ -62,15 +65,18 @@ class WordIds:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def learn(self, words: set[str]) -> None:
-        """Encode new words in one call, with a special token between them."""
-        new = [w for w in words if w not in self.known.old]
-        mark, number = next(iter(self.special.items()))
-        ids = np.array(self.tokenizer.encode(mark.join(new), add_special_tokens=False).ids, np.uint32)
-        cuts = np.append(np.flatnonzero(ids == number), len(ids)).tolist()
-        raw, at = ids.tobytes(), 0
-        for word, cut in zip(new, cuts):
-            self.known[word] = raw[4 * at : 4 * cut]
-            at = cut + 1
+        """Encode new words together, a mark between them that none of them holds."""
+        new = [w for w in words if w not in self.known.old and MARK not in w]
+        (number,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        groups = [new[k : k + GROUP] for k in range(0, len(new), GROUP)]
+        found = self.tokenizer.encode_batch_fast([f" {MARK} ".join(g) for g in groups], add_special_tokens=False)
+        for group, encoding in zip(groups, found):
+            ids = np.array(encoding.ids, np.uint32)
+            cuts = np.append(np.flatnonzero(ids == number), len(ids)).tolist()
+            raw, at = ids.tobytes(), 0
+            for word, cut in zip(group, cuts):
+                self.known[word] = raw[4 * at : 4 * cut]
+                at = cut + 1
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""

@@ -11,6 +11,7 @@ those of a text; words between blanks are arcs from the start state to itself.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import unicodedata
@@ -201,6 +202,7 @@ class Machine:
 def machine(path: str) -> tuple[Machine, object, re.Pattern]:
     tokenizer = load(path)
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    gc.set_threshold(200_000, 20, 100)  # the tables are many small objects that live on
     return Machine(path), tokenizer.normalizer.normalize_str, re.compile("|".join(map(re.escape, special)))
 
 
