@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
         seed = 0
         for part in slices(batch, "text"):
             rows = []
-            for doc, ids in zip(part.column("doc_id").to_pylist(), encode([t or "" for t in part.column("text").to_pylist()])):
+            for doc, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text"))):
                 ids += end
                 for k in range(0, len(ids), 4 * capacity):
                     cut = ids[k : k + 4 * capacity]

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidepanel.llm.common import documents
+from tidepanel.llm.licenses import license_scan
 from tidepanel.llm.lines import line_report
 from tidepanel.llm.ngram import ngram_join
 from tidepanel.llm.packing import pack
 from tidepanel.llm.pii import pii_report
 from tidepanel.llm.quality import quality_rules
+from tidepanel.llm.transducer import token_counts
 from tidepanel.llm.twins import ORACLES  # noqa: F401
 
 QUERIES = {}
@@ -50,3 +52,13 @@ def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = line_report(documents(spark, folder))
     return found.withColumn("dropped", F.array_join(F.col("dropped").cast("array<string>"), ","))
+
+
+@query
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(documents(spark, folder))
+
+
+@query
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan(documents(spark, folder)).withColumn("score", F.round("score", 6))

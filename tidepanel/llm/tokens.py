@@ -9,16 +9,24 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+
+from tidepanel.llm.common import text_buffer, word_hashes
 
 #: Words remembered by a worker; beyond, its memory starts anew.
 MEMORY = 250_000
 
-#: A sign that is one token, and how many words are encoded together.
-MARK, GROUP = "~", 200
+#: Words that are encoded together.
+GROUP = 500
+
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+
 
-#: Characters that Python splits at and the tokenizer does not.
-_NOT_BLANK = re.compile("[\x1c-\x1f]")
-_ASCII_BLANKS = re.compile("[ \t-\r]+")
+def byte_signs() -> list[str]:
+    """The sign that stands for each byte in the vocabulary: itself where printable, else the next free one from U+0100."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -54,38 +62,80 @@ class Remembered(dict):
 
 
 class WordIds:
-    """Ids of words as little-endian 32-bit integers. No token spans white space, so words can be encoded apart from their texts."""
+    """Ids of texts as little-endian 32-bit integers.
+
+    No token spans white space, so each distinct word of a slice is looked up once, and what is new is encoded together.
+    """
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
         self.tokenizer = load(path)
-        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pieces = Tokenizer(self.tokenizer.model)  # of pieces that are split and normalised already
+        self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        ends = [i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[ends] = True
+        self.signs = dict(enumerate(byte_signs()))
         self.known = Remembered(self.whole, MEMORY)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """Encode new words together, a mark between them that none of them holds."""
-        new = [w for w in words if w not in self.known.old and MARK not in w]
-        (number,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        groups = [new[k : k + GROUP] for k in range(0, len(new), GROUP)]
-        found = self.tokenizer.encode_batch_fast([f" {MARK} ".join(g) for g in groups], add_special_tokens=False)
-        for group, encoding in zip(groups, found):
-            ids = np.array(encoding.ids, np.uint32)
-            cuts = np.append(np.flatnonzero(ids == number), len(ids)).tolist()
-            raw, at = ids.tobytes(), 0
-            for word, cut in zip(group, cuts):
-                self.known[word] = raw[4 * at : 4 * cut]
-                at = cut + 1
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text."""
+    def simple(self, word: str) -> str | None:
+        """A word of letters of a plain alphabet, perhaps with signs after it, as its pieces; None for any other."""
+        body = word.rstrip(".,!?;:*$%&#|")
+        if not _LATIN.fullmatch(body):
+            return None
+        tail = word[len(body) :]
+        body = body.lower()
+        if not body.isascii():
+            body = body.encode().decode("latin-1").translate(self.signs)
+        return f"{body} {tail}" if tail else body
+
+    def learn(self, words: list[str]) -> None:
+        plain, texts, counts = [], [], []
+        for w in words:
+            t = self.simple(w)
+            if t is None:
+                self.known[w] = self.whole(w)
+            else:
+                plain.append(w)
+                texts.append(t)
+                counts.append(1 + (" " in t))
+        groups = [" ".join(texts[k : k + GROUP]) for k in range(0, len(texts), GROUP)]
+        found = self.pieces.encode_batch_fast(groups, add_special_tokens=False)
+        ids = np.array([i for e in found for i in e.ids], np.uint32)
+        cuts = ((np.flatnonzero(self.ends[ids]) + 1)[np.cumsum(counts, dtype=np.int64) - 1] * 4).tolist()
+        raw, at = ids.tobytes(), 0
+        for word, cut in zip(plain, cuts):
+            self.known[word] = raw[at:cut]
+            at = cut
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text of a slice; null counts as empty."""
         self.known.turn()
-        parts = [None if any(s in t for s in self.special) else _ASCII_BLANKS.split(t) if _NOT_BLANK.search(t) else t.split() for t in texts]
-        new = {w for words in parts if words for w in words if w not in self.known}
+        hashes, starts, ends, first = word_hashes(texts, lower=False)
+        data = text_buffer(texts)[0].tobytes()
+        _, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
+        words = [data[a:b].decode() for a, b in zip(starts[sample].tolist(), ends[sample].tolist())]
+        new = [w for w in words if w not in self.known and w not in self.known.old]
         if new:
             self.learn(new)
-        return [self.whole(t) if words is None else b"".join(map(self.known.__getitem__, words)) for t, words in zip(texts, parts)]
+        known = [self.known[w] for w in words]
+        sizes = np.array([len(k) // 4 for k in known], np.int64)
+        places = np.cumsum(sizes) - sizes
+        pool = np.frombuffer(b"".join(known), np.uint32)
+        counts = sizes[which]
+        after = np.cumsum(counts)
+        out = pool[np.repeat(places[which] - after + counts, counts) + np.arange(after[-1] if len(after) else 0)]
+        bounds = np.concatenate([[0], after])[first].tolist()
+        got = [out[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+        for s in self.special:
+            if s.encode() in data:
+                got = [self.whole(t) if t and s in t else g for t, g in zip(texts.to_pylist(), got)]
+        return got
 
 
 @lru_cache(maxsize=4)

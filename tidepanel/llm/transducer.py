@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidepanel.llm.bpe import Pairs
 from tidepanel.llm.common import map_batches, slices
-from tidepanel.llm.tokens import Remembered, load, tokenizer_path
+from tidepanel.llm.tokens import Remembered, byte_signs, load, tokenizer_path
 
 CHUNK = 4096
 STATES = 120_000
@@ -33,13 +33,6 @@ _END = "</w>"
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
 
-def byte_signs() -> list[str]:
-    """The sign that stands for each byte in the vocabulary: itself where printable, else the next free one from U+0100."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    spare = iter(range(256, 512))
-    return [chr(b if b in plain else next(spare)) for b in range(256)]
-
-
 class Machine:
     """The transducer; ``step`` and ``close`` compile what they meet for the first time."""
 
