@@ -125,14 +125,45 @@ def small_side(df: DataFrame, name: str = "side") -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _thinned(batches: Iterator[pa.RecordBatch], limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Edges of a task replaced by stars with the same components, ``limit`` edges at a time."""
+    def stars(held):
+        ends = np.concatenate([np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in held], axis=1)
+        ids, place = np.unique(ends, return_inverse=True)
+        a, b = place.reshape(2, -1)
+        label = np.arange(len(ids))
+        while True:
+            new = label.copy()
+            least = np.minimum(label[a], label[b])
+            np.minimum.at(new, a, least)
+            np.minimum.at(new, b, least)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        moved = label != np.arange(len(ids))
+        return pa.RecordBatch.from_arrays([pa.array(ids[label[moved]]), pa.array(ids[moved])], ["a", "b"])
+
+    held, rows = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+        if rows >= limit:
+            yield stars(held)
+            held, rows = [], 0
+    if held:
+        yield stars(held)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``(a, b)`` edges: ``(id, component)``, the component being its smallest id.
 
-    Labels move to neighbours and then to the label's own label, so a path of n
+    Each task first turns its edges into stars. Labels then move to neighbours and then to the label's own label, so a path of n
     links takes about log n rounds. Each round is written to the shared folder. The driver
     reads only the number of labels that changed.
     """
-    edges = edges.where("a <> b")
+    edges = staged(edges.where("a <> b").select("a", "b"), "edges").mapInArrow(_thinned, "a long, b long")
     both = staged(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = staged(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("other")).select("id", F.least("id", "other").alias("component")), "labels")
     while True:
