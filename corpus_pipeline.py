@@ -1,10 +1,74 @@
-"""Five stages that turn raw documents into packed training sequences."""
+"""Raw documents to packed training sequences, in five stages.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on all that the stage before it kept. The stages but the last return the columns of
+``documents``, with ``n_chars`` counted anew where the text changed.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from tidepanel.llm.common import small_side
+from tidepanel.llm.lines import drop_lines
+from tidepanel.llm.ngram import ngram_join
+from tidepanel.llm.packing import pack
+from tidepanel.llm.pii import redact
+from tidepanel.llm.quality import quality_rules
+from tidepanel.session import staged
+
+
+def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*columns) if "n_chars" in columns else docs
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules or the verdict on their host reject go."""
+    digest: Column = F.xxhash64("text")
+    judged = quality_rules(docs.select("doc_id", "source", "text").withColumn("digest", digest))
+    out = small_side(judged.where("not kept").select(F.col("doc_id").alias("r_doc"), F.col("digest").alias("r_digest")).distinct())
+    return docs.join(out, docs["doc_id"].eqNullSafe(out["r_doc"]) & (F.xxhash64(docs["text"]) == out["r_digest"]), "left_anti")
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier line, or nearly, go; every document stays."""
+    return _counted(drop_lines(docs), docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by five-word Jaccard similarity of 0.8 or more, the one of the smallest id stays.
+
+    Rows that share an id stay or go together.
+    """
+    found = ngram_join(docs, n=5, percent=80)
+    out = small_side(found.where("component_id <> doc_id").select(F.col("doc_id").alias("r_doc")).distinct())
+    return docs.join(out, docs["doc_id"] == out["r_doc"], "left_anti")
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind; every document stays."""
+    return _counted(redact(docs), docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packed token pieces of the documents."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("line_dedup", line_stage),
+    ("ngram_join", near_stage),
+    ("pii", pii_stage),
+    ("packing", packing_stage),
+]
+
+#: The tokenizer and the span model of the last two stages have no SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; each stage is written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

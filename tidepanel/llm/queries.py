@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidepanel.llm.common import documents
+from tidepanel.llm.fingerprints import fingerprints
 from tidepanel.llm.licenses import license_scan
 from tidepanel.llm.lines import line_report
 from tidepanel.llm.ngram import ngram_join
 from tidepanel.llm.packing import pack
+from tidepanel.llm.passages import drop_passages
 from tidepanel.llm.pii import pii_report
 from tidepanel.llm.quality import quality_rules
+from tidepanel.llm.sentencepieces import piece_report
 from tidepanel.llm.transducer import token_counts
 from tidepanel.llm.twins import ORACLES  # noqa: F401
 
@@ -33,6 +36,16 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_report(documents(spark, folder))
+
+
+@query
+def op3_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints(documents(spark, folder))
+
+
 @query
 def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join(documents(spark, folder), n=3, percent=90)
@@ -62,3 +75,8 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan(documents(spark, folder)).withColumn("score", F.round("score", 6))
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return drop_passages(documents(spark, folder))
