@@ -9,9 +9,10 @@ from tidepanel.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    folder = tmp_path_factory.mktemp("shared")
     session = build_session(
-        "tests", "local[8]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__driver__memory="8g"
+        "tests", "local[8]", spark__checkpoint__dir=f"file://{folder}", spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__driver__memory="8g"
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

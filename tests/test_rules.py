@@ -90,18 +90,18 @@ def test_ewm_last_matches_pandas(panel):
     assert got == pytest.approx(pd.Series(values, dtype=float).ewm(span=6).mean().iloc[-1])
 
 
-@pytest.mark.parametrize("n,limit", [(1, 1_000_000), (2, 1_000_000), (3, 1_000_000), (10, 0), (5000, 1_000_000), (5000, 0)])
-def test_exact_quantiles(spark, n, limit):
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 5000])
+def test_exact_quantiles(spark, n):
     rng = np.random.default_rng(n)
     values = np.round(rng.gamma(1.0, 100.0, n), 1)
     df = spark.createDataFrame(pd.DataFrame({"g": rng.integers(0, 3, n), "v": values}))
     probs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1.0}
     # a small accuracy exercises the bracketed path, whole groups are ranked otherwise
     for accuracy in (20, 10_000):
-        got = one(exact_quantiles(df, "v", probs, accuracy=accuracy, limit=limit))
+        got = one(exact_quantiles(df, "v", probs, accuracy=accuracy))
         for k, p in probs.items():
             assert got[k] == pytest.approx(np.quantile(values, p)), (k, accuracy)
-        for row in exact_quantiles(df, "v", probs, by=["g"], accuracy=accuracy, limit=limit).collect():
+        for row in exact_quantiles(df, "v", probs, by=["g"], accuracy=accuracy).collect():
             part = df.where(F.col("g") == row["g"]).toPandas()["v"]
             for k, p in probs.items():
                 assert row[k] == pytest.approx(np.quantile(part, p)), (row["g"], k, accuracy)
@@ -110,10 +110,21 @@ def test_exact_quantiles(spark, n, limit):
 def test_exact_quantiles_hot_value(spark):
     df = spark.range(30_000).select(F.when(F.col("id") % 3 > 0, F.lit(7.0)).otherwise(F.col("id").cast("double")).alias("v"))
     values = df.toPandas()["v"]
-    for limit in (0, 1_000_000):
-        got = one(exact_quantiles(df, "v", {"q1": 0.1, "q5": 0.5, "q9": 0.9}, accuracy=100, limit=limit))
-        for k, p in (("q1", 0.1), ("q5", 0.5), ("q9", 0.9)):
-            assert got[k] == pytest.approx(np.quantile(values, p))
+    got = one(exact_quantiles(df, "v", {"q1": 0.1, "q5": 0.5, "q9": 0.9}, accuracy=100))
+    for k, p in (("q1", 0.1), ("q5", 0.5), ("q9", 0.9)):
+        assert got[k] == pytest.approx(np.quantile(values, p))
+
+
+def test_exact_quantiles_keep_a_null_group(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "g string, v double")
+    rows = {r["g"]: r["q"] for r in exact_quantiles(df, "v", {"q": 0.5}, by=["g"]).collect()}
+    assert rows == {None: 2.0, "a": 5.0}
+
+
+def test_long_history_running_mean(spark, panel):
+    values = np.random.default_rng(5).gamma(2.0, 10.0, 10_000).round(2)
+    got = L.ewm_running(panel({1: values})).toPandas().sort_values("t")
+    np.testing.assert_allclose(got["ewm_6"], pd.Series(values).shift(1).ewm(span=6).mean(), rtol=1e-9)
 
 
 def test_peers_match_pairs(spark, panel):
@@ -138,6 +149,13 @@ def test_peers_match_pairs(spark, panel):
             assert r["amount_peer_std"] is None
 
 
+def test_peers_of_a_dominant_member(panel):
+    p = panel({1: [10.0], 2: [20.0], 3: [30.0], 4: [1e9]}).withColumn("g", F.lit(1))
+    rows = {r["entity_id"]: r for r in P.peer_stats(p, "g", {"amount": P.STATS}).collect()}
+    assert (rows[4]["amount_peer_std"], rows[4]["amount_peer_mean"], rows[4]["amount_peer_sum"]) == (10.0, 20.0, 60.0)
+    assert rows[1]["amount_peer_std"] == pytest.approx(np.std([20.0, 30.0, 1e9], ddof=1))
+
+
 def test_peer_std_of_equal_peers_is_zero(panel):
     p = panel({1: [0.0], 2: [0.0], 3: [123456.78], 4: [0.0]}).withColumn("g", F.lit(1))
     row = one(P.peer_stats(p, "g", {"amount": P.STATS}).where("entity_id = 3"))
@@ -217,10 +235,14 @@ def test_guards(spark, panel):
     assert all((r["forecast"] == 0) == (r["entity_id"] == 2) for r in rows) and len(rows) == 4
 
 
-def test_blend_needs_all_files(spark):
+def test_blend_needs_every_id_once_in_every_file(spark):
     a = spark.createDataFrame([("x", 1.0), ("y", 2.0)], "id string, forecast double")
     b = spark.createDataFrame([("x", 3.0)], "id string, forecast double")
-    assert [(r["id"], r["forecast"]) for r in H.blend([a, b], [0.5, 0.5]).collect()] == [("x", 2.0)]
+    assert [(r["id"], r["forecast"]) for r in H.blend([a.where("id = 'x'"), b], [0.5, 0.5]).collect()] == [("x", 2.0)]
+    twice = spark.createDataFrame([("x", 1.0), ("x", 1.0)], "id string, forecast double")
+    for files in ([a, b], [twice, b], [twice, a.where("id = 'y'")]):
+        with pytest.raises(Exception, match="not once in every file"):
+            H.blend(files, [0.5, 0.5]).collect()
     assert one(J.id_mismatch(a, b)) == {"left_only": 1, "right_only": 0, "both": 1}
 
 

@@ -7,22 +7,29 @@ from tidepanel.sources import sinks, tables
 
 def test_missing_table_names_its_path(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="new_house_transactions.csv"):
-        tables.load_tables(spark, tables.DatasetPaths(str(tmp_path)))
+        tables.load_tables(spark, str(tmp_path))
 
 
 def test_load_tables(spark, tmp_path):
-    folder = tmp_path / "data" / "raw" / "train"
-    folder.mkdir(parents=True)
+    folder = tmp_path
     for name in tables.TRAIN_TABLES:
         schema = tables.SCHEMAS.get(name)
         header = schema.names if schema else ["sector", "a"]
         (folder / f"{name}.csv").write_text(",".join(header) + "\n" + ",".join(["1"] * len(header)) + "\n")
-    loaded = tables.load_tables(spark, tables.DatasetPaths(str(tmp_path)))
+    loaded = tables.load_tables(spark, str(folder))
     assert set(loaded) == set(tables.TRAIN_TABLES)
     assert loaded["new_house_transactions"].schema == tables.SCHEMAS["new_house_transactions"]
     assert all(df.count() == 1 for df in loaded.values())
 
 
+def test_types_come_from_all_rows_and_misfits_fail(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("sector,a\n" + "".join(f"{i},{i}\n" for i in range(3000)) + "x,3.75\n")
+    loaded = tables.read_csv(spark, str(tmp_path / "t.csv"))
+    assert dict(loaded.dtypes)["a"] == "double" and loaded.where("sector = 'x'").first()["a"] == 3.75
+    with pytest.raises(Exception):
+        tables.read_csv(spark, str(tmp_path / "t.csv"), T.StructType([T.StructField("sector", T.LongType()), T.StructField("a", T.LongType())])).collect()
+
+
 def test_submission_keeps_order(spark, tmp_path):
     df = spark.createDataFrame([(2, "b", 2.0), (1, "a", 1.0), (3, "c", 3.0)], "row_no long, id string, forecast double")
     path = str(tmp_path / "out")

@@ -87,10 +87,10 @@ def fourier(df: DataFrame, periods: list[int], phase: Column | str = "t") -> Dat
     return df.withColumns(waves)
 
 
-def year_progress(df: DataFrame, t_max: int | None = None) -> DataFrame:
+def year_progress(df: DataFrame, t_max: int | Column | None = None) -> DataFrame:
     """``t`` over the newest period, which costs a pass over ``df`` unless it is given."""
     newest = df.agg(F.max("t")).scalar() if t_max is None else F.lit(t_max)
-    return df.withColumn("year_progress", F.col("t") / newest)
+    return df.withColumn("year_progress", F.try_divide(F.col("t"), newest))
 
 
 def abs_month(year: Column, month: Column) -> Column:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F, Window
 
 from ..session import staged
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probs: dict[str, float], by: list[str] | None = None, accuracy: int = 10_000, stage: bool = True, limit: int = 1_000_000
+    df: DataFrame, value: str, probs: dict[str, float], by: list[str] | None = None, accuracy: int = 10_000, stage: bool = True
 ) -> DataFrame:
     """Linearly interpolated quantiles per group: one column per entry of ``probs``.
 
@@ -18,8 +20,8 @@ def exact_quantiles(
     inside it, and only those values are ranked: ``5 / accuracy`` of a large
     group, or all of a group of at most ``10 * accuracy`` rows. The values are read
     twice, so they are staged first; ``stage=False`` suits a frame that is cheap to
-    read again, such as a file or a staged table. More than ``limit`` candidates are
-    ranked in parts, so that no task sorts them all.
+    read again, such as a file or a staged table. Candidates are ranked in parts, so
+    that no task sorts them all. A null group key is a group like any other.
     """
     by = list(by or [])
     source = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
@@ -49,7 +51,7 @@ def exact_quantiles(
     sketch = sketch.where(F.col("_n") > 0).select(*by, "_n", brackets.alias("_b"))
     if by:
         sketch = staged(sketch, "quantile-brackets")
-        bracketed = source.join(sketch, by)
+        bracketed = _same(source, sketch, by)
     else:
         one = sketch.select(F.struct("_n", "_b")).scalar()
         bracketed = source.withColumn("_s", one).select("_v", F.col("_s._n").alias("_n"), F.col("_s._b").alias("_b"))
@@ -62,8 +64,7 @@ def exact_quantiles(
         .agg(F.count(F.lit(1)).alias("_c"))
     )
     counted = staged(counted, "quantile-candidates")
-    widest = counted.groupBy(*by, "_i").agg(F.count(F.lit(1)).alias("_k")).agg(F.max("_k")).first()[0]
-    ranked = _ranked(counted, [*by, "_i"]) if (widest or 0) <= limit else _ranked_in_parts(counted, [*by, "_i"])
+    ranked = _ranked_in_parts(counted, [*by, "_i"])
     columns = []
     for i, name in enumerate(names):
         position = F.lit(probs[name]) * (F.col("_n") - 1)
@@ -75,6 +76,13 @@ def exact_quantiles(
     return ranked.groupBy(*by).agg(*columns)
 
 
+def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which nulls are equal too."""
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(other, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def _ranked(counted: DataFrame, keys: list[str]) -> DataFrame:
     """Running row count up to each candidate value."""
     upto = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
@@ -87,9 +95,9 @@ def _ranked_in_parts(counted: DataFrame, keys: list[str], parts: int = 256) -> D
     splits = counted.where(F.col("_v").isNotNull()).groupBy(*keys).agg(F.percentile_approx("_v", points, 10_000).alias("_p"))
     # a part is the number of split points below the value, so parts are in value order
     part = F.when(F.col("_v").isNull(), F.lit(-1)).otherwise(F.size(F.filter("_p", lambda p: p < F.col("_v"))))
-    placed = counted.join(staged(splits, "quantile-splits"), keys, "left").withColumn("_part", part).drop("_p")
+    placed = _same(counted, staged(splits, "quantile-splits"), keys, "left").withColumn("_part", part).drop("_p")
     totals = placed.groupBy(*keys, "_part").agg(F.sum("_c").alias("_t"))
     upto = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
     before = totals.withColumn("_before", F.sum("_t").over(upto) - F.col("_t")).drop("_t")
-    ranked = _ranked(placed, [*keys, "_part"]).join(staged(before, "quantile-parts"), [*keys, "_part"])
+    ranked = _same(_ranked(placed, [*keys, "_part"]), staged(before, "quantile-parts"), [*keys, "_part"])
     return ranked.withColumn("_cum", F.col("_cum") + F.col("_before")).drop("_part", "_before")

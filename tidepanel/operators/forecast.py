@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import clip, month_multiplier
 from ..functions.frames import per_entity
 from ..functions.quantiles import exact_quantiles
+from ..session import staged
 from . import tails as A
 from .grid import tail_present
-from .seasonal import apply_december, december_multiplier
+from .seasonal import apply_december, multiplier, multiplier_parts
 
 
 def expand_horizon(rows: DataFrame, last: int, steps: int = 12) -> DataFrame:
@@ -119,10 +120,10 @@ def forecast_robust_december(panel: DataFrame, last: int = 66, steps: int = 12)
     return _publish(per, last, steps, F.col("geo") * F.col("trend"), F.col("boost"))
 
 
-def forecast_ewgm(panel: DataFrame, last: int = 66, steps: int = 12, n: int = 12, alpha: float = 0.5, t2: int = 10, allow: int = 2, lo: float = 0.85, hi: float = 1.4, weights: tuple[float, float, float] = (0.34, 0.34, 0.32), model: DataFrame | None = None) -> DataFrame:
+def forecast_ewgm(panel: DataFrame, last: int = 66, steps: int = 12, n: int = 12, alpha: float = 0.5, t2: int = 10, allow: int = 2, lo: float = 0.85, hi: float = 1.4, weights: tuple[float, float, float] = (0.34, 0.34, 0.32), model: Column | None = None) -> DataFrame:
     """Last value and weighted geometric mean, zero rule, December multiplier, then the model term.
 
-    ``model`` (entity_id, model) is optional; its term is added after the December
+    ``model`` is an optional aggregate; its term is added after the December
     factor and also for entities that the zero rule sets to 0.
     """
     per = per_entity(
@@ -130,26 +131,21 @@ def forecast_ewgm(panel: DataFrame, last: int = 66, steps: int = 12, n: int = 12
         A.too_many_zeros(t2, allow, last).alias("dead"),
         A.last_value(last).alias("recent"),
         A.ewgm(n, alpha, last).alias("ewgm"),
+        *multiplier_parts(last),
+        (F.max(F.lit(0.0)) if model is None else F.coalesce(model, F.lit(0.0))).alias("model"),
     )
-    per = per.join(december_multiplier(panel, last, lo=lo, hi=hi), "entity_id", "left")
+    per = staged(per, "ewgm")
     base = F.when(F.col("dead"), F.lit(0.0)).otherwise(F.col("recent") * weights[0] + F.col("ewgm") * weights[1])
-    per = per.select("entity_id", base.alias("base"), F.coalesce("multiplier", F.lit(1.0)).alias("multiplier"))
-    out = _publish(per, last, steps, F.col("base"), F.col("multiplier"))
-    if model is not None:
-        out = out.join(model, "entity_id", "left").select(
-            "entity_id", "t", (F.col("forecast") + F.coalesce(F.col("model"), F.lit(0.0)) * weights[2]).alias("forecast")
-        )
-    return out
+    rows = expand_horizon(per.select("entity_id", "model", base.alias("base"), multiplier(per, lo=lo, hi=hi).alias("multiplier")), last, steps)
+    return rows.select("entity_id", "t", (apply_december(F.col("base"), F.col("multiplier")) + F.col("model") * weights[2]).alias("forecast"))
 
 
 def forecast_geo_present(obs: DataFrame, last: int = 66, steps: int = 12, lookback: int = 6, cap: float = 2.0) -> DataFrame:
     """Geometric mean over present rows: 0 with fewer than ``lookback`` rows or any zero among them."""
-    known = obs.where(F.col("t") <= last).repartition("entity_id")
-    boost = A.december_boost(last, cap)
-    tail = tail_present(known, lookback).groupBy("entity_id").agg(
-        F.when((F.count(F.lit(1)) < lookback) | (F.min("amount") == 0), F.lit(0.0))
-        .otherwise(F.exp(F.avg(F.ln(F.col("amount") + 1e-10))))
-        .alias("base")
-    )
-    per = tail.join(known.groupBy("entity_id").agg(boost.alias("boost")), "entity_id")
+    known = obs.where(F.col("t") <= last)
+    newest = Window.partitionBy("entity_id").orderBy(F.col("t").desc())
+    tail = F.row_number().over(newest) <= lookback
+    rows = known.withColumn("_tail", F.when(tail, F.col("amount")))  # window and aggregation share one shuffle
+    base = F.when((F.count("_tail") < lookback) | (F.min("_tail") == 0), F.lit(0.0)).otherwise(F.exp(F.avg(F.ln(F.col("_tail") + 1e-10))))
+    per = rows.groupBy("entity_id").agg(base.alias("base"), A.december_boost(last, cap).alias("boost"))
     return _publish(per, last, steps, F.col("base"), F.col("boost"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def grid(entities: DataFrame, lo: int, hi: int) -> DataFrame:
-    """Every entity at every period ``lo..hi``: a narrow ``explode``, no join."""
+def grid(entities: DataFrame, lo: int, hi: int | Column) -> DataFrame:
+    """Every entity at every period ``lo..hi``: a narrow ``explode``, no join. ``hi`` may be a scalar column."""
     return entities.select("entity_id", F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("t"))
 
 
-def densify(facts: DataFrame, entities: DataFrame, lo: int, hi: int, values: tuple[str, ...] = ("amount",), digits: int | None = None) -> DataFrame:
+def densify(facts: DataFrame, entities: DataFrame, lo: int, hi: int | Column, values: tuple[str, ...] = ("amount",), digits: int | None = None) -> DataFrame:
     """Sum ``facts`` onto the grid; cells without facts are 0, facts off the grid are dropped.
 
     Grid and facts go through one aggregation together, so raw rows are combined
@@ -100,12 +100,10 @@ def latest(df: DataFrame, t_max: int | None = None) -> DataFrame:
     return df.where(F.col("t") == (df.agg(F.max("t")).scalar() if t_max is None else F.lit(t_max)))
 
 
-def force_zero(df: DataFrame, ids: list[int], value: str = "forecast") -> DataFrame:
-    return df.withColumn(value, F.when(F.col("entity_id").isin(ids), F.lit(0.0)).otherwise(F.col(value)))
-
-
-def not_null(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.dropna(subset=cols)
+def force_zero(df: DataFrame, entities: DataFrame, value: str = "forecast") -> DataFrame:
+    """0 for the listed entities."""
+    marked = df.join(entities.select("entity_id", F.lit(True).alias("_dead")).distinct(), "entity_id", "left")
+    return marked.withColumn(value, F.when(F.col("_dead"), F.lit(0.0)).otherwise(F.col(value))).drop("_dead")
 
 
 def between(lo: int, hi: int, t: Column | None = None) -> Column:

@@ -35,11 +35,13 @@ def tail_guard(forecasts: DataFrame, panel: DataFrame, t2: int = 6, last: int =
 
 
 def blend(files: list[DataFrame], weights: list[float], on: str = "id", value: str = "forecast") -> DataFrame:
-    """Weighted sum per id over the ids that all files have: one aggregation, no joins."""
-    parts = [f.select(on, (F.col(value) * w).alias(value)) for f, w in zip(files, weights)]
+    """Weighted sum per id: one aggregation, no joins. An id that a file lacks or repeats is an error."""
+    parts = [f.select(on, (F.col(value) * w).alias(value), F.lit(i).alias("_file")) for i, (f, w) in enumerate(zip(files, weights))]
     stacked = reduce(DataFrame.unionByName, parts)
-    per = stacked.groupBy(on).agg(F.sum(value).alias(value), F.count(F.lit(1)).alias("_n"))
-    return per.where(F.col("_n") == len(files)).drop("_n")
+    per = stacked.groupBy(on).agg(F.sum(value).alias(value), F.count(F.lit(1)).alias("_n"), F.size(F.collect_set("_file")).alias("_files"))
+    whole = (F.col("_n") == len(files)) & (F.col("_files") == len(files))
+    problem = F.raise_error(F.concat(F.lit("not once in every file: "), F.coalesce(F.col(on).cast("string"), F.lit("null")))).cast("double")
+    return per.select(on, F.when(whole, F.col(value)).otherwise(problem).alias(value))
 
 
 def blend_masked(predictions: list[Column], weights: list[float], p_zero: Column, threshold: float = 0.5) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import keys as K
 from ..functions.frames import per_entity
@@ -35,23 +35,16 @@ def semi_filter(df: DataFrame, keep: DataFrame, on: str = "entity_id") -> DataFr
 
 
 def build_mart(
-    entities: DataFrame, lo: int, hi: int, target: DataFrame, second_hand: DataFrame, land: DataFrame,
+    entities: DataFrame, lo: int, hi: int | Column, facts: DataFrame,
     static: DataFrame, yearly: DataFrame, base_year: int, group: str = "n_nationkey", sentinel: float = -1.0,
 ) -> DataFrame:
     """Grid with target, side tables, their neighbour statistics, static and yearly attributes.
 
-    The fact tables share the key ``(entity_id, t)``, so they are stacked and
-    aggregated together: one shuffle instead of one join each.
+    ``facts`` holds ``amount``, ``pht`` (second-hand) and ``lt`` (land) per ``(entity_id, t)``; it is stacked on
+    the grid and aggregated with it: one shuffle instead of a join.
     """
     cells = grid(entities, lo, hi).withColumn("_on_grid", F.lit(True))
-    facts = [
-        target.select("entity_id", "t", "amount"),
-        second_hand.select("entity_id", "t", F.col("amount").alias("pht")),
-        land.select("entity_id", "t", F.col("transaction_amount").alias("lt")),
-    ]
-    stacked = cells
-    for fact in facts:
-        stacked = stacked.unionByName(fact, allowMissingColumns=True)
+    stacked = cells.unionByName(facts.select("entity_id", "t", "amount", "pht", "lt"), allowMissingColumns=True)
     sides = [c for v in ("pht", "lt") for c in (F.avg(v).alias(f"{v}_mean"), F.sum(v).alias(f"{v}_sum"), F.max(v).alias(f"{v}_max"))]
     frame = (
         stacked.groupBy("entity_id", "t")

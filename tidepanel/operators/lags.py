@@ -7,6 +7,8 @@ present rows it is the previous row the entity has.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import columns as C, keys as K
@@ -71,18 +73,26 @@ def lag_feature_names(ks=LAGS, windows=WINDOWS) -> list[str]:
 def ewm_running(df: DataFrame, span: int = 6, value: str = "amount") -> DataFrame:
     """Exponentially weighted mean of all earlier rows, adjusted weights.
 
-    Two running sums, weighted relative to the newest row of the entity, give the
-    ratio at every row; the common factor cancels. A history may have up to
-    ``700 / -ln(1 - alpha)`` rows (2,080 for span 6) before weights underflow.
+    Running sums are weighted relative to the first row of a block of rows, so weights stay in range
+    for a history of any length. The block before is added with the weight it has left; what lies before that has
+    less than 1e-60 of it.
     """
     keep = 1.0 - 2.0 / (span + 1)
-    whole = in_time().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = in_time().rowsBetween(Window.unboundedPreceding, -1)
-    position = F.row_number().over(in_time())
-    newest = F.count(F.lit(1)).over(whole)
-    weighted = df.withColumn("_w", F.pow(F.lit(keep), newest - position))
-    ratio = F.sum(F.col(value) * F.col("_w")).over(before) / F.sum("_w").over(before)
-    return weighted.withColumn(f"ewm_{span}", ratio).drop("_w")
+    size = max(2, int(138 / -math.log(keep)))
+    place = F.row_number().over(in_time()) - 1
+    rows = df.withColumns({"_block": F.floor(place / size).cast("int"), "_at": place % size})
+    inside = Window.partitionBy("entity_id", "_block").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("entity_id").orderBy("_block").rangeBetween(-1, -1)
+    x = F.col(value)
+    there = x.isNotNull().cast("double")
+    rising, rest = F.pow(F.lit(keep), -F.col("_at")), F.pow(F.lit(keep), F.lit(size - 1) - F.col("_at"))
+
+    def total(v: Column) -> Column:
+        own = F.coalesce(F.sum(v * rising).over(inside), F.lit(0.0)) / keep
+        before = F.coalesce(F.sum(v * rest).over(earlier), F.lit(0.0))
+        return own + before
+
+    return rows.withColumn(f"ewm_{span}", F.try_divide(total(x), total(there))).drop("_block", "_at")
 
 
 def pct_change(df: DataFrame, ks=(1, 3), value: str = "amount") -> DataFrame:
@@ -118,10 +128,10 @@ def features_at(hist: DataFrame, at: int, entities: DataFrame, ks=LAGS, windows=
     return lag_features(both, ks, windows).where(F.col("t") == at).drop("amount")
 
 
-def advanced_features(df: DataFrame, ks=LAGS, windows=WINDOWS, t_max: int | None = None) -> DataFrame:
+def advanced_features(df: DataFrame, ks=LAGS, windows=WINDOWS, t_max: int | Column | None = None) -> DataFrame:
     """Lag frame plus calendar waves, progress, lag ratios, zero flags and lag spread."""
     progress = df.agg(F.max("t")).scalar() if t_max is None else F.lit(t_max)
     out = lag_features(df, ks, windows)
-    out = K.fourier(out, [12]).withColumn("year_progress", F.col("t") / progress)
+    out = K.fourier(out, [12]).withColumn("year_progress", F.try_divide(F.col("t"), progress))
     out = C.zero_flags(C.lag_ratio(out))
     return C.row_stats(out, [f"lag_{k}" for k in ks])

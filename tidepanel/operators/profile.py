@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.frames import per_entity
 from ..functions.quantiles import exact_quantiles
@@ -120,7 +120,7 @@ def top_entities(stats: DataFrame, by: str, n: int = 5) -> DataFrame:
     return stats.orderBy(F.col(by).desc(), "entity_id").limit(n)
 
 
-def sparse_entities(stats: DataFrame, periods: int, below: int = 30) -> DataFrame:
+def sparse_entities(stats: DataFrame, periods: int | Column, below: int = 30) -> DataFrame:
     """Entities with data in every period, and entities with data in few."""
     kind = F.when(F.col("periods_with_data") == periods, "full").when(F.col("periods_with_data") < below, "sparse")
     return stats.select("entity_id", "periods_with_data", kind.alias("kind")).where(F.col("kind").isNotNull())

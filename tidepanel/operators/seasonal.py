@@ -10,20 +10,29 @@ from ..session import staged
 from .tails import PEAK, SEASON, december_boost
 
 
-def december_multiplier(panel: DataFrame, last: int = 66, eps: float = 1e-9, min_obs: int = 1, lo: float = 0.8, hi: float = 1.5) -> DataFrame:
-    """Peak mean over other mean, zeros included; the overall ratio when an entity has few peaks."""
-    top = F.pmod(F.col("t"), F.lit(SEASON)) == PEAK
-    known = panel.where(F.col("t") <= last)
-    per = per_entity(
-        known,
-        F.avg(F.when(top, F.col("amount"))).alias("_high"),
-        F.avg(F.when(~top, F.col("amount"))).alias("_rest"),
-        F.count(F.when(top, F.col("amount"))).alias("_n"),
-    )
-    per = staged(per, "multipliers")
+def multiplier_parts(last: int = 66) -> list[Column]:
+    """Peak mean, other mean and number of peaks per entity, zeros included."""
+    known, top = F.col("t") <= last, F.pmod(F.col("t"), F.lit(SEASON)) == PEAK
+    return [
+        F.avg(F.when(known & top, F.col("amount"))).alias("_high"),
+        F.avg(F.when(known & ~top, F.col("amount"))).alias("_rest"),
+        F.count(F.when(known & top, F.col("amount"))).alias("_n"),
+    ]
+
+
+def multiplier(per: DataFrame, eps: float = 1e-9, min_obs: int = 1, lo: float = 0.8, hi: float = 1.5) -> Column:
+    """Peak mean over other mean from the parts in ``per``; the overall ratio when an entity has few peaks.
+
+    The overall ratio takes a second look at ``per``, one row per entity, so ``per`` should be staged.
+    """
     overall = per.agg(F.avg("_high") / (F.avg("_rest") + eps)).scalar()
     raw = F.when(F.col("_n") >= min_obs, F.col("_high") / (F.col("_rest") + eps)).otherwise(overall)
-    return per.select("entity_id", clip(F.coalesce(raw, F.lit(1.0)), lo, hi).alias("multiplier"))
+    return clip(F.coalesce(raw, F.lit(1.0)), lo, hi)
+
+
+def december_multiplier(panel: DataFrame, last: int = 66, eps: float = 1e-9, min_obs: int = 1, lo: float = 0.8, hi: float = 1.5) -> DataFrame:
+    per = staged(per_entity(panel.where(F.col("t") <= last), *multiplier_parts(last)), "multipliers")
+    return per.select("entity_id", multiplier(per, eps, min_obs, lo, hi).alias("multiplier"))
 
 
 def join_boost(panel: DataFrame, last: int = 66, cap: float = 2.0, default: float = 1.3) -> DataFrame:

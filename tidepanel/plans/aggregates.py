@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import per_entity
 from ..operators import forecast as FC, grid as G, profile as R, seasonal as S, tails as A
+from ..session import staged
 from ..sources import fixtures as X
-from .registry import OFF_TIE, boost_sql, geo_sql, query, rounded
+from .registry import boost_sql, geo_sql, half_up, half_up_sql, query, rounded
 
 
 def _tail(agg: str, n: int, skip: int = 0) -> str:
@@ -19,16 +20,16 @@ def monthly_totals(spark, d):
     return rounded(R.monthly_totals(X.obs(spark, d)), 2)
 
 
-@query("monthly_profile", f"SELECT t, round(sum(amount), 2) AS total, round(avg(amount) + {OFF_TIE}, 4) AS mean_amount, count(*) AS n FROM obs GROUP BY t")
+@query("monthly_profile", f"SELECT t, round(sum(amount), 2) AS total, {half_up_sql('avg(amount)')} AS mean_amount, count(*) AS n FROM obs GROUP BY t")
 def monthly_profile(spark, d):
     rows = R.monthly_profile(X.obs(spark, d))
-    return rounded(rows.withColumn("mean_amount", F.col("mean_amount") + OFF_TIE), 4, total=2)
+    return rounded(rows.withColumn("mean_amount", half_up("mean_amount")), 4, total=2)
 
 
-@query("seasonal_profile", f"SELECT CAST(t % 12 + 1 AS INTEGER) AS month_num, round(avg(amount) + {OFF_TIE}, 4) AS mean_amount FROM panel GROUP BY 1")
+@query("seasonal_profile", f"SELECT CAST(t % 12 + 1 AS INTEGER) AS month_num, {half_up_sql('avg(amount)')} AS mean_amount FROM panel GROUP BY 1")
 def seasonal_profile(spark, d):
     rows = S.seasonal_profile(X.panel(spark, d))
-    return rounded(rows.withColumn("mean_amount", F.col("mean_amount") + OFF_TIE))
+    return rows.withColumn("mean_amount", half_up("mean_amount"))
 
 
 @query(
@@ -269,15 +270,15 @@ def boost_summary(spark, d):
     "UNION ALL SELECT * FROM (SELECT 'zero_rate' AS ranked_by, entity_id, zero_rate AS value FROM stats ORDER BY zero_rate DESC, entity_id LIMIT 5)",
 )
 def top_entities(spark, d):
-    stats = rounded(R.entity_stats(X.panel(spark, d)), 4, std_amount=3, zero_rate=6)
+    stats = staged(rounded(R.entity_stats(X.panel(spark, d)), 4, std_amount=3, zero_rate=6), "stats")
     parts = [R.top_entities(stats, by).select(F.lit(by).alias("ranked_by"), "entity_id", F.col(by).alias("value")) for by in ("mean_amount", "zero_rate")]
     return parts[0].union(parts[1])
 
 
 @query(
     "sparse_entities",
-    f"stats AS ({_STATS}) SELECT entity_id, periods_with_data, CASE WHEN periods_with_data = 79 THEN 'full' ELSE 'sparse' END AS kind FROM stats WHERE periods_with_data = 79 OR periods_with_data < 70",
+    f"stats AS ({_STATS}) SELECT entity_id, periods_with_data, CASE WHEN periods_with_data = (SELECT max(t) + 1 FROM panel) THEN 'full' ELSE 'sparse' END AS kind FROM stats WHERE periods_with_data = (SELECT max(t) + 1 FROM panel) OR periods_with_data < 70",
 )
 def sparse_entities(spark, d):
     # the test panel has no entity below 30 periods, so the bound is higher here
-    return R.sparse_entities(R.entity_stats(X.panel(spark, d)), X.END + 1, 70)
+    return R.sparse_entities(R.entity_stats(X.panel(spark, d)), X.last_period(spark, d) + 1, 70)

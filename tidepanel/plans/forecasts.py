@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.frames import per_entity
-from ..operators import custom, forecast as FC, grid as G, horizon as H, joins as J, metrics as M, profile as R, tails as A, validation as V
+from ..operators import custom, forecast as FC, grid as G, horizon as H, joins as J, metrics as M, profile as R, seasonal as S, tails as A, validation as V
+from ..session import scratch_path, staged
 from ..sources import fixtures as X
 from .aggregates import LOOKBACK, MEDIAN_BOOST, multiplier_sql, trend_sql, weighted_sql
 from .registry import MONTH_NAME, boost_sql, geo_sql, query, rounded, score_sql
@@ -113,8 +114,7 @@ FROM per JOIN mult ON mult.entity_id = per.entity_id CROSS JOIN ahead
 """,
 )
 def forecast_ewgm(spark, d):
-    model = per_entity(_train(spark, d), A.geo_mean_guard(6, 6, X.LAST).alias("model"))
-    return rounded(FC.forecast_ewgm(_train(spark, d), model=model))
+    return rounded(FC.forecast_ewgm(_train(spark, d), model=A.geo_mean_guard(6, 6, X.LAST)))
 
 
 @query(
@@ -138,14 +138,14 @@ def forecast_mean(spark, d):
 @query(
     "events_forecast",
     """
-days AS (SELECT CAST(range AS INTEGER) AS t FROM range(30)),
-ev AS (SELECT CAST(user_id AS BIGINT) AS entity_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS t, round(sum(value), 2) AS amount FROM events GROUP BY 1, 2),
+ev AS (SELECT CAST(user_id AS BIGINT) AS entity_id, CAST(date_diff('day', (SELECT CAST(min(ts) AS DATE) FROM events), CAST(ts AS DATE)) AS INTEGER) AS t, round(sum(value), 2) AS amount FROM events GROUP BY 1, 2),
+days AS (SELECT CAST(unnest(range(0, (SELECT max(t) + 1 FROM ev))) AS INTEGER) AS t),
 evp AS (SELECT u.entity_id, days.t, coalesce(ev.amount, 0.0) AS amount FROM (SELECT DISTINCT entity_id FROM ev) u CROSS JOIN days LEFT JOIN ev ON ev.entity_id = u.entity_id AND ev.t = days.t),
 per AS (SELECT entity_id, CASE WHEN min(CASE WHEN t > 19 AND t <= 22 THEN amount END) = 0 THEN 0.0 ELSE coalesce(exp(avg(CASE WHEN t > 15 AND t <= 22 THEN ln(nullif(amount, 0)) END)), 0.0) END AS g,
   coalesce(least(avg(CASE WHEN t <= 22 AND t % 7 = 6 AND amount > 0 THEN amount END) / avg(CASE WHEN t <= 22 AND t % 7 <> 6 AND amount > 0 THEN amount END), CASE WHEN
     avg(CASE WHEN t <= 22 AND t % 7 = 6 AND amount > 0 THEN amount END) / avg(CASE WHEN t <= 22 AND t % 7 <> 6 AND amount > 0 THEN amount END) IS NOT NULL THEN 2.0 END), 1.3) AS b
   FROM evp GROUP BY entity_id)
-SELECT entity_id, t, round(g * CASE WHEN t % 7 = 6 THEN b ELSE 1.0 END, 4) AS forecast FROM per CROSS JOIN days WHERE t BETWEEN 23 AND 29
+SELECT entity_id, t, round(g * CASE WHEN t % 7 = 6 THEN b ELSE 1.0 END, 4) AS forecast FROM per CROSS JOIN (SELECT CAST(unnest(range(23, 30)) AS INTEGER) AS t)
 """,
 )
 def events_forecast(spark, d):
@@ -172,7 +172,7 @@ per AS (SELECT entity_id, {_GEO66} AS g FROM hist GROUP BY entity_id)
 
 @query("damp_synthetic", _SYNTH + "SELECT entity_id, t, round(CASE WHEN entity_id IN (SELECT entity_id FROM missing) THEN g * 0.5 ELSE g END, 4) AS forecast FROM per CROSS JOIN ahead")
 def damp_synthetic(spark, d):
-    panel = _train(spark, d)
+    panel = staged(_train(spark, d), "panel")
     missing = G.missing_entities(X.obs(spark, d, X.LAST), X.horizon_entities(spark, d))
     history = G.with_synthetic(panel, missing, G.synthetic_history(missing, R.time_medians(panel)))
     return rounded(H.damp(FC.forecast_geo(history), missing))
@@ -191,7 +191,7 @@ def lag_guard(spark, d):
 
 @query("tail_guard", f"per AS (SELECT entity_id, {_EWM} AS e, {_tail('min', 6)} AS low FROM train GROUP BY entity_id) SELECT entity_id, t, round(CASE WHEN low = 0 THEN 0.0 ELSE e END, 4) AS forecast FROM per CROSS JOIN ahead")
 def tail_guard(spark, d):
-    panel = _train(spark, d)
+    panel = staged(_train(spark, d), "panel")
     model = FC.expand_horizon(per_entity(panel, A.ewm_last(6, X.LAST).alias("forecast")), X.LAST)
     return rounded(H.tail_guard(model.select("entity_id", "t", "forecast"), panel))
 
@@ -204,14 +204,13 @@ def tail_guard(spark, d):
     "FROM per CROSS JOIN ahead",
 )
 def blend_files(spark, d):
-    from ..session import scratch_path
     from ..sources import sinks, tables
 
-    panel = _train(spark, d)
+    panel = staged(_train(spark, d), "panel")
     paths = []
     for fc in (FC.forecast_seasonal(panel), FC.forecast_mean(panel), FC.forecast_trend(panel)):
         paths.append(scratch_path(spark, "blend"))
-        numbered = H.with_ids(fc, X.BASE_YEAR).withColumn("row_no", F.col("t").cast("bigint") * 1_000_000_000 + F.col("entity_id"))
+        numbered = H.with_ids(fc, X.BASE_YEAR).withColumn("row_no", F.struct("t", "entity_id"))
         sinks.write_submission(numbered, paths[-1])
     files = tables.read_forecasts(spark, paths)
     out = H.blend(files, [0.4, 0.35, 0.25], value="new_house_transaction_amount")
@@ -236,14 +235,19 @@ def blend_masked(spark, d):
 _PAIRS = f"""
 per AS (SELECT entity_id, {_GEO66} AS base, {boost_sql()} AS boost FROM train GROUP BY entity_id),
 pairs AS (SELECT p.entity_id, p.t, p.amount AS y, CASE WHEN p.t % 12 = 11 THEN base * boost ELSE base END AS p
-          FROM panel p JOIN per ON per.entity_id = p.entity_id WHERE p.t > 66)
+          FROM panel p JOIN per ON per.entity_id = p.entity_id JOIN ahead ON ahead.t = p.t)
 """
 
 
 def _pairs(spark, d) -> DataFrame:
-    panel = X.panel(spark, d)
-    actual = panel.where(F.col("t") > X.LAST).withColumnRenamed("amount", "y")
-    return actual.join(FC.forecast_seasonal(panel).withColumnRenamed("forecast", "p"), ["entity_id", "t"])
+    """Forecast and truth of every horizon cell, from one pass over the panel."""
+    per = per_entity(
+        X.panel(spark, d, X.END),
+        A.geo_mean_guard(6, 6, X.LAST).alias("base"), A.december_boost(X.LAST).alias("boost"),
+        F.collect_list(F.when(F.col("t") > X.LAST, F.struct("t", F.col("amount").alias("y")))).alias("ahead"),
+    )
+    cells = per.select("entity_id", "base", "boost", F.inline("ahead"))
+    return cells.select("entity_id", "t", "y", S.apply_december(F.col("base"), F.col("boost")).alias("p"))
 
 
 _SCORE, _RATE = score_sql()

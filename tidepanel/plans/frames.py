@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C, keys as K
 from ..operators import forecast as FC, grid as G, horizon as H, joins as J, lags as L, learn as ML, peers as P, seasonal as S, validation as V
+from ..session import staged
 from ..sources import fixtures as X
-from .registry import OFF_TIE as _OFF_TIE, boost_sql, geo_sql, query, rounded
+from .registry import boost_sql, geo_sql, half_up, half_up_sql, query, rounded
 
 _W = "OVER (PARTITION BY entity_id ORDER BY t)"
 
@@ -186,17 +187,15 @@ def semi_filter(spark, d):
     return J.semi_filter(X.panel(spark, d).where(G.between(X.LAST + 1, X.END)), active)
 
 
-# Entities that the reported forecast sets to zero.
-_FORCED = [11, 38, 40, 43, 48, 51, 52, 57, 71, 72, 73, 74, 81, 86, 88, 94, 95]
-
-
 @query(
     "force_zero",
     f"per AS (SELECT entity_id, {geo_sql()} AS base FROM train GROUP BY entity_id) "
-    f"SELECT entity_id, t, CASE WHEN entity_id IN ({', '.join(map(str, _FORCED))}) THEN 0.0 ELSE round(base, 4) END AS forecast FROM per CROSS JOIN ahead",
+    "SELECT entity_id, t, CASE WHEN entity_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) THEN 0.0 ELSE round(base, 4) END AS forecast FROM per CROSS JOIN ahead",
 )
 def force_zero(spark, d):
-    return rounded(G.force_zero(FC.forecast_geo(X.panel(spark, d, X.LAST)), _FORCED))
+    # suppliers in debt stand for the entities that a user wants at zero
+    debtors = X.table(spark, d, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").cast("bigint").alias("entity_id"))
+    return rounded(G.force_zero(FC.forecast_geo(X.panel(spark, d, X.LAST)), debtors))
 
 
 # ---- joins ----
@@ -235,14 +234,14 @@ near AS (
   FROM entities a JOIN entities o ON o.n_nationkey = a.n_nationkey AND o.entity_id <> a.entity_id
   JOIN panel b ON b.entity_id = o.entity_id GROUP BY a.entity_id, b.t)
 """
-_NEAR_COLS = f"round(n.m + {_OFF_TIE}, 4) AS amount_peer_mean, round(n.s, 2) AS amount_peer_sum, n.x AS amount_peer_max, round(n.sd, 3) AS amount_peer_std"
+_NEAR_COLS = f"{half_up_sql('n.m')} AS amount_peer_mean, round(n.s, 2) AS amount_peer_sum, n.x AS amount_peer_max, round(n.sd, 3) AS amount_peer_std"
 
 
 @query("nearby_agg", _NEAR + f"SELECT p.entity_id, p.t, {_NEAR_COLS} FROM panel p LEFT JOIN near n ON n.entity_id = p.entity_id AND n.t = p.t")
 def nearby_agg(spark, d):
     members = X.panel(spark, d).join(X.nation_of(spark, d), "entity_id")
     rows = P.peer_stats(members, "n_nationkey", {"amount": P.STATS}).drop("n_nationkey", "amount")
-    rows = rows.withColumn("amount_peer_mean", F.col("amount_peer_mean") + _OFF_TIE)
+    rows = rows.withColumn("amount_peer_mean", half_up("amount_peer_mean"))
     return rounded(rows, 3, amount_peer_sum=2, amount_peer_mean=4)
 
 
@@ -255,7 +254,7 @@ def join_nearby(spark, d):
     members = X.panel(spark, d).join(X.nation_of(spark, d), "entity_id")
     panel = P.peer_stats(members, "n_nationkey", {"amount": P.STATS}).drop("n_nationkey")
     side = P.nearby_agg(X.second_hand(spark, d), "amount", ("sum",), "second_hand")
-    panel = panel.withColumn("amount_peer_mean", F.col("amount_peer_mean") + _OFF_TIE)
+    panel = panel.withColumn("amount_peer_mean", half_up("amount_peer_mean"))
     return rounded(J.join_nearby(panel, side), 3, amount=2, amount_peer_sum=2, second_hand_sum=2, amount_peer_mean=4)
 
 
@@ -273,10 +272,10 @@ SELECT p.entity_id, p.t, p.amount,
   coalesce(q.amount, -1.0) AS pht_mean, coalesce(q.amount, -1.0) AS pht_sum, coalesce(q.amount, -1.0) AS pht_max,
   coalesce(l.transaction_amount, -1.0) AS lt_mean, coalesce(l.transaction_amount, -1.0) AS lt_sum, coalesce(l.transaction_amount, -1.0) AS lt_max,
   s.s_acctbal, s.n_nationkey, s.r_regionkey, s.n_parts,
-  coalesce(round(n.m + {_OFF_TIE}, 4), -1.0) AS nht_nearby_mean, coalesce(round(n.s, 2), -1.0) AS nht_nearby_sum,
+  coalesce({half_up_sql('n.m')}, -1.0) AS nht_nearby_mean, coalesce(round(n.s, 2), -1.0) AS nht_nearby_sum,
   coalesce(n.x, -1.0) AS nht_nearby_max, coalesce(round(n.sd, 3), -1.0) AS nht_nearby_std,
-  coalesce(round(pn.m + {_OFF_TIE}, 4), -1.0) AS pht_nearby_mean, coalesce(round(pn.s, 2), -1.0) AS pht_nearby_sum,
-  coalesce(round(ln2.m + {_OFF_TIE}, 4), -1.0) AS lt_nearby_mean, coalesce(round(ln2.s, 2), -1.0) AS lt_nearby_sum,
+  coalesce({half_up_sql('pn.m')}, -1.0) AS pht_nearby_mean, coalesce(round(pn.s, 2), -1.0) AS pht_nearby_sum,
+  coalesce({half_up_sql('ln2.m')}, -1.0) AS lt_nearby_mean, coalesce(round(ln2.s, 2), -1.0) AS lt_nearby_sum,
   CAST(1995 + p.t // 12 AS INTEGER) AS year, coalesce(y.n_orders, -1) AS n_orders, coalesce(y.total, -1.0) AS total, coalesce(y.avg_price, -1.0) AS avg_price
 FROM panel p
 LEFT JOIN second_hand q ON q.entity_id = p.entity_id AND q.t = p.t
@@ -289,12 +288,11 @@ LEFT JOIN yearly y ON y.year = 1995 + p.t // 12
 """,
 )
 def feature_mart(spark, d):
-    mart = J.build_mart(
-        X.entities(spark, d), 0, X.END, X.obs(spark, d), X.second_hand(spark, d), X.land(spark, d),
-        X.entity_static(spark, d), X.yearly(spark, d), X.BASE_YEAR,
-    )
+    facts = X.all_facts(spark, d)
+    end = facts.agg(F.max("t")).scalar()
+    mart = J.build_mart(X.entities(spark, d), 0, end, facts, X.entity_static(spark, d), X.yearly(spark, d), X.BASE_YEAR)
     means = [c for c in mart.columns if c.endswith("_nearby_mean")]
-    mart = mart.withColumns({c: F.when(F.col(c) == -1.0, -1.0).otherwise(F.col(c) + _OFF_TIE) for c in means})
+    mart = mart.withColumns({c: F.when(F.col(c) == -1.0, -1.0).otherwise(half_up(c)) for c in means})
     return rounded(mart, 3, **{c: 2 for c in mart.columns if c.endswith("_sum")}, **{c: 4 for c in means})
 
 
@@ -318,11 +316,12 @@ def align_to_horizon(spark, d):
 
 @query(
     "id_mismatch",
-    "SELECT count(*) FILTER (WHERE p.entity_id IS NULL) AS left_only, CAST(0 AS BIGINT) AS right_only, count(p.entity_id) AS both "
-    "FROM horizon h LEFT JOIN panel p ON p.entity_id = h.entity_id AND p.t = h.t",
+    "SELECT count(*) FILTER (WHERE r.t IS NULL) AS left_only, count(*) FILTER (WHERE h.t IS NULL) AS right_only, count(*) FILTER (WHERE h.t IS NOT NULL AND r.t IS NOT NULL) AS both "
+    "FROM horizon h FULL JOIN (SELECT entity_id, CAST(unnest(range(67, 85)) AS INTEGER) AS t FROM entities) r ON r.entity_id = h.entity_id AND r.t = h.t",
 )
 def id_mismatch(spark, d):
-    return J.id_mismatch(X.horizon(spark, d), H.with_ids(FC.forecast_geo(X.panel(spark, d, X.LAST)), X.BASE_YEAR))
+    # a forecast file that reaches further and lacks the unseen entity
+    return J.id_mismatch(X.horizon(spark, d), H.with_ids(FC.forecast_geo(X.panel(spark, d, X.LAST), steps=18), X.BASE_YEAR))
 
 
 @query(
@@ -417,12 +416,12 @@ def rolling_min_current(spark, d):
 
 @query(
     "ewm_running",
-    f"SELECT entity_id, t, amount, round(sum(amount * pow(1.4, t)) OVER before / sum(pow(1.4, t)) OVER before + {_OFF_TIE}, 4) AS ewm_6 FROM panel "
+    f"SELECT entity_id, t, amount, {half_up_sql('sum(amount * pow(1.4, t)) OVER before / sum(pow(1.4, t)) OVER before')} AS ewm_6 FROM panel "
     "WINDOW before AS (PARTITION BY entity_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
 )
 def ewm_running(spark, d):
     rows = L.ewm_running(X.panel(spark, d), 6)
-    return rounded(rows.withColumn("ewm_6", F.col("ewm_6") + _OFF_TIE), amount=2)
+    return rounded(rows.withColumn("ewm_6", half_up("ewm_6")), amount=2)
 
 
 @query(
@@ -466,7 +465,7 @@ def lag_feature_frame(spark, d):
     "round(s, 4) AS lag_std, round(s / (m + 1), 4) AS lag_cv FROM framed f JOIN stats ON stats.entity_id = f.entity_id AND stats.t = f.t",
 )
 def advanced_features(spark, d):
-    return rounded(L.advanced_features(X.panel(spark, d), t_max=X.END))
+    return rounded(L.advanced_features(X.panel(spark, d), t_max=X.last_period(spark, d)))
 
 
 # ---- sets and layouts ----
@@ -492,21 +491,27 @@ def missing_entities(spark, d):
 def synthetic_history(spark, d):
     from ..operators.profile import time_medians
 
-    panel = X.panel(spark, d, X.LAST)
+    panel = staged(X.panel(spark, d, X.LAST), "panel")
     missing = G.missing_entities(X.obs(spark, d, X.LAST), X.horizon_entities(spark, d))
     made = G.synthetic_history(missing, time_medians(panel), 0.7)
     return rounded(G.with_synthetic(panel, missing, made))
 
 
-@query("pivot_wide", "SELECT entity_id, " + ", ".join(f"coalesce(sum(CASE WHEN t = {t} THEN amount END), 0.0) AS t{t}" for t in range(79)) + " FROM panel GROUP BY entity_id")
+def _periods(spark, d) -> list[int]:
+    """The periods of the data; a pivot needs them before it can be planned."""
+    return list(range(spark.range(1).select(X.last_period(spark, d)).first()[0] + 1))
+
+
+@query("pivot_wide", "spread AS (SELECT entity_id, 't' || t AS k, amount FROM panel) PIVOT spread ON k USING coalesce(sum(amount), 0.0) GROUP BY entity_id")
 def pivot_wide(spark, d):
-    return G.to_wide(X.panel(spark, d), list(range(X.END + 1)), prefix="t")
+    return G.to_wide(X.panel(spark, d), _periods(spark, d), prefix="t")
 
 
 @query("unpivot_long", "SELECT entity_id, t, amount FROM panel")
 def unpivot_long(spark, d):
-    wide = G.to_wide(X.panel(spark, d), list(range(X.END + 1)), prefix="t")
-    return G.to_long(wide, [f"t{t}" for t in range(X.END + 1)], prefix="t")
+    periods = _periods(spark, d)
+    wide = G.to_wide(X.panel(spark, d), periods, prefix="t")
+    return G.to_long(wide, [f"t{t}" for t in periods], prefix="t")
 
 
 @query("distinct_entities", "SELECT count(DISTINCT entity_id) AS n_entities, count(DISTINCT t) AS n_periods FROM obs")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from ..functions.keys import MONTHS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,7 +18,7 @@ WITH facts AS (
   SELECT CAST(l_suppkey AS BIGINT) AS entity_id,
          CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS INTEGER) AS t,
          l_returnflag AS flag, l_quantity AS quantity, l_extendedprice AS amount
-  FROM lineitem WHERE l_shipdate < TIMESTAMP '2001-08-01'),
+  FROM lineitem),
 obs AS (
   SELECT entity_id, t, count(*) AS num, round(sum(quantity), 2) AS area, round(sum(amount), 2) AS amount
   FROM facts WHERE flag = 'R' GROUP BY entity_id, t),
@@ -27,8 +29,8 @@ land AS (
   SELECT entity_id, t, count(*) AS num, round(sum(quantity), 2) AS area, round(sum(amount), 2) AS transaction_amount
   FROM facts WHERE flag = 'N' GROUP BY entity_id, t),
 entities AS (SELECT CAST(s_suppkey AS BIGINT) AS entity_id, s_nationkey AS n_nationkey FROM supplier),
-periods AS (SELECT CAST(range AS INTEGER) AS t FROM range(79)),
-ahead AS (SELECT t FROM periods WHERE t > 66),
+periods AS (SELECT CAST(unnest(range(0, (SELECT max(t) + 1 FROM facts))) AS INTEGER) AS t),
+ahead AS (SELECT CAST(unnest(range(67, 79)) AS INTEGER) AS t),
 panel AS (
   SELECT e.entity_id, p.t, coalesce(o.amount, 0.0) AS amount
   FROM entities e CROSS JOIN periods p LEFT JOIN obs o ON o.entity_id = e.entity_id AND o.t = p.t),
@@ -37,17 +39,13 @@ horizon_entities AS (
   SELECT entity_id FROM entities UNION ALL SELECT max(entity_id) + 1 FROM entities),
 horizon AS (
   SELECT (a.t - 67) * (SELECT max(entity_id) + 1 FROM horizon_entities) + h.entity_id AS row_no,
-         CAST(1995 + a.t // 12 AS VARCHAR) || ' ' || ['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'][a.t % 12 + 1]
+         CAST(1995 + a.t // 12 AS VARCHAR) || ' ' || {months}[a.t % 12 + 1]
            || '_sector ' || CAST(h.entity_id AS VARCHAR) AS id,
          h.entity_id, a.t
   FROM horizon_entities h CROSS JOIN ahead a)
 """
 
-# A mean of cents over 4, 8 or 16 rows can end on a rounding tie, where the last bit
-# of a sum decides; both sides shift such means off the tie before rounding.
-OFF_TIE = 1.2e-6
-
-MONTH_NAME = "['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec']"
+MONTH_NAME = str(list(MONTHS)).replace(" ", "")
 
 
 def query(key: str, sql: str | None = None, base: bool = True) -> Callable[[Query], Query]:
@@ -60,7 +58,7 @@ def query(key: str, sql: str | None = None, base: bool = True) -> Callable[[Quer
         if sql is not None:
             text = sql.strip()
             if base:
-                text = BASE.strip() + (" " if text.upper().startswith("SELECT") else ",\n") + text
+                text = BASE.strip().replace("{months}", MONTH_NAME) + (" " if text.upper().startswith("SELECT") else ",\n") + text
             ORACLES[key] = text
         return fn
 
@@ -73,6 +71,16 @@ def rounded(df: DataFrame, digits: int = 4, **special: int) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), special.get(c, digits)) + F.lit(0.0) for c in doubles}) if doubles else df
 
 
+def half_up(x: Column | str, digits: int = 4) -> Column:
+    """Round half up. What lies within a ten-thousandth of the last digit below a tie counts as the tie: there only the last bit of a sum decides."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.floor(x * 10**digits + 0.5001) / 10**digits
+
+
+def half_up_sql(x: str, digits: int = 4) -> str:
+    return f"floor(({x}) * {10**digits} + 0.5001) / {10**digits}"
+
+
 def geo_sql(lookback: int = 6, guard: int = 6, last: str = "66", x: str = "amount") -> str:
     return (
         f"CASE WHEN min(CASE WHEN t > {last} - {guard} AND t <= {last} THEN {x} END) = 0 THEN 0.0 "

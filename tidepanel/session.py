@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_FOLDERS: dict[str, str] = {}
+_OPEN: set[str] = set()
 
 
 def build_session(app: str = "tidepanel", master: str | None = None, **conf: str) -> SparkSession:
@@ -26,37 +27,37 @@ def build_session(app: str = "tidepanel", master: str | None = None, **conf: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; every executor must reach it.
-
-    Only a local master may do without the setting: it gets one temporary folder
-    per application. On a cluster a missing setting is an error.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by ``spark.checkpoint.dir``, or else one beside the warehouse; every executor must reach it."""
     context = spark.sparkContext
-    configured = configured or context.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured.rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    app = context.applicationId
-    if app not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="tidepanel-")
-    return _LOCAL_FOLDERS[app]
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    return (folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch").rstrip("/")
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder, which goes when the interpreter ends with the session still open."""
+    app = spark.sparkContext.applicationId
+    if app not in _OPEN:
+        _OPEN.add(app)
+        atexit.register(_drop_quietly, spark)
+    return f"{shared_folder(spark)}/tidepanel/{app}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/tidepanel/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Delete everything this application staged in the shared folder."""
+    """Delete everything that this application staged or checkpointed; call it when the results are written."""
     context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(
-        f"{shared_folder(spark)}/tidepanel/{context.applicationId}"
-    )
+    path = context._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _drop_quietly(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone already
+        drop_scratch(spark)
+
+
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -73,5 +74,5 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+        spark.sparkContext.setCheckpointDir(scratch_path(spark, "checkpoints"))
     return df.checkpoint()

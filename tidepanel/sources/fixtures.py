@@ -1,12 +1,12 @@
 """The library's input tables, derived from star-schema parquet files.
 
-``t`` counts months from January 1995. Periods up to 66 are history, 67 to 78 are
-the horizon; later months are only partly filled and are cut off in the scan.
+``t`` counts months from January 1995, up to the newest line item. Forecasts take periods
+up to 66 as history and 67 to 78 as the horizon; the rest of the library uses all periods.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import keys as K
 from ..operators.grid import densify, grid
@@ -22,17 +22,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def facts(spark: SparkSession, folder: str, flag: str | None = "R", hi: int = END) -> DataFrame:
-    """Raw line items as ``(entity_id, t, quantity, amount, part)``; flag and date reach the scan."""
-    lines = table(spark, folder, "lineitem")
-    year, month = divmod(hi + 1, 12)
-    cut = F.lit(f"{BASE_YEAR + year}-{month + 1:02d}-01").cast(lines.schema["l_shipdate"].dataType)
-    rows = lines.where(F.col("l_shipdate") < cut)
+def facts(spark: SparkSession, folder: str, flag: str | None = "R", hi: int | None = None) -> DataFrame:
+    """Raw line items as ``(entity_id, t, flag, quantity, amount, part)``, of all periods or up to ``hi``; flag and date reach the scan."""
+    rows = lines = table(spark, folder, "lineitem")
+    if hi is not None:
+        year, month = divmod(hi + 1, 12)
+        cut = F.lit(f"{BASE_YEAR + year}-{month + 1:02d}-01").cast(lines.schema["l_shipdate"].dataType)
+        rows = lines.where(F.col("l_shipdate") < cut)
     if flag is not None:
         rows = rows.where(F.col("l_returnflag") == flag)
     return rows.select(
         F.col("l_suppkey").cast("bigint").alias("entity_id"),
         K.date_index("l_shipdate", BASE_YEAR).alias("t"),
+        F.col("l_returnflag").alias("flag"),
         F.col("l_quantity").alias("quantity"),
         F.col("l_extendedprice").alias("amount"),
         F.col("l_partkey").alias("part"),
@@ -43,9 +45,22 @@ def _present(rows: DataFrame, *cols) -> DataFrame:
     return rows.groupBy("entity_id", "t").agg(*cols)
 
 
+def last_period(spark: SparkSession, folder: str) -> Column:
+    """The newest period of the line items, a scalar from a scan of one column."""
+    newest = table(spark, folder, "lineitem").agg(F.max("l_shipdate").alias("d"))
+    return newest.select(K.date_index("d", BASE_YEAR)).scalar()
 
 
-def obs(spark: SparkSession, folder: str, hi: int = END) -> DataFrame:
+def all_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Target, second-hand and land sums per cell from one scan, written once: ``amount``, ``pht`` and ``lt``, null where a cell has no such line."""
+    per = _present(
+        facts(spark, folder, None),
+        *[F.round(F.sum(F.when(F.col("flag") == flag, F.col("amount"))), 2).alias(name) for flag, name in (("R", "amount"), ("A", "pht"), ("N", "lt"))],
+    )
+    return staged(per, "cells")
+
+
+def obs(spark: SparkSession, folder: str, hi: int | None = None) -> DataFrame:
     """Present rows of the target."""
     sums = _present(
         facts(spark, folder, "R", hi),
@@ -62,7 +77,7 @@ def obs(spark: SparkSession, folder: str, hi: int = END) -> DataFrame:
     )
 
 
-def second_hand(spark: SparkSession, folder: str, hi: int = END) -> DataFrame:
+def second_hand(spark: SparkSession, folder: str, hi: int | None = None) -> DataFrame:
     sums = _present(
         facts(spark, folder, "A", hi),
         F.count(F.lit(1)).alias("num"),
@@ -72,7 +87,7 @@ def second_hand(spark: SparkSession, folder: str, hi: int = END) -> DataFrame:
     return sums.withColumn("price", F.col("amount") / F.col("area"))
 
 
-def land(spark: SparkSession, folder: str, hi: int = END) -> DataFrame:
+def land(spark: SparkSession, folder: str, hi: int | None = None) -> DataFrame:
     return _present(
         facts(spark, folder, "N", hi),
         F.count(F.lit(1)).alias("num"),
@@ -85,9 +100,10 @@ def entities(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "supplier").select(F.col("s_suppkey").cast("bigint").alias("entity_id"))
 
 
-def panel(spark: SparkSession, folder: str, hi: int = END) -> DataFrame:
-    """The dense panel, straight from the raw rows: one scan, one shuffle."""
-    return densify(facts(spark, folder, "R", hi), entities(spark, folder), 0, hi, digits=2)
+def panel(spark: SparkSession, folder: str, hi: int | None = None) -> DataFrame:
+    """The dense panel, straight from the raw rows: one scan, one shuffle. Without ``hi`` it ends at the newest line item."""
+    end = last_period(spark, folder) if hi is None else hi
+    return densify(facts(spark, folder, "R", hi), entities(spark, folder), 0, end, digits=2)
 
 
 def nation_of(spark: SparkSession, folder: str) -> DataFrame:
@@ -158,12 +174,13 @@ def horizon(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def events_panel(spark: SparkSession, folder: str) -> DataFrame:
-    """Users by day of January 2024: another step size."""
+    """Users by day, from the first event to the last: another step size."""
     events = table(spark, folder, "events")
-    start = F.lit("2024-01-01").cast("date")
+    span = events.agg(F.min("ts").cast("date").alias("start"), F.max("ts").cast("date").alias("end"))
+    start = span.select("start").scalar()
     rows = events.select(
         F.col("user_id").cast("bigint").alias("entity_id"),
         F.datediff(F.col("ts").cast("date"), start).alias("t"),
         F.col("value").alias("amount"),
     )
-    return densify(rows, rows.select("entity_id").distinct(), 0, 29, digits=2)
+    return densify(rows, rows.select("entity_id").distinct(), 0, span.select(F.datediff("end", "start")).scalar(), digits=2)

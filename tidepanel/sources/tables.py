@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 # File stems of the nine training tables.
 TRAIN_TABLES = (
@@ -21,47 +18,36 @@ TRAIN_TABLES = (
 )
 
 
-def _doubles(*names: str) -> list[T.StructField]:
-    return [T.StructField(n, T.DoubleType()) for n in names]
-
-
-def _keyed(*fields: T.StructField) -> T.StructType:
-    return T.StructType([T.StructField("month", T.StringType()), T.StructField("sector", T.StringType()), *fields])
-
-
-def _new_house(suffix: str) -> T.StructType:
-    stem = "new_house_transactions" + suffix
-    names = [f"{m}_{stem}" for m in ("num", "area", "price", "amount", "area_per_unit", "total_price_per_unit")]
-    names += [f"{m}_new_house_available_for_sale{suffix}" for m in ("num", "area")]
-    return _keyed(*_doubles(*names, f"period_new_house_sell_through{suffix}"))
-
-
-def _pre_owned(suffix: str) -> T.StructType:
-    return _keyed(*_doubles(*[f"{m}_pre_owned_house_transactions{suffix}" for m in ("area", "amount", "num", "price")]))
+def _typed(texts: str, doubles: str = "", longs: str = "") -> T.StructType:
+    """A schema of the listed text, double and long columns."""
+    kinds = ((texts, T.StringType()), (doubles, T.DoubleType()), (longs, T.LongType()))
+    return T.StructType([T.StructField(n, kind) for names, kind in kinds for n in names.split()])
 
 
-def _land(suffix: str) -> T.StructType:
-    names = ("num_land_transactions", "construction_area", "planned_building_area", "transaction_amount")
-    return _keyed(*_doubles(*[n + suffix for n in names]))
+_KEYS = "month sector"
 
-
-# Tables not listed here have many or varying attribute columns and are read with
-# inferred types, from a sample of the rows.
+# The column names of the files. Tables that are not listed have many or varying
+# attribute columns; their types are inferred from all rows.
 SCHEMAS: dict[str, T.StructType] = {
-    "new_house_transactions": _new_house(""),
-    "new_house_transactions_nearby_sectors": _new_house("_nearby_sectors"),
-    "pre_owned_house_transactions": _pre_owned(""),
-    "pre_owned_house_transactions_nearby_sectors": _pre_owned("_nearby_sectors"),
-    "land_transactions": _land(""),
-    "land_transactions_nearby_sectors": _land("_nearby_sectors"),
-    "city_search_index": T.StructType(
-        [
-            T.StructField("month", T.StringType()),
-            T.StructField("keyword", T.StringType()),
-            T.StructField("source", T.StringType()),
-            T.StructField("search_volume", T.LongType()),
-        ]
-    ),
+    "new_house_transactions": _typed(_KEYS, """
+        num_new_house_transactions area_new_house_transactions price_new_house_transactions amount_new_house_transactions
+        area_per_unit_new_house_transactions total_price_per_unit_new_house_transactions
+        num_new_house_available_for_sale area_new_house_available_for_sale period_new_house_sell_through"""),
+    "new_house_transactions_nearby_sectors": _typed(_KEYS, """
+        num_new_house_transactions_nearby_sectors area_new_house_transactions_nearby_sectors price_new_house_transactions_nearby_sectors
+        amount_new_house_transactions_nearby_sectors area_per_unit_new_house_transactions_nearby_sectors
+        total_price_per_unit_new_house_transactions_nearby_sectors num_new_house_available_for_sale_nearby_sectors
+        area_new_house_available_for_sale_nearby_sectors period_new_house_sell_through_nearby_sectors"""),
+    "pre_owned_house_transactions": _typed(_KEYS, """
+        area_pre_owned_house_transactions amount_pre_owned_house_transactions num_pre_owned_house_transactions price_pre_owned_house_transactions"""),
+    "pre_owned_house_transactions_nearby_sectors": _typed(_KEYS, """
+        area_pre_owned_house_transactions_nearby_sectors amount_pre_owned_house_transactions_nearby_sectors
+        num_pre_owned_house_transactions_nearby_sectors price_pre_owned_house_transactions_nearby_sectors"""),
+    "land_transactions": _typed(_KEYS, "num_land_transactions construction_area planned_building_area transaction_amount"),
+    "land_transactions_nearby_sectors": _typed(_KEYS, """
+        num_land_transactions_nearby_sectors construction_area_nearby_sectors planned_building_area_nearby_sectors
+        transaction_amount_nearby_sectors"""),
+    "city_search_index": _typed("month keyword source", longs="search_volume"),
 }
 
 FORECAST_SCHEMA = T.StructType(
@@ -69,34 +55,22 @@ FORECAST_SCHEMA = T.StructType(
 )
 
 
-@dataclass(frozen=True)
-class DatasetPaths:
-    root: str
-
-    @property
-    def train(self) -> str:
-        return f"{self.root}/data/raw/train"
-
-    @property
-    def test(self) -> str:
-        return f"{self.root}/data/raw/test.csv"
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, sampling: float = 0.1) -> DataFrame:
-    reader = spark.read.option("header", True)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """A CSV table with a header. Without a schema the types come from all rows; a value that does not fit is an error."""
+    reader = spark.read.option("header", True).option("mode", "FAILFAST")
     if schema is None:
-        return reader.option("inferSchema", True).option("samplingRatio", sampling).csv(path)
+        return reader.option("inferSchema", True).csv(path)
     return reader.schema(schema).option("enforceSchema", False).csv(path)
 
 
-def load_tables(spark: SparkSession, paths: DatasetPaths) -> dict[str, DataFrame]:
-    """All training tables by name; a missing file is an error that names its path."""
-    files = {name: f"{paths.train}/{name}.csv" for name in TRAIN_TABLES}
+def load_tables(spark: SparkSession, folder: str, names: tuple[str, ...] = TRAIN_TABLES) -> dict[str, DataFrame]:
+    """CSV tables of a folder by name; a missing file is an error that names its path."""
+    files = {name: f"{folder}/{name}.csv" for name in names}
     for path in files.values():
         if not path_exists(spark, path):
             raise FileNotFoundError(path)
@@ -115,7 +89,3 @@ def read_forecasts(spark: SparkSession, paths: list[str], schema: T.StructType =
 
 def read_parquet_tables(spark: SparkSession, folder: str, names: tuple[str, ...]) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in names}
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
