@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OPEN: set[str] = set()
+_SCOPES: list[str] = []
 
 
 def build_session(app: str = "tidepanel", master: str | None = None, **conf: str) -> SparkSession:
@@ -43,13 +44,23 @@ def _own_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    return "/".join([_own_folder(spark), *_SCOPES, f"{name}-{uuid.uuid4().hex[:12]}"])
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete everything that this application staged or checkpointed; call it when the results are written."""
+@contextlib.contextmanager
+def scratch_scope(name: str):
+    """What is staged inside goes to a folder of its own, which ``drop_scratch`` can delete alone."""
+    _SCOPES.append(name)
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+
+
+def drop_scratch(spark: SparkSession, scope: str | None = None) -> None:
+    """Delete what this application staged or checkpointed, or a scope of it; call it when the results are written."""
     context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path = context._jvm.org.apache.hadoop.fs.Path(_own_folder(spark) + (f"/{scope}" if scope else ""))
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
