@@ -12,7 +12,7 @@ from ..functions.frames import trailing, whole_entity
 from .forecast import forecast_seasonal
 from .horizon import blend_masked
 from .lags import positive_log
-from .learn import FEATURES, filled_matrix, fit_forest, fit_positive, fit_zero_classifier, p_zero
+from .learn import FEATURES, fit_forest, fit_positive, fit_zero_classifier, model_matrix, p_zero
 from .recursive import array_features, history_state
 from .seasonal import apply_december
 
@@ -33,8 +33,8 @@ def hurdle_forecast(panel: DataFrame, last: int = 66, steps: int = 12, holdout:
     Everything is fitted before the holdout; the zero classifier learns on the dense
     panel, because present rows hold no zeros.
     """
-    known = panel.where(F.col("t") <= last)
-    matrix = staged(filled_matrix(known), "matrix")
+    known = staged(panel.where(F.col("t") <= last), "panel")  # read four times
+    matrix = staged(model_matrix(known), "matrix")
     train = matrix.where(F.col("t") <= last - holdout)
     valid = matrix.where(F.col("t") > last - holdout)
     zero = fit_zero_classifier(train, FEATURES, **(classifier or {}))
@@ -54,7 +54,7 @@ def hurdle_forecast(panel: DataFrame, last: int = 66, steps: int = 12, holdout:
     ahead = history_state(known, last).withColumns(array_features())
     ahead = ahead.withColumn("t", F.explode(F.sequence(F.lit(last + 1), F.lit(last + steps))))
     ahead = ahead.withColumn("month_num", K.month_of("t")).drop("hist").fillna(0.0, subset=FEATURES)
-    geo = forecast_seasonal(panel, last, steps).withColumnRenamed("forecast", "geo")
+    geo = forecast_seasonal(known, last, steps).withColumnRenamed("forecast", "geo")
     ready = score_rows(ahead).join(geo, ["entity_id", "t"])
     weights = [chosen["w1"], chosen["w2"], chosen["w3"]]
     value = blend_masked([F.col(c) for c in _PARTS], weights, F.col("p_zero"), chosen["threshold"])

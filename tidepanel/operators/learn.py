@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+import math
 import random
 
 import numpy as np
@@ -29,7 +30,7 @@ def model_matrix(panel: DataFrame, ks=LAGS, windows=WINDOWS) -> DataFrame:
 
 
 def filled_matrix(panel: DataFrame, value: float = 0.0) -> DataFrame:
-    """Lag features with the target ``y``, gaps filled, from the first full lag on."""
+    """Lag features with the target ``y``, gaps filled, from the first full lag on: the option for learners that should see gaps."""
     frame = lag_features(panel.select("entity_id", "t", "amount"))
     frame = frame.withColumn("month_num", K.month_of("t")).withColumnRenamed("amount", "y")
     return frame.where(F.col(f"lag_{max(LAGS)}").isNotNull()).fillna(value, subset=lag_feature_names())
@@ -73,7 +74,7 @@ def fit_ridge(df: DataFrame, cols: list[str], alpha: float = 1.0, y: str = "y")
 
 def fit_gbt(df: DataFrame, cols: list[str], y: str = "y", validation: str | None = None, **params) -> Fitted:
     """Boosted trees; with a boolean ``validation`` column boosting stops early."""
-    settings = {"maxDepth": 5, "stepSize": 0.1, "maxIter": 20, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42}
+    settings = {"maxDepth": 5, "stepSize": 0.05, "maxIter": 400, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42}
     settings |= params
     if validation is not None:
         settings |= {"validationIndicatorCol": validation, "validationTol": settings.pop("validationTol", 0.01)}
@@ -81,7 +82,7 @@ def fit_gbt(df: DataFrame, cols: list[str], y: str = "y", validation: str | None
 
 
 def fit_forest(df: DataFrame, cols: list[str], y: str = "y", **params) -> Fitted:
-    settings = {"numTrees": 60, "maxDepth": 8, "seed": 42} | params
+    settings = {"numTrees": 300, "maxDepth": 8, "seed": 42} | params
     return Fitted(RandomForestRegressor(labelCol=y, **settings).fit(assemble(df, cols)), cols)
 
 
@@ -150,80 +151,116 @@ def ridge_path(row, n_cols: int, alphas: list[float]) -> list[tuple[float, np.nd
     return out
 
 
+def fold_grams(matrix: DataFrame, cols: list[str], folds=V.FOLDS, y: str = "y") -> list[dict]:
+    """The sums of each fold's training rows. Every row is summed once, in the block of periods between two cuts; the driver adds the blocks up."""
+    cuts = sorted({f[1] for f in folds} | {f[0] - 1 for f in folds})
+    block = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("t")))
+    rows = {r["block"]: r for r in gram(matrix.where(F.col("t") <= cuts[-1]).withColumn("block", block), cols, y, "block").collect()}
+    out = []
+    for i, (lo, hi, _, _) in enumerate(folds):
+        own = [r for b, r in rows.items() if cuts.index(lo - 1) < b <= cuts.index(hi)]
+        out.append(
+            {"fold": i, "n": sum(r["n"] for r in own), "sums": np.sum([r["sums"] for r in own], axis=0), "products": np.sum([r["products"] for r in own], axis=0)}
+        )
+    return out
+
+
+def linear(cols: list[str], weights, intercept: float) -> Column:
+    out = F.lit(float(intercept))
+    for c, w in zip(cols, weights):
+        out = out + F.col(c) * F.lit(float(w))
+    return out
+
+
 def grid_ridge(matrix: DataFrame, cols: list[str], alphas: list[float], folds=V.FOLDS, y: str = "y") -> DataFrame:
     """Scores of every penalty in every fold: one job for the sums, one for the scores.
 
-    Only one row of sums per fold reaches the driver, whatever the panel's size.
+    Only one row of sums per block of periods reaches the driver, whatever the panel's size.
     """
-    rows = V.assign_folds(matrix, folds)
-    grams = gram(rows.where(F.col("role") == "train"), cols, y).collect()
-    models = [(g["fold"], a, w, b) for g in grams for a, w, b in ridge_path(g, len(cols), alphas)]
-    table = F.array(
-        *[
-            F.struct(F.lit(f).alias("fold"), F.lit(a).alias("alpha"), F.array(*[F.lit(float(v)) for v in w]).alias("w"), F.lit(b).alias("b"))
-            for f, a, w, b in models
-        ]
-    )
-    valid = rows.where(F.col("role") == "valid").select("fold", F.col(y).alias("y"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
-    tried = valid.select("fold", "y", "x", F.explode(F.filter(table, lambda m: m["fold"] == F.col("fold"))).alias("m"))
-    dot = F.aggregate(F.zip_with("x", F.col("m.w"), lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-    pairs = tried.select("fold", F.col("m.alpha").alias("alpha"), "y", (dot + F.col("m.b")).alias("p"))
+    paths = {g["fold"]: ridge_path(g, len(cols), alphas) for g in fold_grams(matrix, cols, folds, y)}
+    fold = None
+    for i, (_, _, lo, hi) in enumerate(folds):
+        here = F.col("t").between(lo, hi)
+        fold = F.when(here, i) if fold is None else fold.when(here, i)
+    valid = matrix.withColumn("fold", fold).where(F.col("fold").isNotNull())
+    tried = []
+    for k, alpha in enumerate(alphas):
+        p = None
+        for i, path in paths.items():
+            value = linear(cols, path[k][1], path[k][2])
+            p = F.when(F.col("fold") == i, value) if p is None else p.when(F.col("fold") == i, value)
+        tried.append(F.struct(F.lit(alpha).alias("alpha"), p.alias("p")))
+    pairs = valid.select("fold", F.col(y).alias("y"), F.inline(F.array(*tried)))
     return V.score_folds(pairs, ("alpha", "fold"))
 
 
+def best_alpha(scores: DataFrame) -> float:
+    """The penalty of the best mean fold score, the smaller of equal ones."""
+    per = scores.groupBy("alpha").agg(F.avg("score").alias("mean")).orderBy(F.col("mean").desc(), "alpha")
+    return per.first()["alpha"]
+
+
 # ---- searches over fitted models ----
 
 
 def cross_validate(matrix: DataFrame, fit, folds=V.FOLDS, parallelism: int = 4) -> DataFrame:
-    """Out-of-fold pairs of ``fit(train)`` for every fold; the fits run concurrently."""
-    rows = V.assign_folds(matrix, folds)
+    """Out-of-fold pairs of ``fit(train)`` for every fold; the fits run concurrently. A fold is a range of periods, so rows are filtered, not copied."""
 
-    def one(i: int) -> DataFrame:
-        fold = rows.where(F.col("fold") == i)
-        fitted = fit(fold.where(F.col("role") == "train"))
-        return fitted.predict(fold.where(F.col("role") == "valid")).select("fold", "entity_id", "t", "y", "p")
+    def one(job: tuple[int, tuple]) -> DataFrame:
+        i, (lo, hi, valid_lo, valid_hi) = job
+        fitted = fit(matrix.where(F.col("t").between(lo, hi)))
+        valid = matrix.where(F.col("t").between(valid_lo, valid_hi)).withColumn("fold", F.lit(i))
+        return fitted.predict(valid).select("fold", "entity_id", "t", "y", "p")
 
     with ThreadPoolExecutor(parallelism) as pool:
-        parts = list(pool.map(one, range(len(folds))))
+        parts = list(pool.map(one, enumerate(folds)))
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)
     return out
 
 
+MEASURES = ("mean_score", "std_score", "good_rate", "rmse", "mape")
+
+
+def fold_report(pairs: DataFrame) -> DataFrame:
+    """One row: mean and deviation of the fold scores, and the fold means of good rate, RMSE and MAPE."""
+    return V.score_folds(pairs).agg(
+        F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("std_score"), *[F.avg(c).alias(c) for c in ("good_rate", "rmse", "mape")]
+    )
+
+
 def search(matrix: DataFrame, cols: list[str], candidates: list[dict], folds=V.FOLDS, fit=fit_gbt, parallelism: int = 4) -> DataFrame:
-    """Mean and deviation of the fold scores for every candidate, with its parameters as columns.
+    """A row per candidate: its parameters and the ``MEASURES`` of its folds.
 
+    A trial is scored to one row as soon as it is fitted, so the plan does not grow with the trials.
     ``matrix`` should be staged or persisted; every fit reads it.
     """
 
-    def one(job: tuple[int, dict]) -> DataFrame:
+    def one(job: tuple[int, dict]) -> tuple:
         i, params = job
-        pairs = cross_validate(matrix, lambda train: fit(train, cols, **params), folds, 1)
-        scores = V.fold_summary(V.score_folds(pairs))
-        return scores.select(F.lit(i).alias("trial"), *[F.lit(v).alias(k) for k, v in params.items()], "mean_score", "std_score")
+        row = fold_report(cross_validate(matrix, lambda train: fit(train, cols, **params), folds, 1)).first()
+        return (i, *params.values(), *[row[m] for m in MEASURES])
 
     with ThreadPoolExecutor(parallelism) as pool:
-        parts = list(pool.map(one, enumerate(candidates)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        rows = list(pool.map(one, enumerate(candidates)))
+    kinds = {int: "int", float: "double", str: "string"}
+    fields = ["trial int", *[f"{k} {kinds[type(v)]}" for k, v in candidates[0].items()], *[f"{m} double" for m in MEASURES]]
+    return matrix.sparkSession.createDataFrame(rows, ", ".join(fields))
 
 
-def random_candidates(n: int, seed: int = 42) -> list[dict]:
+def random_candidates(n: int = 40, seed: int = 42, trees: tuple[int, int] = (300, 1200)) -> list[dict]:
     """Seeded draws from the tuning ranges; the learning rate is log-uniform."""
     draw = random.Random(seed)
     return [
         {
-            "maxDepth": draw.randint(3, 8),
-            "minInstancesPerNode": draw.randint(1, 10),
-            "stepSize": round(10 ** draw.uniform(-2.0, -0.5), 6),
-            "maxIter": draw.randint(4, 10),
-            "subsamplingRate": round(draw.uniform(0.6, 1.0), 4),
-            "featureSubsetStrategy": f"{draw.uniform(0.6, 0.99):.4f}",
+            "maxDepth": draw.randint(4, 10),
+            "minInstancesPerNode": draw.randint(1, 20),
+            "stepSize": round(10 ** draw.uniform(-2.0, math.log10(0.2)), 6),
+            "maxIter": draw.randint(*trees),
+            "subsamplingRate": round(draw.uniform(0.5, 1.0), 4),
+            "featureSubsetStrategy": f"{draw.uniform(0.5, 0.99):.4f}",
             "minInfoGain": round(10 ** draw.uniform(-6, -1), 8),
-            "maxBins": draw.choice([32, 48, 64]),
         }
         for _ in range(n)
     ]
@@ -245,6 +282,3 @@ def direct_forecast(panel: DataFrame, last: int = 66, steps: int = 12, first: in
     newest = fitted.predict(frame.where(F.col("t") == last), "p").select("entity_id", F.greatest("p", F.lit(0.0)).alias("forecast"))
     return newest.withColumn("t", F.explode(F.sequence(F.lit(last + 1), F.lit(last + steps)))).select("entity_id", "t", "forecast")
 
-
-def clipped(p: Column) -> Column:
-    return F.greatest(p, F.lit(0.0))

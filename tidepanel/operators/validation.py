@@ -120,9 +120,9 @@ def grid_geo(panel: DataFrame, lookbacks: list[int], guards: list[int] | None, l
     return scored.groupBy("lookback", "guard").agg(score.alias("score"), rate.alias("good_rate"))
 
 
-def best(grid: DataFrame, tie_break: list[str]) -> DataFrame:
+def best(grid: DataFrame, tie_break: list[str], score: str = "score") -> DataFrame:
     """The row with the highest score."""
-    return grid.orderBy(F.col("score").desc(), *tie_break).limit(1)
+    return grid.orderBy(F.col(score).desc(), *tie_break).limit(1)
 
 
 def grid_blend_alpha(pairs: DataFrame, a: str, b: str, steps: int = 21, y: str = "y") -> DataFrame:

@@ -57,7 +57,9 @@ def query(key: str, sql: str | None = None, base: bool = True) -> Callable[[Quer
         QUERIES[key] = fn
         if sql is not None:
             text = sql.strip()
-            if base:
+            if base and text.startswith("RECURSIVE "):
+                text = "WITH RECURSIVE" + BASE.strip().replace("{months}", MONTH_NAME).removeprefix("WITH") + ",\n" + text.removeprefix("RECURSIVE ")
+            elif base:
                 text = BASE.strip().replace("{months}", MONTH_NAME) + (" " if text.upper().startswith("SELECT") else ",\n") + text
             ORACLES[key] = text
         return fn
