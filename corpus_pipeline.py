@@ -6,6 +6,8 @@ Each stage takes ``(spark, docs, sf_dir)`` and works on all that the stage befor
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidepanel.llm.common import small_side
@@ -14,13 +16,26 @@ from tidepanel.llm.ngram import ngram_join
 from tidepanel.llm.packing import pack
 from tidepanel.llm.pii import redact
 from tidepanel.llm.quality import quality_rules
-from tidepanel.session import staged
+from tidepanel.session import drop_scratch, scratch_scope, staged
+
+
+def _step(stage):
+    """A stage that first deletes what the stage before it staged: its result is written by then."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_scratch(spark, "stage")
+        with scratch_scope("stage"):
+            return stage(spark, docs, sf_dir)
+
+    return run
 
 
 def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")).select(*columns) if "n_chars" in columns else docs
 
 
+@_step
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules or the verdict on their host reject go."""
     digest: Column = F.xxhash64("text")
@@ -29,11 +44,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return docs.join(out, docs["doc_id"].eqNullSafe(out["r_doc"]) & (F.xxhash64(docs["text"]) == out["r_digest"]), "left_anti")
 
 
+@_step
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier line, or nearly, go; every document stays."""
     return _counted(drop_lines(docs), docs.columns)
 
 
+@_step
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by five-word Jaccard similarity of 0.8 or more, the one of the smallest id stays.
 
@@ -44,11 +61,13 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(out, docs["doc_id"] == out["r_doc"], "left_anti")
 
 
+@_step
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind; every document stays."""
     return _counted(redact(docs), docs.columns)
 
 
+@_step
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The packed token pieces of the documents."""
     return pack(docs)
@@ -69,6 +88,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; each stage is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        result = stage(spark, docs, sf_dir)
+        with scratch_scope(f"docs{k % 2}"):
+            docs = staged(result, name)
+        drop_scratch(spark, f"docs{1 - k % 2}")
     return STAGES[-1][1](spark, docs, sf_dir)

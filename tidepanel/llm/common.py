@@ -52,6 +52,10 @@ def _byte_values(lower: bool) -> np.ndarray:
 _VALUES = {lower: _byte_values(lower) for lower in (False, True)}
 _IS_BLANK = np.zeros(256, bool)
 _IS_BLANK[[ord(c) for c in BLANKS]] = True
+_IS_STOP = np.zeros(256, bool)
+_IS_STOP[[ord(c) for c in ".,"]] = True
+_IS_ALNUM = np.zeros(256, bool)
+_IS_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _POWERS = np.cumprod(np.full(4096, 0xD6E8FEB86659FD93, _U64))
 
 
@@ -71,14 +75,21 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start byte and end byte of every word of a batch, and the first word of each text (one more at the end)."""
+def word_hashes(texts: pa.Array, lower: bool = True, stops: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start byte and end byte of every word of a batch, and the first word of each text (one more at the end).
+
+    With ``stops`` a full stop or comma that ends a word after an ASCII letter or digit is a word of its own.
+    """
     data, offsets = text_buffer(texts)
     inside = ~_IS_BLANK[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     heads = offsets[:-1][offsets[:-1] < offsets[1:]]
     begins[heads] = inside[heads]
+    if stops and len(data) > 1:
+        closes = np.append(~inside[1:], True)
+        closes[offsets[1:][offsets[1:] > offsets[:-1]] - 1] = True
+        begins[1:] |= _IS_STOP[data[1:]] & closes[1:] & inside[:-1] & _IS_ALNUM[data[:-1]] & ~begins[1:]
     starts = np.flatnonzero(begins)
     first = np.searchsorted(starts, offsets)
     if not len(starts):
@@ -119,10 +130,11 @@ def map_batches(df: DataFrame, work, schema: str) -> DataFrame:
 BROADCAST_ROWS = 1_000_000
 
 
-def small_side(df: DataFrame, name: str = "side") -> DataFrame:
-    """Write a table of a few numbers a row; broadcast it if it has at most ``BROADCAST_ROWS`` rows."""
-    df = staged(df, name)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def small_side(df: DataFrame, size: Column | None = None) -> DataFrame:
+    """Write a table of a few numbers a row; broadcast it if it has at most ``BROADCAST_ROWS`` rows. ``size`` counts a row with arrays as more."""
+    df = staged(df, "side")
+    rows = df.count() if size is None else df.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def _thinned(batches: Iterator[pa.RecordBatch], limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:

@@ -219,7 +219,7 @@ def near_lines(docs: DataFrame, first: DataFrame, edits: int = MAX_EDITS, min_by
             found = [(h, x) for h, x in found if _signed(xxhash.xxh3_128_intdigest(x) & 0xFFFFFFFFFFFFFFFF) == h]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["h", "line"])
 
-    held = staged(map_batches(docs.join(small_side(places), "doc_id").select("text", "want"), texts, "h long, line binary").distinct(), "texts")
+    held = staged(map_batches(docs.join(small_side(places, F.size("want") + 1), "doc_id").select("text", "want"), texts, "h long, line binary").distinct(), "texts")
     left = held.select(F.col("h").alias("a"), F.col("line").alias("x"))
     right = held.select(F.col("h").alias("b"), F.col("line").alias("y"))
 
@@ -273,7 +273,7 @@ def line_report(docs: DataFrame, edits: int = MAX_EDITS, min_bytes: int = MIN_BY
 def drop_lines(docs: DataFrame, edits: int = MAX_EDITS, min_bytes: int = MIN_BYTES) -> DataFrame:
     """``docs`` with the dropped lines taken out of ``text``; all columns and rows stay, a null text stays null."""
     found = dropped_lines(docs, edits, min_bytes).where(F.size("dropped") > 0).select(F.col("doc_id").alias("_doc"), "dropped")
-    joined = docs.join(small_side(found), docs["doc_id"].cast("long") == F.col("_doc"), "left")
+    joined = docs.join(small_side(found, F.size("dropped") + 1), docs["doc_id"].cast("long") == F.col("_doc"), "left")
     lines = F.split("text", "\n")
     keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped"))
     text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n"))

@@ -85,60 +85,56 @@ def fragment_keys(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(keys)
 
 
-def _keys(docs: DataFrame, n: int, percent: int) -> DataFrame:
+def _signatures(docs: DataFrame, n: int) -> DataFrame:
+    """Size and two sums of every document's set; equal sets have equal ones."""
     def work(batch):
         for part in slices(batch, "text"):
             sets = ngram_sets(part.column("text"), n)
-            keys = [signed(fragment_keys(s, percent)) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(signed(np.array([s.sum(dtype=_U) for s in sets], _U))),
                     pa.array(signed(np.array([mix64(s ^ _C[0]).sum(dtype=_U) for s in sets], _U))),
-                    pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(k) for k in keys]), pa.int32()), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))),
                 ],
-                ["doc_id", "n", "sig1", "sig2", "keys"],
+                ["doc_id", "n", "sig1", "sig2"],
             )
 
-    return map_batches(docs, work, "doc_id long, n long, sig1 long, sig2 long, keys array<long>")
+    return map_batches(docs, work, "doc_id long, n long, sig1 long, sig2 long")
 
 
-def _stars(keyed: DataFrame) -> DataFrame:
+def _stars(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Star edges ``(a, b)`` between documents with a common key."""
-    def local(batch):
-        """Keys of a batch in order, the place where each begins, the document of each row, and each document's batch-wide label."""
-        lists = batch.column("keys")
-        keys = lists.flatten().to_numpy(zero_copy_only=False)
-        docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        owner = np.repeat(np.argsort(np.argsort(docs, kind="stable"), kind="stable"), np.diff(lists.offsets.to_numpy()))
+    def heads(batch):
+        ids, keys = batch.column("doc_id").to_numpy(zero_copy_only=False), []
+        for part in slices(batch, "text"):
+            keys += [fragment_keys(s, percent) for s in ngram_sets(part.column("text"), n)]
+        owner = np.repeat(np.argsort(np.argsort(ids, kind="stable"), kind="stable"), [len(k) for k in keys])
+        keys, ids = signed(np.concatenate(keys)), np.sort(ids)
+        if not len(keys):
+            return
         order = np.argsort(keys, kind="stable")
         keys, owner = keys[order], owner[order]
         begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         runs = np.diff(np.append(begins, len(keys)))
-        label = np.arange(len(docs))
+        label = np.arange(len(ids))
         while True:
             least = np.repeat(np.minimum.reduceat(label[owner], begins), runs)
             new = label.copy()
             np.minimum.at(new, owner, least)
             if (new == label).all():
-                return keys[begins], np.sort(docs), label[owner[begins]], label
+                break
             label = new
+        # a document that is joined to another of the batch shares a key of its own with it
+        moved = np.flatnonzero(ids[label] != ids)
+        own = signed(mix64(ids[moved].astype(np.int64).view(_U) ^ _C[0]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([keys[begins], own, own])), pa.array(np.concatenate([ids[label[owner[begins]]], ids[moved], ids[label[moved]]]))], ["key", "id"]
+        )
 
-    def heads_of(batch):
-        keys, docs, at, _ = local(batch)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(docs[at])], ["key", "id"])
-
-    def inner(batch):
-        _, docs, _, label = local(batch)
-        moved = docs[label] != docs
-        yield pa.RecordBatch.from_arrays([pa.array(docs[label][moved]), pa.array(docs[moved])], ["a", "b"])
-
-    rows = keyed.where("doc_id is not null and n > 0").select("doc_id", "keys")
-    heads = map_batches(rows, heads_of, "key long, id long")
-    w = Window.partitionBy("key")
-    across = heads.withColumn("a", F.min("id").over(w)).where("a <> id").select("a", F.col("id").alias("b"))
-    return across.union(map_batches(rows, inner, "a long, b long")).distinct()
+    rows = map_batches(docs.where("doc_id is not null"), heads, "key long, id long")
+    across = rows.withColumn("a", F.min("id").over(Window.partitionBy("key")))
+    return across.where("a <> id").select("a", F.col("id").alias("b")).distinct()
 
 
 def _forest(links: np.ndarray) -> list[tuple[int, int]]:
@@ -215,9 +211,8 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text
     within a pair is below 1e-12.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    keyed = staged(_keys(rows, n, percent), "fragments")
-    family = components(_stars(keyed)).withColumnRenamed("component", "family")
-    small = keyed.select("doc_id", "n", "sig1", "sig2")
+    small = staged(_signatures(rows, n), "signatures")
+    family = components(_stars(rows, n, percent)).withColumnRenamed("component", "family")
     sets = small.distinct().join(family, F.col("doc_id") == F.col("id")).groupBy("family", "n", "sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     sets = staged(sets, "sets")
     sizes = sets.groupBy("family").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
