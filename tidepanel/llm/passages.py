@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidepanel.llm.common import BROADCAST_ROWS, map_batches, mix64, powers, signed, slices, text_buffer, word_hashes
+from tidepanel.llm.common import map_batches, mix64, powers, signed, slices, text_buffer, word_hashes
 from tidepanel.session import staged
 
 RUN = 2
@@ -106,8 +106,6 @@ def drop_passages(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marks = staged(repeated_runs(rows).withColumnRenamed("doc_id", "m_doc"), "marks")
-    size = marks.agg(F.sum(F.size("begins") + 4)).first()[0] or 0
-    marks = F.broadcast(marks) if size <= 4 * BROADCAST_ROWS else marks
 
     def work(batch):
         for part in slices(batch, "text"):
