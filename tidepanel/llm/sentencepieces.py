@@ -14,11 +14,12 @@ import zlib
 from array import array
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidepanel.llm.bpe import Pairs
-from tidepanel.llm.common import map_batches, slices
+from tidepanel.llm.common import map_batches, slices, text_buffer, word_hashes
 from tidepanel.llm.tokens import Remembered, tokenizer_path
 
 MARK = "▁"
@@ -49,7 +50,7 @@ class Pieces:
                 self.texts.append(piece.replace(MARK, " ").encode())
         self.pairs = Pairs(lambda a, b: scores.get(a + b))
         self.grow = frozenset(p[:k] for p in self.ids for k in range(1, len(p) + 1))
-        self.known = Remembered(lambda word: self.walk([word])[0], WORDS)
+        self.known = Remembered(lambda word: self.walk([word])[0], WORDS)  # also of words that ``turn`` forgot
 
     def _ids(self, token: str) -> list[int]:
         got = self.ids.get(token)
@@ -85,13 +86,51 @@ class Pieces:
             before = word
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        self.known.turn()
+    def split(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts of any kind, word by word."""
         parts = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = sorted({w for words in parts for w in words if w not in self.known} - self.known.old.keys())
+        self.learn({w for words in parts for w in words})
+        return [b"".join(map(self.known.__getitem__, words)) for words in parts]
+
+    def learn(self, words) -> None:
+        new = sorted(w for w in words if w not in self.known and w not in self.known.old)
         for word, ids in zip(new, self.walk(new)):
             self.known[word] = ids
-        return [b"".join(map(self.known.__getitem__, words)) for words in parts]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text of a slice; null counts as empty.
+
+        Where only single blanks and line ends part the words, each distinct word of the slice is looked up once.
+        """
+        self.known.turn()
+        data, offsets = text_buffer(texts)
+        raw = data.tobytes()
+        hashes, starts, ends, first = word_hashes(texts, lower=False)
+        before = np.where(starts > 0, data[np.maximum(starts - 1, 0)], 32) if len(starts) else starts
+        before[first[:-1][first[:-1] < first[1:]]] = 32
+        bare = before == 10
+        _, sample, which = np.unique(hashes ^ (bare.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_inverse=True)
+        words = [("" if b else MARK) + raw[i:j].decode() for b, i, j in zip(bare[sample].tolist(), starts[sample].tolist(), ends[sample].tolist())]
+        self.learn(words)
+        known = [self.known[w] for w in words] + [self.known["\n"]]
+        breaks = np.flatnonzero(data == 10)
+        place = np.concatenate([starts, breaks])
+        order = np.argsort(place, kind="stable")
+        which = np.concatenate([which, np.full(len(breaks), len(words))])[order]
+        out, bounds = gathered(known, which, np.searchsorted(place[order], offsets))
+        # a blank beside a blank, at an end of a text or after a line end, and blanks and marks of other kinds
+        odd = np.zeros(len(texts), bool)
+        blank = data == 32
+        beside = np.append(False, blank[1:] & (blank[:-1] | (data[:-1] == 10))) | np.append((data[1:] == 10) & blank[:-1], False)[: len(data)] if len(data) else blank
+        odd[np.searchsorted(offsets, np.flatnonzero(beside | ((data >= 9) & (data <= 13) & (data != 10))), "right") - 1] = True
+        filled = np.flatnonzero(offsets[1:] > offsets[:-1])
+        odd[filled[blank[offsets[:-1][filled]] | (data[offsets[:-1][filled]] == 10) | blank[offsets[1:][filled] - 1]]] = True
+        got = [out[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        if MARK.encode() in raw:
+            odd |= np.array([MARK in (t or "") for t in texts.to_pylist()])
+        for i in np.flatnonzero(odd).tolist():
+            got[i] = self.split([texts[i].as_py()])[0]
+        return got
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: pieces with blanks for marks, bytes put together, the mark before the text taken off."""
@@ -99,6 +138,16 @@ class Pieces:
         return raw.removeprefix(b" ").decode("utf-8", "replace")
 
 
+def gathered(known: list[bytes], which: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit ids of the items ``which`` one after the other, and where the ids of each text begin, given its first item."""
+    sizes = np.array([len(k) // 4 for k in known], np.int64)
+    pool = np.frombuffer(b"".join(known), np.uint32)
+    counts = sizes[which]
+    after = np.cumsum(counts)
+    out = pool[np.repeat((np.cumsum(sizes) - sizes)[which] - after + counts, counts) + np.arange(after[-1] if len(after) else 0)]
+    return out, np.concatenate([[0], after])[first]
+
+
 @lru_cache(maxsize=2)
 def pieces_of(path: str) -> Pieces:
     return Pieces(path)
@@ -110,7 +159,7 @@ def piece_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def work(batch):
         for part in slices(batch, "text"):
-            found = pieces_of(path).encode([t or "" for t in part.column("text").to_pylist()])
+            found = pieces_of(path).encode(part.column("text"))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([memoryview(x).cast("I").tolist() for x in found], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "doc_id long, ids array<int>")
@@ -139,7 +188,7 @@ def piece_report(docs: DataFrame, path: str | None = None) -> DataFrame:
         for part in slices(batch, "text"):
             texts = [t or "" for t in part.column("text").to_pylist()]
             model = pieces_of(path)
-            found = model.encode(texts)
+            found = model.encode(part.column("text"))
             back = [model.decode(x) for x in found]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -25,10 +25,13 @@ from tidepanel.llm.common import map_batches, slices
 from tidepanel.llm.tokens import Remembered, byte_signs, load, tokenizer_path
 
 CHUNK = 4096
-STATES = 120_000
+STATES = 200_000
 WORDS = 300_000
 LIMIT = 2048
+FEW = 12
 _END = "</w>"
+_CLOSING = frozenset(".,")
+_CONTROL = re.compile("[\x1c-\x1f]")
 #: Fixed: the contractions of the tokenizer's split pattern.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
@@ -42,11 +45,12 @@ class Machine:
         ranks = {tuple(pair): i for i, pair in enumerate(model["merges"])}
         self.pairs = Pairs(lambda a, b: ranks.get((a, b)), self._symbols)
         self.tokens = frozenset(model["vocab"])
-        grow: set[str] = set()
+        self.grow: dict[str, list[str]] = {}  # the tokens that a piece's end can grow into
         for t in self.tokens:
             body = t.removesuffix(_END)
-            grow.update(body[:k] for k in range(1, len(body) + 1))
-        self.grow = frozenset(grow)
+            for k in range(1, len(body)):
+                self.grow.setdefault(body[:k], []).append(t)
+        self.rest: dict = {}
         self.signs = byte_signs()
         self.words = Remembered(lambda word: self.run(self.start, word + " ")[1], WORDS)
         self.reset()
@@ -62,8 +66,15 @@ class Machine:
         self.ids: dict = {}
         self.keys: list = []
         self.moves: list[dict[str, tuple[int, int]]] = []
+        self.rest.clear()
         self.start = self._state(("", None))
 
+    def turn(self) -> None:
+        """Keep the tables bounded; arcs of words outlive the states."""
+        self.words.turn()
+        if len(self.keys) > STATES:
+            self.reset()
+
     def _state(self, key: tuple) -> int:
         got = self.ids.get(key)
         if got is None:
@@ -72,27 +83,47 @@ class Machine:
             self.moves.append({})
         return got
 
-    # The open piece: (end that can grow, ((offset, last token, tokens more than the cheapest), ...), waiting sign).
+    # The open piece: (end that can grow, ((offset, context, tokens more than the cheapest), ...), waiting sign).
+    # A context is the token before the offset, or, once they are few, the tokens that may still follow it.
+
+    def _fits(self, context, token: str) -> bool:
+        return token in context if type(context) is tuple else self.pairs.agree(context or None, token)
+
+    def _rest(self, context, end: str):
+        """The context when the piece's end has grown to ``end``; None if no token fits any more."""
+        got = self.rest.get((context, end), 0)
+        if got == 0:
+            may = self.grow.get(end, ())
+            if type(context) is tuple:
+                got = tuple(t for t in may if t in context) or None
+            elif len(may) > FEW:
+                got = context
+            else:
+                got = tuple(t for t in may if self.pairs.agree(context or None, t)) or None
+            self.rest[context, end] = got
+        return got
 
     def _feed(self, body: tuple, sign: str) -> tuple[tuple, int]:
         """One sign more that is not the last of its piece; the tokens that become certain."""
         end, tails, _ = body
         last = None
-        for at, before, extra in tails:
+        kept = []
+        for at, context, extra in tails:
             t = end[at:] + sign
-            if t in self.tokens and self.pairs.agree(before, t):
+            if last is None and t in self.tokens and self._fits(context, t):
                 last, cost = t, extra + 1
-                break
+            context = self._rest(context, t)
+            if context is not None:
+                kept.append((at, context, extra))
         end += sign
-        kept = [(at, before, extra) for at, before, extra in tails if end[at:] in self.grow]
         kept.append((len(end), last, cost))
         cut, least = kept[0][0], min(k[2] for k in kept)
-        return (end[cut:], tuple((at - cut, before, extra - least) for at, before, extra in kept), ""), least
+        return (end[cut:], tuple((at - cut, context, extra - least) for at, context, extra in kept), ""), least
 
     def _push(self, body: tuple | None, ch: str) -> tuple[tuple, int]:
         signs = [self.signs[b] for b in ch.encode()]
         if body is None:
-            body, total = ("", ((0, None, 0),), ""), 0
+            body, total = ("", ((0, "", 0),), ""), 0
         else:
             body, total = self._feed(body, body[2])
         for s in signs[:-1]:
@@ -102,9 +133,9 @@ class Machine:
 
     def _finish(self, body: tuple) -> int:
         end, tails, sign = body
-        for at, before, extra in tails:
+        for at, context, extra in tails:
             t = end[at:] + sign + _END
-            if t in self.tokens and self.pairs.agree(before, t):
+            if t in self.tokens and self._fits(context, t):
                 return extra + 1
         raise ValueError("no encoding")
 
@@ -159,6 +190,31 @@ class Machine:
             total += more
         return state, total
 
+    def learn(self, words: set[str]) -> None:
+        """Arcs of new words. They are run in order, so that a word goes on where it leaves the word before; a full stop or
+        comma after a letter closes the piece before it and is an arc of its own."""
+        known, old = self.words, self.words.old
+        new = [w for w in words if w not in known and w not in old]
+        bodies = [w[:-1] if w[-1:] in _CLOSING and w[-2:-1].isalpha() else w for w in new]
+        path, last = [(self.start, 0)], ""
+        for body in sorted({b for b in bodies if b not in known and b not in old}):
+            shared = 0
+            for a, b in zip(body, last):
+                if a != b:
+                    break
+                shared += 1
+            del path[shared + 1 :]
+            state, total = path[-1]
+            for ch in body[shared:]:
+                state, more = self.step(state, ch)
+                total += more
+                path.append((state, total))
+            known[body] = total + self.step(state, " ")[1]
+            last = body
+        for word, body in zip(new, bodies):
+            if word != body:
+                known[word] = known[body] + known[word[-1]]
+
     # Maps of chunks: (head, count, exit state); a chunk without a blank has no exit and is all head.
 
     def chunk_map(self, chunk: str) -> tuple[str, int, int | None]:
@@ -179,9 +235,6 @@ class Machine:
 
     def count(self, text: str) -> int:
         """Tokens of a normalised text, whose only white space is the blank."""
-        self.words.turn()
-        if len(self.keys) > STATES:
-            self.reset()
         maps = [self.chunk_map(text[k : k + CHUNK]) for k in range(0, len(text), CHUNK)]
         while len(maps) > 1:
             maps = [self.compose(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
@@ -199,10 +252,24 @@ def machine(path: str) -> tuple[Machine, object, re.Pattern]:
     return Machine(path), tokenizer.normalizer.normalize_str, re.compile("|".join(map(re.escape, special)))
 
 
-def count_tokens(text: str, path: str) -> int:
+def normalised(text: str, normal) -> str:
+    """The text as the tokenizer's normaliser leaves it. Texts of 8-bit letters are composed already and only need lower case and single blanks."""
+    if not _CONTROL.search(text):
+        try:
+            text.encode("latin-1")
+            return " ".join(text.lower().split())
+        except UnicodeEncodeError:
+            pass
+    return normal(text)
+
+
+def count_tokens(texts: list[str], path: str) -> list[int]:
+    """Tokens of each text; a special token's string counts as one and parts the text."""
     m, normal, special = machine(path)
-    parts = special.split(text)
-    return len(parts) - 1 + sum(m.count(normal(p)) for p in parts if p)
+    m.turn()
+    parts = [[normalised(p, normal) for p in special.split(t) if p] for t in texts]
+    m.learn({w for own in parts for p in own for w in p.split(" ")})
+    return [sum(1 for _ in special.finditer(t)) + sum(map(m.count, own)) for t, own in zip(texts, parts)]
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
@@ -215,7 +282,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
     def work(batch):
         for part in slices(batch, "text"):
             texts = [t or "" for t in part.column("text").to_pylist()]
-            counts = [count_tokens(t, path) for t in texts]
+            counts = count_tokens(texts, path)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
