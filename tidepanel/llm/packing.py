@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     def work(batch):
         encode = word_ids(path).encode
         seed = 0
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", 1 << 22):
             rows = []
             for doc, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text"))):
                 ids += end

@@ -116,8 +116,9 @@ class WordIds:
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text of a slice; null counts as empty."""
         self.known.turn()
-        hashes, starts, ends, first = word_hashes(texts, lower=False)
         data = text_buffer(texts)[0].tobytes()
+        marked = any(s.encode() in data for s in self.special)
+        hashes, starts, ends, first = word_hashes(texts, lower=not marked, stops=not marked)  # the tokenizer lower-cases all but the special tokens
         _, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
         words = [data[a:b].decode() for a, b in zip(starts[sample].tolist(), ends[sample].tolist())]
         new = [w for w in words if w not in self.known and w not in self.known.old]
@@ -132,9 +133,8 @@ class WordIds:
         out = pool[np.repeat(places[which] - after + counts, counts) + np.arange(after[-1] if len(after) else 0)]
         bounds = np.concatenate([[0], after])[first].tolist()
         got = [out[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-        for s in self.special:
-            if s.encode() in data:
-                got = [self.whole(t) if t and s in t else g for t, g in zip(texts.to_pylist(), got)]
+        if marked:
+            got = [self.whole(t) if t and any(s in t for s in self.special) else g for t, g in zip(texts.to_pylist(), got)]
         return got
 
 
