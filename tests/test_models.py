@@ -4,13 +4,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.operators import learn as ML, recursive as RC, lags as L
+from tidepanel.operators import lags as L, learn as ML, recursive as RC, validation as V
 from tidepanel.sources import fixtures as X
 
 
 @pytest.fixture(scope="module")
 def matrix(spark, sf):
-    df = ML.filled_matrix(X.panel(spark, sf, X.LAST)).persist()
+    df = ML.model_matrix(X.panel(spark, sf, X.LAST)).persist()
     df.count()
     return df
 
@@ -81,8 +81,16 @@ def test_recursion_equals_a_plain_loop(spark, sf, matrix):
         assert list(mine["t"]) == list(range(67, 73))
 
 
+def test_fold_grams_add_up(spark, matrix):
+    whole = {g["fold"]: g for g in ML.fold_grams(matrix, ML.FEATURES)}
+    for i, (lo, hi, _, _) in enumerate(V.FOLDS):
+        row = ML.gram(matrix.where(F.col("t").between(lo, hi)).withColumn("fold", F.lit(i)), ML.FEATURES).first()
+        assert whole[i]["n"] == row["n"]
+        np.testing.assert_allclose(whole[i]["products"], row["products"], rtol=1e-9)
+
+
 def test_classifier_skips_one_class(spark, matrix):
-    assert ML.fit_zero_classifier(matrix.where("y > 0"), ML.FEATURES) is None
+    assert ML.fit_zero_classifier(matrix.where("y > 0"), ML.FEATURES, numTrees=5) is None
     assert ML.p_zero(None, matrix).agg(F.max("p_zero")).first()[0] == 0.0
 
 
@@ -101,5 +109,5 @@ def test_search_and_grid(spark, matrix):
     grid = ML.grid_ridge(matrix, ML.FEATURES, [0.1, 10.0])
     assert grid.count() == 8
     found = ML.search(matrix, ML.FEATURES, [{"maxDepth": 2, "maxIter": 2}], folds=((0, 30, 31, 42), (0, 42, 43, 54)))
-    assert found.columns == ["trial", "maxDepth", "maxIter", "mean_score", "std_score"] and found.count() == 1
+    assert found.columns == ["trial", "maxDepth", "maxIter", *ML.MEASURES] and found.count() == 1
     assert ML.random_candidates(3) == ML.random_candidates(3)
