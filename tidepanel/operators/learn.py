@@ -15,6 +15,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import keys as K
+from ..functions.columns import is_zero
 from ..session import staged
 from . import validation as V
 from .lags import LAGS, WINDOWS, label_next, lag_feature_names, lag_features
@@ -93,7 +94,7 @@ def fit_positive(df: DataFrame, cols: list[str], y: str = "y", **params) -> Fitt
 
 def fit_zero_classifier(df: DataFrame, cols: list[str], y: str = "y", **params) -> Fitted | None:
     """Forest for ``y = 0``; None when the rows hold one class only."""
-    labelled = df.withColumn("_zero", (F.col(y) == 0).cast("double"))
+    labelled = df.withColumn("_zero", is_zero(y).cast("double"))
     share = labelled.agg(F.avg("_zero")).first()[0]
     if share is None or share in (0.0, 1.0):
         return None

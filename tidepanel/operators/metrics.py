@@ -73,13 +73,6 @@ def mape_column(y: str = "y", p: str = "p", eps: float = 1e-12) -> Column:
     return F.avg(ape(y, p, eps))
 
 
-def regression_report(df: DataFrame, by: tuple[str, ...] = (), y: str = "y", p: str = "p") -> DataFrame:
-    score, rate = two_stage_columns(y, p)
-    return df.groupBy(*by).agg(
-        score.alias("score"), rate.alias("good_rate"), rmse_column(y, p).alias("rmse"), mape_column(y, p).alias("mape")
-    )
-
-
 def ape_profile(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     errors = staged(df.select(ape(y, p).alias("ape")), "errors")
     shares = errors.agg(

@@ -126,9 +126,6 @@ def sparse_entities(stats: DataFrame, periods: int | Column, below: int = 30) ->
     return stats.select("entity_id", "periods_with_data", kind.alias("kind")).where(F.col("kind").isNotNull())
 
 
-def numeric_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
-
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     counts = [df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows")) for name, df in tables.items()]

@@ -230,6 +230,16 @@ def blend_masked(spark, d):
     return rounded(FC.expand_horizon(per, X.LAST).select("entity_id", "t", value.alias("forecast")))
 
 
+@query("ensemble_mean", f"per AS (SELECT entity_id, {_PARTS} FROM train GROUP BY entity_id) SELECT entity_id, t, round(CASE WHEN pz > 0.7 THEN 0.0 ELSE greatest((g + md + mn) / 3, 0.0) END, 4) AS forecast FROM per CROSS JOIN ahead")
+def ensemble_mean(spark, d):
+    per = per_entity(
+        _train(spark, d), A.geo_mean_guard(6, 6, X.LAST).alias("geo"), A.tail_median(6, X.LAST).alias("md"), A.tail_mean(6, X.LAST).alias("mn"),
+        F.avg(F.when(A.within(12, X.LAST), (F.col("amount") == 0).cast("double"))).alias("p_zero"),
+    )
+    value = H.ensemble_mean([F.col("geo"), F.col("md"), F.col("mn")], F.col("p_zero"))
+    return rounded(FC.expand_horizon(per, X.LAST).select("entity_id", "t", value.alias("forecast")))
+
+
 # ---- metrics ----
 
 _PAIRS = f"""
@@ -263,6 +273,11 @@ def two_stage_score_strict(spark, d):
     return rounded(M.two_stage_score_strict(_pairs(spark, d), ("t",)), 6)
 
 
+@query("two_stage_score_cut", _PAIRS + f"SELECT t, round({score_sql(threshold=0.3, fails='<')[0]}, 6) AS score, round({_RATE}, 6) AS good_rate FROM pairs GROUP BY t")
+def two_stage_score_cut(spark, d):
+    return rounded(M.two_stage_score_strict(_pairs(spark, d), ("t",), threshold=0.3), 6)
+
+
 @query(
     "two_stage_score_clipped",
     _PAIRS + "SELECT round(CASE WHEN avg(CASE WHEN a > 1 THEN 1.0 ELSE 0.0 END) > 0.3 THEN 0.0 ELSE greatest(0.0, 1 - avg(CASE WHEN a <= 1 THEN a END) / "
@@ -323,6 +338,11 @@ def cv_geo_folds(spark, d):
     return rounded(V.score_folds(V.cv_geo_pairs(X.panel(spark, d, X.LAST))).drop("mape"), 6, rmse=3)
 
 
+@query("cv_geo_summary", _CV + f", scored AS (SELECT fold, {_SCORE} AS score FROM pairs GROUP BY fold) SELECT round(avg(score), 6) AS mean_score, round(stddev_pop(score), 6) AS std_score FROM scored")
+def cv_geo_summary(spark, d):
+    return rounded(V.fold_summary(V.score_folds(V.cv_geo_pairs(X.panel(spark, d, X.LAST)))), 6)
+
+
 @query("cv_geo_overall", _CV + f"SELECT round({_SCORE}, 6) AS score, round({_RATE}, 6) AS good_rate FROM pairs")
 def cv_geo_overall(spark, d):
     return rounded(M.two_stage_score(V.cv_geo_pairs(X.panel(spark, d, X.LAST))), 6)

@@ -112,6 +112,14 @@ def row_lag_stats(spark, d):
     return rounded(rows.select("entity_id", "t", "lag_std", "lag_cv"))
 
 
+@query("feature_selection", _LAGGED + "SELECT entity_id, t, lag_1, lag_2, lag_3, lag_6, lag_12 FROM lagged WHERE lag_12 IS NOT NULL")
+def feature_selection(spark, d):
+    """The columns that a learner takes by name, without the rows that have gaps in them."""
+    rows = _lagged(spark, d)
+    names = C.feature_cols(rows, ("lag_",))
+    return rows.select("entity_id", "t", *names).dropna(subset=names)
+
+
 @query("compact_types", "SELECT entity_id, t, CAST(num AS TINYINT) AS num, CAST(amount AS FLOAT) AS amount FROM obs")
 def compact_types(spark, d):
     rows = X.obs(spark, d).select("entity_id", "t", "num", "amount", F.lit(0).alias("nothing"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.columns import is_zero
 from ..functions.quantiles import exact_quantiles
 from ..operators import grid as G, hurdle, learn as ML, recursive as RC, validation as V
 from ..operators.lags import lags
@@ -80,7 +81,7 @@ def zero_classifier(spark, d):
     rows = staged(ML.filled_matrix(X.panel(spark, d, X.LAST)), "matrix")
     fitted = ML.fit_zero_classifier(rows.where(F.col("t") <= X.LAST - 12), ML.FEATURES)
     scored = ML.p_zero(fitted, rows.where(F.col("t") > X.LAST - 12))
-    return rounded(scored.select("entity_id", "t", (F.col("y") == 0).cast("int").alias("is_zero"), "p_zero"))
+    return rounded(scored.select("entity_id", "t", is_zero("y").alias("is_zero"), "p_zero"))
 
 
 @query("hurdle_forecast")

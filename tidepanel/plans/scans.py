@@ -24,6 +24,34 @@ def scan_tables(spark, d):
     return row_counts(tables.read_parquet_tables(spark, d, TABLES))
 
 
+@query(
+    "csv_tables",
+    """
+SELECT 'pre_owned_house_transactions' AS name, count(*) AS n_rows, round(sum(num), 2) AS num, round(sum(amount), 1) AS total FROM second_hand
+UNION ALL SELECT 'land_transactions', count(*), CAST(sum(num) AS DOUBLE), round(sum(transaction_amount), 1) FROM land
+""",
+)
+def csv_tables(spark, d):
+    """The side tables written as CSV files under the files' own column names, and loaded by name."""
+    folder = scratch_path(spark, "csv")
+    month, sector = K.month_label(F.col("t") + X.BASE_YEAR * 12 + 1), F.concat(F.lit("sector "), F.col("entity_id").cast("string"))
+    for name, df, columns in (
+        ("pre_owned_house_transactions", X.second_hand(spark, d), ("area", "amount", "num", "price")),
+        ("land_transactions", X.land(spark, d), ("num", "area", "area", "transaction_amount")),
+    ):
+        wanted = tables.SCHEMAS[name].names[2:]
+        rows = df.select(month.alias("month"), sector.alias("sector"), *[F.col(c).alias(w) for c, w in zip(columns, wanted)])
+        sinks.write_report(rows, f"{folder}/{name}.csv")
+    loaded = tables.load_tables(spark, folder, ("pre_owned_house_transactions", "land_transactions"))
+    parts = []
+    for name, num, total in (
+        ("pre_owned_house_transactions", "num_pre_owned_house_transactions", "amount_pre_owned_house_transactions"),
+        ("land_transactions", "num_land_transactions", "transaction_amount"),
+    ):
+        parts.append(loaded[name].agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n_rows"), F.round(F.sum(num), 2).alias("num"), F.round(F.sum(total), 1).alias("total")))
+    return parts[0].union(parts[1])
+
+
 @query("scan_horizon", "SELECT id FROM horizon")
 def scan_horizon(spark, d):
     path = scratch_path(spark, "horizon")

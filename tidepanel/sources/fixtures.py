@@ -139,16 +139,6 @@ def yearly(spark: SparkSession, folder: str) -> DataFrame:
     return staged(per, "yearly")
 
 
-def search_index(spark: SparkSession, folder: str) -> DataFrame:
-    orders = table(spark, folder, "orders")
-    per = orders.groupBy(
-        K.date_index("o_orderdate", BASE_YEAR).alias("t"),
-        F.col("o_orderpriority").alias("keyword"),
-        F.col("o_orderstatus").alias("source"),
-    ).agg(F.count(F.lit(1)).alias("search_volume"))
-    return per.select(K.month_label(F.col("t") + BASE_YEAR * 12 + 1).alias("month"), "keyword", "source", "search_volume")
-
-
 def raw_text(spark: SparkSession, folder: str, sep: str = "-") -> DataFrame:
     """The target with its keys as text."""
     return obs(spark, folder).select(
