@@ -1,23 +1,20 @@
 """Exact Jaccard join of documents on word n-grams, by vertical partitioning.
 
-The n-grams have one global order, that of their 64-bit hashes. It is cut into ``F`` fragments of equal width.
-Two sets that are similar enough differ in at most ``H`` members; with ``F = H + 1`` fragments at least
-one fragment is the same in both. ``H`` depends on the sizes, so sizes fall into classes, and each document is cut
-once for its own class and once for the class below.
-
-1. Each document gives a key for each of its fragments. Documents of a batch that share keys, directly or through others, are joined there to the
-   smallest of them, and each key sends that one on; across the table a key's documents form a star around the smallest. No pairs are made.
-2. The components of these links are families: no similar pair lies across two families.
-3. A family's distinct sets are dealt into blocks, and every two blocks meet in one task. There the overlaps are counted
-   fragment by fragment with one matrix product for each, and summed per pair. The task emits links, not pairs: a spanning forest
-   of its similar pairs and the number of links of each document.
-4. The components of the links are the result.
+The n-grams have one global order: those with an even hash first, by the number of distinct sets that hold them, then the rest; equal ones by hash.
+1. Documents with equal sets are one, by two sums of hashes.
+2. The even n-grams of each set, a first fragment of the order, are counted across sets. A set can differ from a similar one in so many members
+   (``allowed``). One with more members that no other set holds has no partner and goes.
+3. Two similar sets share one of their first ``allowed + 1`` members in the order. The sets with a member among those in common form a
+   star around the smallest id. No pairs are made.
+4. The components of the stars are families: no similar pair lies across two families.
+5. A family's sets are dealt into blocks, and every two blocks meet in one task. There overlaps are counted on one fragment of the order after another,
+   rare n-grams by the pairs of sets that hold them, frequent ones by a matrix product, and summed per pair. The task emits links, not pairs: a spanning
+   forest of its similar pairs and the number of links of each document.
+6. The components of the links are the result.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -28,6 +25,7 @@ from tidepanel.session import staged
 
 BLOCK = 1024
 COLUMNS = 2048
+FEW = 8
 
 _U = np.uint64
 _C = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -53,40 +51,8 @@ def ngram_sets(texts: pa.Array, n: int, lower: bool = True) -> list[np.ndarray]:
     return out
 
 
-@lru_cache(maxsize=64)
-def size_classes(percent: int) -> list[int]:
-    """Lower bounds of the size classes: a similar pair lies in one class or in two adjacent ones."""
-    bounds = [1]
-    while bounds[-1] < 1 << 40:
-        bounds.append(max(100 * bounds[-1] // percent, 21 * bounds[-1] // 20) + 1)
-    return bounds
-
-
-def fragments_of(level: int, percent: int) -> int:
-    """One more than the most members in which two similar sets can differ if the smaller lies in the class."""
-    most = size_classes(percent)[level + 1] - 1
-    both = most + 100 * most // percent
-    return (100 - percent) * both // (100 + percent) + 1
-
-
-def fragment_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the fragments of a sorted set, for its size class and the one below."""
-    if not len(s):
-        return np.zeros(0, _U)
-    level = int(np.searchsorted(size_classes(percent), len(s), "right")) - 1
-    sums = np.concatenate([np.zeros(1, _U), np.cumsum(s)])
-    top = s >> _U(32)
-    keys = []
-    for at in {level, max(level - 1, 0)}:
-        f = fragments_of(at, percent)
-        cut = np.searchsorted((top * _U(f)) >> _U(32), np.arange(f + 1, dtype=_U))
-        part = sums[cut[1:]] - sums[cut[:-1]]
-        keys.append(mix64(part + np.diff(cut).astype(_U) * _C[1] + np.arange(1, f + 1, dtype=_U) * _C[2] + np.array([at + 1], _U) * _C[3]))
-    return np.concatenate(keys)
-
-
 def _signatures(docs: DataFrame, n: int) -> DataFrame:
-    """Size and two sums of every document's set; equal sets have equal ones."""
+    """Size, number of even hashes and two sums of every document's set; equal sets have equal ones."""
     def work(batch):
         for part in slices(batch, "text"):
             sets = ngram_sets(part.column("text"), n)
@@ -94,46 +60,54 @@ def _signatures(docs: DataFrame, n: int) -> DataFrame:
                 [
                     part.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([int((s & _U(1) == 0).sum()) for s in sets], pa.int64()),
                     pa.array(signed(np.array([s.sum(dtype=_U) for s in sets], _U))),
                     pa.array(signed(np.array([mix64(s ^ _C[0]).sum(dtype=_U) for s in sets], _U))),
                 ],
-                ["doc_id", "n", "sig1", "sig2"],
+                ["doc_id", "n", "even", "sig1", "sig2"],
             )
 
-    return map_batches(docs, work, "doc_id long, n long, sig1 long, sig2 long")
+    return map_batches(docs, work, "doc_id long, n long, even long, sig1 long, sig2 long")
 
 
-def _stars(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Star edges ``(a, b)`` between documents with a common key."""
-    def heads(batch):
-        ids, keys = batch.column("doc_id").to_numpy(zero_copy_only=False), []
+def _even_grams(docs: DataFrame, n: int) -> DataFrame:
+    """``(gram, id)`` of the n-grams with an even hash."""
+    def work(batch):
         for part in slices(batch, "text"):
-            keys += [fragment_keys(s, percent) for s in ngram_sets(part.column("text"), n)]
-        owner = np.repeat(np.argsort(np.argsort(ids, kind="stable"), kind="stable"), [len(k) for k in keys])
-        keys, ids = signed(np.concatenate(keys)), np.sort(ids)
-        if not len(keys):
-            return
-        order = np.argsort(keys, kind="stable")
-        keys, owner = keys[order], owner[order]
-        begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        runs = np.diff(np.append(begins, len(keys)))
-        label = np.arange(len(ids))
-        while True:
-            least = np.repeat(np.minimum.reduceat(label[owner], begins), runs)
-            new = label.copy()
-            np.minimum.at(new, owner, least)
-            if (new == label).all():
-                break
-            label = new
-        # a document that is joined to another of the batch shares a key of its own with it
-        moved = np.flatnonzero(ids[label] != ids)
-        own = signed(mix64(ids[moved].astype(np.int64).view(_U) ^ _C[0]))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([keys[begins], own, own])), pa.array(np.concatenate([ids[label[owner[begins]]], ids[moved], ids[label[moved]]]))], ["key", "id"]
-        )
+            sets = [s[s & _U(1) == 0] for s in ngram_sets(part.column("text"), n)]
+            ids = np.repeat(part.column("doc_id").to_numpy(zero_copy_only=False), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sets))), pa.array(ids.astype(np.int64))], ["gram", "id"])
 
-    rows = map_batches(docs.where("doc_id is not null"), heads, "key long, id long")
-    across = rows.withColumn("a", F.min("id").over(Window.partitionBy("key")))
+    return map_batches(docs, work, "gram long, id long")
+
+
+def _odd_grams(docs: DataFrame, n: int) -> DataFrame:
+    """``(gram, id)`` of the others."""
+    def work(batch):
+        for part in slices(batch, "text"):
+            sets = [s[s & _U(1) == 1] for s in ngram_sets(part.column("text"), n)]
+            ids = np.repeat(part.column("doc_id").to_numpy(zero_copy_only=False), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sets))), pa.array(ids.astype(np.int64))], ["gram", "id"])
+
+    return map_batches(docs, work, "gram long, id long")
+
+
+def _stars(docs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
+    """Star edges ``(a, b)`` between sets that share a member among their first ones in the order; ``reps`` has one ``(rep, n, even)`` per distinct set."""
+    counted = _even_grams(docs, n).withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("gram")))
+    per = counted.where("held > 1").groupBy("id").agg(F.collect_list(F.struct(F.col("held").cast("int").alias("held"), "gram")).alias("shared"))
+    allowed = F.floor(F.col("n") * (100 - percent) / 100)
+    first = reps.join(per, reps["rep"] == per["id"], "left").select(
+        "rep", "even", allowed.alias("allowed"), F.coalesce("shared", F.array()).alias("shared")
+    )
+    more = F.col("allowed") + 1 - (F.col("even") - F.size("shared"))
+    first = first.where(more > 0).select("rep", (F.col("even") <= F.col("allowed")).alias("short"), F.slice(F.sort_array("shared"), F.lit(1), more.cast("int")).alias("shared"))
+    first = staged(first, "first")
+    # a set with too few even members has odd ones among its first; all of them will do
+    short = small_side(first.where("short").select("rep"))
+    odd = _odd_grams(docs.join(short, docs["doc_id"] == short["rep"], "left_semi"), n)
+    keys = first.select(F.explode("shared.gram").alias("gram"), F.col("rep").alias("id")).union(odd)
+    across = keys.withColumn("a", F.min("id").over(Window.partitionBy("gram")))
     return across.where("a <> id").select("a", F.col("id").alias("b")).distinct()
 
 
@@ -156,15 +130,23 @@ def _forest(links: np.ndarray) -> list[tuple[int, int]]:
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Overlap of every two sets: counted on one fragment of the order after another, then summed."""
-    total = np.zeros((len(sets), len(sets)), np.float32)
-    member = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    grams, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = np.cumsum(counts > 1) - 1
-    keep = counts[place] > 1
-    member, place = member[keep], shared[place[keep]]
-    order = np.argsort(place, kind="stable")
-    member, place = member[order], place[order]
-    for lo in range(0, int((counts > 1).sum()), COLUMNS):
+    size = len(sets)
+    total = np.zeros(size * size, np.float32)
+    member = np.repeat(np.arange(size), [len(s) for s in sets])
+    _, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((member, place, counts[place]))  # by the number of sets that hold it
+    member, held, place = member[order], counts[place][order], place[order]
+    for k in range(2, FEW + 1):
+        a, b = np.searchsorted(held, [k, k + 1])
+        rows = member[a:b].reshape(-1, k)
+        for i in range(k):
+            for j in range(i):
+                total += np.bincount(rows[:, i] * size + rows[:, j], minlength=size * size).astype(np.float32) if len(rows) else 0
+    total = total.reshape(size, size)
+    total += total.T
+    a = np.searchsorted(held, FEW + 1)
+    member, place = member[a:], np.cumsum(np.append(False, place[a + 1 :] != place[a:-1])) if a < len(place) else place[a:]
+    for lo in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
         a, b = np.searchsorted(place, [lo, lo + COLUMNS])
         rows, at = np.unique(member[a:b], return_inverse=True)
         fragment = np.zeros((len(rows), COLUMNS), np.float32)
@@ -212,10 +194,13 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     small = staged(_signatures(rows, n), "signatures")
-    family = components(_stars(rows, n, percent)).withColumnRenamed("component", "family")
-    sets = small.distinct().join(family, F.col("doc_id") == F.col("id")).groupBy("family", "n", "sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    sets = staged(sets, "sets")
-    sizes = sets.groupBy("family").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    named = small.where("doc_id is not null and n > 0").distinct()
+    reps = staged(named.groupBy("n", "even", "sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "sets")
+    copies = small_side(named.join(reps.select("n", "sig1", "sig2", "rep"), ["n", "sig1", "sig2"]).where("doc_id <> rep").select(F.col("doc_id").alias("copy")))
+    alone = rows.where("doc_id is not null").join(copies, F.col("doc_id") == F.col("copy"), "left_anti")
+    family = components(_stars(alone, reps.select("rep", "n", "even"), n, percent)).withColumnsRenamed({"id": "rep", "component": "family"})
+    sets = reps.join(family, "rep")
+    sizes = sets.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
     todo = sets.join(sizes, "family").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     todo = todo.select("family", "n", "sig1", F.col("rep").alias("doc_id"), "copies", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
 
@@ -234,7 +219,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text
     found = staged(met.groupBy("family", "low", "high").applyInPandas(_verify(percent), "a long, b long, links long"), "found")
     joined = components(found.where("a <> b").select("a", "b"))
     degrees = found.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("near"))
-    reps = sets.join(joined.withColumnRenamed("id", "rep"), "rep", "left").join(degrees, "rep", "left")
+    reps = reps.join(joined.withColumnRenamed("id", "rep"), "rep", "left").join(degrees, "rep", "left")
     reps = reps.select("n", "sig1", "sig2", "copies", F.coalesce("component", "rep").alias("component_id"), F.coalesce("near", F.lit(0)).alias("near"))
     out = small.join(reps, ["n", "sig1", "sig2"], "left")
     return out.select(
