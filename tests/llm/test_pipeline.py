@@ -24,9 +24,17 @@ def test_twin(spark, sf, key):
     assert sorted(tuple(normal(r[c]) for c in order) for r in got) == sorted(tuple(normal(r[names.index(c)]) for c in order) for r in want)
 
 
-def test_stages_take_effect(spark, sf):
+def test_stages_take_effect(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    stages = dict(CP.STAGES)
+
+    def written(stage):
+        def run(spark, docs, sf):
+            stage(spark, docs, sf).write.mode("overwrite").parquet(path := f"file://{tmp_path}/{stage.__name__}")
+            return spark.read.parquet(path)
+
+        return run
+
+    stages = {name: written(stage) for name, stage in CP.STAGES}
     judged = {r["doc_id"] for r in QUERIES["op1_quality_rules"](spark, sf).where("kept").collect()}
     good = stages["quality_rules"](spark, docs, sf)
     assert {r["doc_id"] for r in good.collect()} == judged
