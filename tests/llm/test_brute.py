@@ -169,7 +169,7 @@ def test_sentencepieces(spark, texts):
         part = every[k : k + 100]
         got = own.encode(pa.array(part))
         assert got == [array("I", library.encode(t)).tobytes() for t in part]
-        assert [own.decode(x) for x in got] == [library.decode(library.encode(t)) for t in part]
+        assert own.decode(got) == [library.decode(library.encode(t)) for t in part]
     df = spark.createDataFrame(list(texts.items()), SCHEMA)
     assert {r["doc_id"]: r["text"] for r in piece_texts(piece_ids(df)).collect()} == texts
 

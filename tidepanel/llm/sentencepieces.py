@@ -23,7 +23,7 @@ from tidepanel.llm.common import map_batches, slices, text_buffer, word_hashes
 from tidepanel.llm.tokens import Remembered, tokenizer_path
 
 MARK = "▁"
-WORDS = 250_000
+WORDS = 500_000
 _WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
@@ -50,39 +50,51 @@ class Pieces:
                 self.texts.append(piece.replace(MARK, " ").encode())
         self.pairs = Pairs(lambda a, b: scores.get(a + b))
         self.grow = frozenset(p[:k] for p in self.ids for k in range(1, len(p) + 1))
+        self.raw = Remembered(self._raw, WORDS)
+        self.sizes = np.array([len(t) for t in self.texts])
+        self.places = np.cumsum(self.sizes) - self.sizes
+        self.pool = np.frombuffer(b"".join(self.texts), np.uint8)
         self.known = Remembered(lambda word: self.walk([word])[0], WORDS)  # also of words that ``turn`` forgot
 
-    def _ids(self, token: str) -> list[int]:
+    def _raw(self, token: str) -> bytes:
         got = self.ids.get(token)
-        return [self.bytes[b] for b in token.encode()] if got is None else [got]
+        return array("I", [self.bytes[b] for b in token.encode()] if got is None else [got]).tobytes()
 
     def walk(self, words: list[str]) -> list[bytes]:
         """Ids of sorted words; the forward scores of a shared prefix are kept from one word to the next."""
+        ids, grow, known, agree, tokens_of = self.ids, self.grow, self.pairs.known, self.pairs.agree, self.raw
         out, before = [], ""
-        ends: list[tuple] = [(None, None, 0, (0,))]  # last token's start, last token, tokens, starts of tokens that can still end later
+        # for each prefix: the start of its last token, that token, its token count, and where tokens begin that can still end later
+        start, token, score, live = [0], [None], [0], [[0]]
         for word in words:
             shared = 0
             for a, b in zip(word, before):
                 if a != b:
                     break
                 shared += 1
-            del ends[shared + 1 :]
+            for column in (start, token, score, live):
+                del column[shared + 1 :]
             for k in range(shared, len(word)):
-                live = ends[k][3]
-                last = None
-                for j in live:
+                last, later = -1, []
+                for j in live[k]:
                     t = word[j : k + 1]
-                    if (t in self.ids or j == k) and self.pairs.agree(ends[j][1], t):
-                        last = j
-                        break
-                live = (*(j for j in live if word[j : k + 1] in self.grow), k + 1)
-                ends.append((last, word[last : k + 1], ends[last][2] + 1, live))
-            tokens, at = [], len(word)
+                    if last < 0 and (j == k or t in ids):
+                        fits = known.get((token[j], t))
+                        if agree(token[j], t) if fits is None else fits:
+                            last = j
+                    if t in grow:
+                        later.append(j)
+                later.append(k + 1)
+                start.append(last)
+                token.append(word[last : k + 1])
+                score.append(score[last] + 1)
+                live.append(later)
+            at = len(word)
+            parts = [b""] * score[at]
             while at:
-                start, token, _, _ = ends[at]
-                tokens.append(token)
-                at = start
-            out.append(array("I", [i for t in reversed(tokens) for i in self._ids(t)]).tobytes())
+                parts[score[at] - 1] = tokens_of[token[at]]
+                at = start[at]
+            out.append(b"".join(parts))
             before = word
         return out
 
@@ -103,6 +115,7 @@ class Pieces:
         Where only single blanks and line ends part the words, each distinct word of the slice is looked up once.
         """
         self.known.turn()
+        self.raw.turn()
         data, offsets = text_buffer(texts)
         raw = data.tobytes()
         hashes, starts, ends, first = word_hashes(texts, lower=False)
@@ -132,10 +145,14 @@ class Pieces:
             got[i] = self.split([texts[i].as_py()])[0]
         return got
 
-    def decode(self, ids: bytes) -> str:
-        """The text of ids: pieces with blanks for marks, bytes put together, the mark before the text taken off."""
-        raw = b"".join(map(self.texts.__getitem__, memoryview(ids).cast("I")))
-        return raw.removeprefix(b" ").decode("utf-8", "replace")
+    def decode(self, found: list[bytes]) -> list[str]:
+        """The texts of ids: pieces with blanks for marks, bytes put together, the mark before a text taken off."""
+        ids = np.frombuffer(b"".join(found), np.uint32)
+        sizes = self.sizes[ids]
+        after = np.cumsum(sizes)
+        raw = self.pool[np.repeat(self.places[ids] - after + sizes, sizes) + np.arange(after[-1] if len(after) else 0)].tobytes()
+        bounds = np.concatenate([[0], after])[np.cumsum([0] + [len(x) // 4 for x in found])].tolist()
+        return [raw[a:b].removeprefix(b" ").decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 def gathered(known: list[bytes], which: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +187,7 @@ def piece_texts(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or tokenizer_path("piece_bpe_32k.model")
 
     def work(batch):
-        texts = [pieces_of(path).decode(array("I", x or []).tobytes()) for x in batch.column("ids").to_pylist()]
+        texts = pieces_of(path).decode([array("I", x or []).tobytes() for x in batch.column("ids").to_pylist()])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return map_batches(encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids"), work, "doc_id long, text string")
@@ -189,7 +206,7 @@ def piece_report(docs: DataFrame, path: str | None = None) -> DataFrame:
             texts = [t or "" for t in part.column("text").to_pylist()]
             model = pieces_of(path)
             found = model.encode(part.column("text"))
-            back = [model.decode(x) for x in found]
+            back = model.decode(found)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
