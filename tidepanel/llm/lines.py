@@ -129,7 +129,7 @@ def _signatures(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 def _occurrences(docs: DataFrame) -> DataFrame:
     def work(batch):
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", 1 << 20):
             data, owner, number, starts, ends = _line_bounds(part.column("text"))
             raw = data.tobytes()
             both = [xxhash.xxh3_128_intdigest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
@@ -153,7 +153,7 @@ def _segment_keys(docs: DataFrame, edits: int, min_bytes: int) -> DataFrame:
     def work(batch):
         places: dict[int, tuple] = {}
         seen: set[int] = set()
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", 1 << 20):
             data, _, _, starts, ends = _line_bounds(part.column("text"))
             long = ends - starts >= min_bytes
             starts, ends = starts[long], ends[long]
@@ -212,7 +212,7 @@ def near_lines(docs: DataFrame, first: DataFrame, edits: int = MAX_EDITS, min_by
     places = first.join(wanted, "h1").groupBy("doc_id").agg(F.collect_list(F.struct("line", "h1")).alias("want"))
 
     def texts(batch):
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", 1 << 20):
             lines = [(x or "").split("\n") for x in part.column("text").to_pylist()]
             want = part.column("want").to_pylist()
             found = [(w["h1"], own[w["line"]].encode()) for own, ws in zip(lines, want) for w in ws if w["line"] < len(own)]

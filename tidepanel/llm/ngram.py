@@ -54,7 +54,7 @@ def ngram_sets(texts: pa.Array, n: int, lower: bool = True) -> list[np.ndarray]:
 def _signatures(docs: DataFrame, n: int) -> DataFrame:
     """Size, number of even hashes and two sums of every document's set; equal sets have equal ones."""
     def work(batch):
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", 1 << 20):
             sets = ngram_sets(part.column("text"), n)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -73,7 +73,7 @@ def _signatures(docs: DataFrame, n: int) -> DataFrame:
 def _even_grams(docs: DataFrame, n: int) -> DataFrame:
     """``(gram, id)`` of the n-grams with an even hash."""
     def work(batch):
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", 1 << 20):
             sets = [s[s & _U(1) == 0] for s in ngram_sets(part.column("text"), n)]
             ids = np.repeat(part.column("doc_id").to_numpy(zero_copy_only=False), [len(s) for s in sets])
             yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sets))), pa.array(ids.astype(np.int64))], ["gram", "id"])
@@ -84,7 +84,7 @@ def _even_grams(docs: DataFrame, n: int) -> DataFrame:
 def _odd_grams(docs: DataFrame, n: int) -> DataFrame:
     """``(gram, id)`` of the others."""
     def work(batch):
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", 1 << 20):
             sets = [s[s & _U(1) == 1] for s in ngram_sets(part.column("text"), n)]
             ids = np.repeat(part.column("doc_id").to_numpy(zero_copy_only=False), [len(s) for s in sets])
             yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sets))), pa.array(ids.astype(np.int64))], ["gram", "id"])
@@ -205,7 +205,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text
     todo = todo.select("family", "n", "sig1", F.col("rep").alias("doc_id"), "copies", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
 
     def load(batch):
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", 1 << 20):
             grams = ngram_sets(part.column("text"), n)
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(c) for c in ("family", "n", "sig1", "doc_id", "copies", "blocks", "block")), pa.array(signed(np.array([s.sum(dtype=_U) for s in grams], _U))), pa.array([s.tobytes() for s in grams], pa.binary())],
