@@ -105,7 +105,7 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("text").desc()]
-    walked = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    walked = rows.repartitionByRange(order[0]).sortWithinPartitions(*order)  # by the id alone, as range bounds are sampled keys
 
     def walk(batches):
         first = last = None
