@@ -277,8 +277,8 @@ def top_entities(spark, d):
 
 @query(
     "sparse_entities",
-    f"stats AS ({_STATS}) SELECT entity_id, periods_with_data, CASE WHEN periods_with_data = (SELECT max(t) + 1 FROM panel) THEN 'full' ELSE 'sparse' END AS kind FROM stats WHERE periods_with_data = (SELECT max(t) + 1 FROM panel) OR periods_with_data < 70",
+    f"stats AS ({_STATS}) SELECT entity_id, periods_with_data, CASE WHEN periods_with_data = (SELECT max(t) + 1 FROM panel) THEN 'full' ELSE 'sparse' END AS kind FROM stats WHERE periods_with_data = (SELECT max(t) + 1 FROM panel) OR periods_with_data < 74",
 )
 def sparse_entities(spark, d):
     # the test panel has no entity below 30 periods, so the bound is higher here
-    return R.sparse_entities(R.entity_stats(X.panel(spark, d)), X.last_period(spark, d) + 1, 70)
+    return R.sparse_entities(R.entity_stats(X.panel(spark, d)), X.last_period(spark, d) + 1, 74)
