@@ -252,6 +252,18 @@ def test_pii_model_on_held_out_sentences_and_clean_texts(texts):
             assert not every
 
 
+def test_pii_other_digits_are_no_digits():
+    weights = PI.trained_weights()
+    for sign in "²①٣³⁴⓪৭":
+        assert PI.find_spans(f"see 192.168.1.1{sign} there", weights)[1] == [("ip", 4, 15)]
+        for text in (f"192.168.1{sign}.1", f"1.2.3.{sign * 7}", f"{sign}.{sign}.{sign}.1234567", sign * 9, f"call 555-123-4567{sign} now"):
+            base, every = PI.find_spans(text, weights)
+            assert base == plain_spans(text.translate({ord(sign): "~"})) and not any(text[b - 1] == sign for _, _, b in every)
+    rng = random.Random(8)
+    for _ in range(5000):
+        PI.find_spans("".join(rng.choice("ab1234567890@..+-- ()²③٣४") for _ in range(rng.randint(0, 60))), weights)
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "write to bob.x@mail.example.com or 10.0.0.1 now"), (2, None)], SCHEMA)
     assert [r["text"] for r in PI.redact(df).orderBy("doc_id").collect()] == ["write to <EMAIL> or <IP> now", None]

@@ -50,6 +50,11 @@ def _only_digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def _is_number(s: str) -> bool:
+    """ASCII digits only: ``isdigit`` also takes superscript and circled ones, which ``int`` refuses."""
+    return s.isascii() and s.isdigit()
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Pattern matches, leftmost and not overlapping within a kind, in the order of kind and start."""
     out = []
@@ -93,7 +98,7 @@ def _features(text: str, start: int, end: int, base: str | None) -> list[str]:
     ]
     if base:
         out.append(f"base={base}")
-    if span.count(".") == 3 and all(p.isdigit() and len(p) < 4 and int(p) < 256 for p in span.split(".")):
+    if span.count(".") == 3 and all(_is_number(p) and len(p) < 4 and int(p) < 256 for p in span.split(".")):
         out.append("octets")
     return out
 
@@ -110,7 +115,7 @@ def candidates(text: str, tokens: list[tuple[int, int]], known: dict[tuple[int,
             w = words[j]
             if j > i and "\n" in text[tokens[j - 1][1] : tokens[j][0]]:
                 break
-            if w.isdigit():
+            if _is_number(w):
                 digits += len(w)
             elif w not in "+().-/":
                 numeric = False
@@ -124,7 +129,7 @@ def candidates(text: str, tokens: list[tuple[int, int]], known: dict[tuple[int,
             a, b = tokens[i][0], tokens[j][1]
             kind = known.get((a, b))
             tight = " " not in text[a:b]
-            if kind or (numeric and digits >= 7 and w.isdigit()) or (at and tight) or (dot and w.lower() != "dot" and j - i <= 6 and first[0].isalnum()):
+            if kind or (numeric and digits >= 7 and _is_number(w)) or (at and tight) or (dot and w.lower() != "dot" and j - i <= 6 and first[0].isalnum()):
                 out.append((i, j + 1, _features(text, a, b, kind)))
     return out
 
