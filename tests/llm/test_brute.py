@@ -76,6 +76,30 @@ def test_ngram_join(spark, n, percent, block):
     assert got == brute_components(made, n, percent)
 
 
+def test_ngram_join_of_long_near_copies_deals_fragments(spark):
+    rng = random.Random(9)
+    texts = {}
+    for i in range(24):
+        words = [f"long{k}" for k in range(1500)] if i % 4 else [f"other{k}" for k in range(900)]
+        for _ in range(rng.choice((0, 5, 20, 60))):
+            words[rng.randrange(len(words))] = f"y{rng.randint(0, 9)}"
+        texts[i] = " ".join(words)
+    texts |= {100 + i: t for i, t in enumerate(near_copies(10, 20))}
+    texts[200] = texts[3]
+    df = spark.createDataFrame(list(texts.items()), SCHEMA)
+    want = brute_components(texts, 3, 90)
+    for block, grams in ((1024, 2000), (5, 2000), (5, 1 << 21)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in NG.ngram_join(df, 3, 90, block=block, grams=grams).collect()}
+        assert got == want
+    sets = spark.createDataFrame([(1, i, 0, i, 20_000, 1) for i in range(2048)] + [(2, 9, 0, 5000, 50, 1)], "family long, rep long, sig1 long, sig2 long, n long, copies long")
+    dealt = NG._dealt(sets, 1024, NG.GRAMS).collect()
+    tasks = collections.Counter()
+    for r in dealt:
+        for other in range(r["blocks"]):
+            tasks[r["family"], min(r["block"], other), max(r["block"], other)] += r["n"] / r["fragments"]
+    assert max(tasks.values()) <= NG.GRAMS and {r["fragments"] for r in dealt if r["family"] == 2} == {1}
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):

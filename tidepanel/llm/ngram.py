@@ -9,7 +9,8 @@ The n-grams have one global order: those with an even hash first, by the number
 4. The components of the stars are families: no similar pair lies across two families.
 5. A family's sets are dealt into blocks, and every two blocks meet in one task. There overlaps are counted on one fragment of the order after another,
    rare n-grams by the pairs of sets that hold them, frequent ones by a matrix product, and summed per pair. The task emits links, not pairs: a spanning
-   forest of its similar pairs and the number of links of each document.
+   forest of its similar pairs and the number of links of each document. Two blocks with more than ``GRAMS`` members meet in several tasks, each with
+   the n-grams of one range of hashes; these emit a row of partial overlaps for each set, and the rows of a set are summed before links are found.
 6. The components of the links are the result.
 """
 
@@ -24,6 +25,7 @@ from tidepanel.llm.common import components, map_batches, mix64, powers, signed,
 from tidepanel.session import staged
 
 BLOCK = 1024
+GRAMS = 1 << 21
 COLUMNS = 2048
 FEW = 8
 
@@ -155,32 +157,70 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
+def _found(group: pd.DataFrame, overlap: np.ndarray, percent: int) -> pd.DataFrame:
+    """A forest of the links of two blocks, and each document's number of links."""
+    ids, copies, block, sizes = (group[c].to_numpy() for c in ("doc_id", "copies", "block", "n"))
+    sizes = sizes.astype(np.float64)
+    links = 100 * overlap >= percent * (sizes[:, None] + sizes[None, :] - overlap)
+    np.fill_diagonal(links, False)
+    if group["low"].iloc[0] != group["high"].iloc[0]:
+        links &= block[:, None] != block[None, :]
+    degree = links @ copies
+    edges = _forest(links)
+    return pd.DataFrame(
+        {
+            "a": np.concatenate([ids[[e[0] for e in edges]] if edges else ids[:0], ids]),
+            "b": np.concatenate([ids[[e[1] for e in edges]] if edges else ids[:0], ids]),
+            "links": np.concatenate([np.zeros(len(edges), np.int64), degree.astype(np.int64)]),
+        }
+    )
+
+
 def _verify(percent: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("doc_id").sort_values("doc_id")
-        sets = [np.frombuffer(x, _U) for x in group["grams"]]
-        ids, copies, block = (group[c].to_numpy() for c in ("doc_id", "copies", "block"))
-        low, high = group["low"].iloc[0], group["high"].iloc[0]
-        sizes = np.array([len(s) for s in sets], np.float64)
-        overlap = _overlaps(sets).astype(np.float64)
-        links = 100 * overlap >= percent * (sizes[:, None] + sizes[None, :] - overlap)
-        np.fill_diagonal(links, False)
-        if low != high:
-            links &= block[:, None] != block[None, :]
-        degree = links @ copies
-        edges = _forest(links)
-        return pd.DataFrame(
-            {
-                "a": np.concatenate([ids[[e[0] for e in edges]] if edges else ids[:0], ids]),
-                "b": np.concatenate([ids[[e[1] for e in edges]] if edges else ids[:0], ids]),
-                "links": np.concatenate([np.zeros(len(edges), np.int64), degree.astype(np.int64)]),
-            }
-        )
+        return _found(group, _overlaps([np.frombuffer(x, _U) for x in group["grams"]]).astype(np.float64), percent)
+
+    return run
+
+
+_ROW = ["family", "low", "high", "doc_id", "n", "copies", "block"]
+
+
+def _partial(group: pd.DataFrame) -> pd.DataFrame:
+    """A row of overlaps of each set on one fragment, in the order of the ids."""
+    group = group.drop_duplicates("doc_id").sort_values("doc_id")
+    overlap = _overlaps([np.frombuffer(x, _U) for x in group["grams"]]).astype(np.int32)
+    return group[_ROW].assign(overlap=[x.tobytes() for x in overlap])
+
+
+def _summed(group: pd.DataFrame) -> pd.DataFrame:
+    """The sum of a set's rows."""
+    total = np.zeros(len(group["overlap"].iloc[0]) // 4, np.int64)
+    for x in group["overlap"]:
+        total += np.frombuffer(x, np.int32)
+    return group[_ROW].head(1).assign(overlap=[total.tobytes()])
+
+
+def _verify_summed(percent: int):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("doc_id")
+        return _found(group, np.stack([np.frombuffer(x, np.int64) for x in group["overlap"]]).astype(np.float64), percent)
 
     return run
 
 
-def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", block: int = BLOCK) -> DataFrame:
+def _dealt(sets: DataFrame, block: int, grams: int) -> DataFrame:
+    """``sets`` of families with their block, the number of blocks, and of the fragments that keep what two blocks hold of one at about ``grams`` members."""
+    sizes = sets.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
+    todo = sets.join(sizes, "family").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    todo = todo.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    held = todo.groupBy("family", "blocks", "block").agg(F.sum("n").alias("held")).groupBy("family", "blocks").agg(F.max("held").alias("most"))
+    held = held.select("family", F.ceil(F.least(F.lit(2), "blocks") * F.col("most") / grams).cast("int").alias("fragments"))
+    return todo.join(held, "family").select("family", "n", "sig1", F.col("rep").alias("doc_id"), "copies", "blocks", "block", "fragments")
+
+
+def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", block: int = BLOCK, grams: int = GRAMS) -> DataFrame:
     """Documents with ``n_shingles``, ``component_id`` and ``n_links``; one row per row.
 
     Two documents link when the n-gram sets' Jaccard similarity is ``percent`` / 100 or more; ``component_id``
@@ -200,23 +240,42 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text
     alone = rows.where("doc_id is not null").join(copies, F.col("doc_id") == F.col("copy"), "left_anti")
     family = components(_stars(alone, reps.select("rep", "n", "even"), n, percent)).withColumnsRenamed({"id": "rep", "component": "family"})
     sets = reps.join(family, "rep")
-    sizes = sets.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
-    todo = sets.join(sizes, "family").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    todo = todo.select("family", "n", "sig1", F.col("rep").alias("doc_id"), "copies", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
+    todo = staged(_dealt(sets, block, grams), "dealt")
+    columns = ["family", "n", "sig1", "doc_id", "copies", "blocks", "block", "fragments"]
 
     def load(batch):
         for part in slices(batch, "text", 1 << 20):
-            grams = ngram_sets(part.column("text"), n)
+            every = ngram_sets(part.column("text"), n)
+            own = signed(np.array([s.sum(dtype=_U) for s in every], _U))
+            row, fragment, held = [], [], []
+            for i, (s, k) in enumerate(zip(every, part.column("fragments").to_pylist())):
+                edges = np.searchsorted(s, np.array([(f << 64) // k for f in range(1, k)], _U))  # ranges of hashes
+                row += [i] * k
+                fragment += range(k)
+                held += [x.tobytes() for x in np.split(s, edges)]
+            own = pa.array(own).take(pa.array(row, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in ("family", "n", "sig1", "doc_id", "copies", "blocks", "block")), pa.array(signed(np.array([s.sum(dtype=_U) for s in grams], _U))), pa.array([s.tobytes() for s in grams], pa.binary())],
-                ["family", "n", "sig1", "doc_id", "copies", "blocks", "block", "own", "grams"],
+                [*(part.column(c).take(pa.array(row, pa.int64())) for c in columns), own, pa.array(fragment, pa.int32()), pa.array(held, pa.binary())],
+                [*columns, "own", "fragment", "grams"],
             )
 
-    loaded = map_batches(rows.join(small_side(todo), "doc_id").select("family", "n", "sig1", "doc_id", "copies", "blocks", "block", "text"), load, "family long, n long, sig1 long, doc_id long, copies long, blocks int, block int, own long, grams binary")
-    loaded = loaded.where("own = sig1")
-    met = loaded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("family", "doc_id", "copies", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "grams")
-    found = staged(met.groupBy("family", "low", "high").applyInPandas(_verify(percent), "a long, b long, links long"), "found")
+    def met(todo):
+        """Rows of every two blocks: a set goes to as many pairs as there are blocks."""
+        loaded = map_batches(
+            rows.join(small_side(todo), "doc_id").select(*columns, "text"), load,
+            "family long, n long, sig1 long, doc_id long, copies long, blocks int, block int, fragments int, own long, fragment int, grams binary",
+        ).where("own = sig1")
+        pairs = loaded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return pairs.select("family", "doc_id", "n", "copies", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "fragment", "grams")
+
+    links = "a long, b long, links long"
+    found = staged(met(todo.where("fragments = 1")).groupBy("family", "low", "high").applyInPandas(_verify(percent), links), "found")
+    large = todo.where("fragments > 1")
+    if large.limit(1).count():
+        row = "family long, low int, high int, doc_id long, n long, copies long, block int, overlap binary"
+        partial = met(large).groupBy("family", "low", "high", "fragment").applyInPandas(_partial, row)
+        summed = partial.groupBy("family", "low", "high", "doc_id").applyInPandas(_summed, row)
+        found = found.union(staged(summed.groupBy("family", "low", "high").applyInPandas(_verify_summed(percent), links), "found"))
     joined = components(found.where("a <> b").select("a", "b"))
     degrees = found.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("near"))
     reps = reps.join(joined.withColumnRenamed("id", "rep"), "rep", "left").join(degrees, "rep", "left")
