@@ -332,3 +332,43 @@ def test_passages(spark):
             seen.add(i % 5)
         cut = [tuple(map(int, s.split(":"))) for s in rows[i]["removed"].split(",") if s]
         assert "".join(c for k, c in enumerate(t) if not any(a <= k < b for a, b in cut)) == rows[i]["text"]
+
+
+def test_passages_of_fifty_words_hold_a_repeat_wherever_they_begin():
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    for trial in range(2000):
+        passage = [word() for _ in range(50)]
+        if trial % 2:  # one whole sentence of 24 words between two halves
+            passage[12] += "."
+            passage[36] += "."
+        hosts = []
+        for _ in range(2):
+            before, after = [[word() for _ in range(rng.randint(3, 40))] for _ in range(2)]
+            hosts.append(" ".join([*before[:-1], "q" + before[-1] + "-" + passage[0], *passage[1:-1], passage[-1] + after[0], *after[1:]]))
+        cut = PS.Cut(pa.array(["x y.", *hosts]))
+        begin, keys = cut.spans()
+        first, second = (set(keys[(begin >= cut.words[i]) & (begin < cut.words[i + 1])].tolist()) for i in (1, 2))
+        assert first & second
+
+
+def test_passages_begin_and_end_in_mid_sentence(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    docs, shared = {}, {}
+    for i in range(120):
+        passage = [word() for _ in range(51)]
+        if i % 2:
+            passage[13] += "."
+            passage[37] += "."
+        shared[i] = passage
+        for d in (i, 1000 + i):
+            docs[d] = " ".join([*(word() for _ in range(rng.randint(3, 40))), *passage, *(word() for _ in range(rng.randint(3, 40)))])
+    rows = {r["doc_id"]: r for r in PS.drop_passages(spark.createDataFrame(list(docs.items()), SCHEMA)).collect()}
+    for i, passage in shared.items():
+        assert rows[i]["text"] == docs[i] and rows[i]["n_removed"] == 0
+        at = docs[1000 + i].index(" ".join(passage))
+        spans = [tuple(map(int, s.split(":"))) for s in rows[1000 + i]["removed"].split(",")]
+        inside = docs[1000 + i][min(a for a, _ in spans) : max(b for _, b in spans)]
+        assert rows[1000 + i]["n_removed"] > 0 and len(inside.split()) >= PS.SPAN
+        assert all(at <= a and b <= at + len(" ".join(passage)) + 1 for a, b in spans)

@@ -2,8 +2,9 @@
 
 A text is cut into sentences at ``.``, ``!``, ``?`` and line ends. A sentence of more than ``LONG`` words is cut again after words whose hash says so, so that
 two copies are cut alike wherever they begin. From each sentence the shortest run of at least ``RUN`` sentences and ``MIN_WORDS`` words is hashed over
-its words. Within a text later equal runs are repeats; across texts all but those of the smallest ``doc_id`` are. Sentences that a
-repeated run covers go.
+its words. So are spans of ``SPAN`` words: of every ``NEAR`` that begin at neighbouring words the one of the least hash, so that any two copies of
+``SPAN + NEAR - 1`` words share one, wherever they begin and whatever their punctuation. Within a text later equal runs or spans are repeats, across
+texts all but those of the smallest ``doc_id`` are. Words that a repeat covers go.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from tidepanel.session import staged
 RUN = 2
 MIN_WORDS = 16
 LONG = 24
+#: 47 words hold a span: a passage of 50 does, though its first and last words be joined to others.
+SPAN = 32
+NEAR = 16
 
 _U = np.uint64
 _STOP = np.zeros(256, bool)
@@ -55,6 +59,30 @@ class Cut:
         self.bounds = np.searchsorted(self.owner, np.arange(len(texts) + 1))
         self.number = np.arange(len(self.last)) - self.bounds[self.owner] if n else self.last
         self.starts, self.ends = starts, ends
+        self.words = first
+        self.total = np.concatenate([np.zeros(1, _U), np.cumsum(self.hashes * powers(n))])
+
+    def _hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix64((self.total[b] - self.total[a]) * _inverses(len(self.hashes) + 1)[a] + (b - a).astype(_U))
+
+    def spans(self) -> tuple[np.ndarray, np.ndarray]:
+        """First word and hash of the spans that have the least hash of ``NEAR`` neighbours."""
+        n = len(self.hashes) - SPAN + 1
+        if n < NEAR:
+            return np.zeros(0, np.int64), np.zeros(0, _U)
+        at = np.arange(n)
+        keys = self._hash(at, at + SPAN) ^ _U(0x2545F4914F6CDD1D)
+        least, width = keys, 1
+        while width < NEAR:
+            least, width = np.minimum(least[:-width], least[width:]), 2 * width
+        # windows that reach into the next text count for nothing
+        inside = at[: len(least)] + SPAN + NEAR - 1 <= np.repeat(self.words[1:], np.diff(self.words))[: len(least)]
+        rest = np.zeros(NEAR - 1, _U)
+        most, width = np.concatenate([rest, np.where(inside, least, _U(0)), rest]), 1
+        while width < NEAR:
+            most, width = np.maximum(most[:-width], most[width:]), 2 * width
+        begin = np.flatnonzero((most == keys) & (most > _U(0)))
+        return begin, keys[begin]
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First sentence, sentence after the last, and hash of every run."""
@@ -63,24 +91,30 @@ class Cut:
         stop = np.maximum(np.searchsorted(words, self.first + MIN_WORDS), np.arange(n) + RUN)
         begin = np.flatnonzero(stop <= self.bounds[self.owner + 1]) if n else np.zeros(0, np.int64)
         stop = stop[begin]
-        total = np.concatenate([np.zeros(1, _U), np.cumsum(self.hashes * powers(len(self.hashes)))])
-        a, b = words[begin], words[stop]
-        keys = mix64((total[b] - total[a]) * _inverses(len(self.hashes) + 1)[a] + (b - a).astype(_U))
-        return begin, stop, keys
+        return begin, stop, self._hash(words[begin], words[stop])
 
 
 def _spans(docs: DataFrame) -> DataFrame:
-    """First sentence of each run with its key, one row per text and key, and whether it is a later repeat within the text."""
+    """First sentence of each run, or -1 minus the first word of a span, with its key, one row per text and key, and whether it is a later repeat within the text."""
+    def once(owner, begin, keys, apart):
+        order = np.lexsort((begin, keys, owner))
+        owner, begin, keys = owner[order], begin[order], keys[order]
+        new = np.ones(len(begin), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+        # a repeat that overlaps the first is none
+        keep = new | (begin >= begin[np.flatnonzero(new)[np.cumsum(new) - 1]] + apart)
+        return owner[keep], begin[keep], keys[keep], ~new[keep]
+
     def work(batch):
         for part in slices(batch, "text"):
             cut = Cut(part.column("text"))
             begin, _, keys = cut.runs()
-            order = np.lexsort((begin, keys, cut.owner[begin]))
-            begin, keys = begin[order], keys[order]
-            again = np.zeros(len(begin), bool)
-            again[1:] = (keys[1:] == keys[:-1]) & (cut.owner[begin[1:]] == cut.owner[begin[:-1]])
+            owner, begin, keys, again = once(cut.owner[begin], begin, keys, 0)
+            at, span_keys = cut.spans()
+            span_owner, at, span_keys, span_again = once(np.searchsorted(cut.words, at, "right") - 1, at, span_keys, SPAN)
+            number = np.concatenate([cut.number[begin], cut.words[span_owner] - at - 1])
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").take(pa.array(cut.owner[begin])), pa.array(cut.number[begin], pa.int32()), pa.array(signed(keys)), pa.array(again)],
+                [part.column("doc_id").take(pa.array(np.concatenate([owner, span_owner]))), pa.array(number, pa.int32()), pa.array(signed(np.concatenate([keys, span_keys]))), pa.array(np.concatenate([again, span_again]))],
                 ["doc_id", "sentence", "key", "again"],
             )
 
@@ -88,7 +122,7 @@ def _spans(docs: DataFrame) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the first sentences of its repeated runs."""
+    """``doc_id`` and the places of its repeated runs and spans, as in ``_spans``."""
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     spans = staged(_spans(rows), "spans")
     once = spans.where("not again")
@@ -99,7 +133,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 
 
 def drop_passages(docs: DataFrame) -> DataFrame:
-    """One row per row: ``doc_id``, ``n_sentences``, ``n_removed``, ``removed`` (``start:end`` of the parts that go, code points) and the ``text`` that is left.
+    """One row per row: ``doc_id``, ``n_sentences``, ``n_removed`` (sentences that lose words), ``removed`` (``start:end`` of the parts that go, code points) and the ``text`` that is left.
 
     Null texts stay null and have no sentences. Rows with one id count as one document, whose rows keep or lose the same passages; a row with a null id
     keeps its text. Other columns are left out; an empty table gives an empty result.
@@ -112,7 +146,9 @@ def drop_passages(docs: DataFrame) -> DataFrame:
             texts = part.column("text")
             cut = Cut(texts)
             begin, stop, _ = cut.runs()
+            words = np.append(cut.first, len(cut.hashes))
             ends = dict(zip(begin.tolist(), stop.tolist()))
+            spans = set(cut.spans()[0].tolist())
             chars = np.concatenate([[0], np.cumsum((cut.data & 0xC0) != 0x80)])
             raw = cut.data.tobytes()
             out = []
@@ -121,12 +157,15 @@ def drop_passages(docs: DataFrame) -> DataFrame:
                 if not begins:
                     out.append((hi - lo, 0, "", text))
                     continue
-                gone = np.zeros(hi - lo, bool)
+                low, high = int(cut.words[i]), int(cut.words[i + 1])
+                gone = np.zeros(high - low, bool)
                 for b in begins:
-                    if lo + b in ends:
-                        gone[b : ends[lo + b] - lo] = True
+                    if b >= 0 and lo + b in ends:
+                        gone[words[lo + b] - low : words[ends[lo + b]] - low] = True
+                    elif b < 0 and low - b - 1 in spans:
+                        gone[-b - 1 : -b - 1 + SPAN] = True
                 at, end = int(cut.offsets[i]), int(cut.offsets[i + 1])
-                place = np.append(cut.starts[cut.first[lo:hi]], end)
+                place = np.append(cut.starts[low:high], end)
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]])))
                 kept, removed = [], []
                 for a, b in edge.reshape(-1, 2).tolist():
@@ -135,7 +174,7 @@ def drop_passages(docs: DataFrame) -> DataFrame:
                     removed.append(f"{chars[a] - chars[cut.offsets[i]]}:{chars[b] - chars[cut.offsets[i]]}")
                     at = b
                 kept.append(raw[at:end])
-                out.append((hi - lo, int(gone.sum()), ",".join(removed), b"".join(kept).decode()))
+                out.append((hi - lo, len(np.unique(np.searchsorted(cut.last[lo:hi], low + np.flatnonzero(gone)))), ",".join(removed), b"".join(kept).decode()))
             n, gone, removed, left = zip(*out)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(removed, pa.string()), pa.array(left, pa.string())],
