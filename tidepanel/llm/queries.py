@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidepanel.llm.codes import code_report
 from tidepanel.llm.common import documents
 from tidepanel.llm.fingerprints import fingerprints
+from tidepanel.llm.leaks import leak_report
 from tidepanel.llm.licenses import license_scan
 from tidepanel.llm.lines import line_report
 from tidepanel.llm.ngram import ngram_join
@@ -20,7 +22,6 @@ from tidepanel.llm.twins import ORACLES  # noqa: F401
 QUERIES = {}
 
 
-
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -80,3 +81,13 @@ def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return drop_passages(documents(spark, folder))
+
+
+@query
+def op13_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return leak_report(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+@query
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return code_report(spark.read.parquet(f"{folder}/embeddings.parquet"))

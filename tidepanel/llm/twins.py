@@ -145,7 +145,31 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
 FROM worded LEFT JOIN found USING (rid)
 """.replace("{templates}", ", ".join(f"({i}, '{label}', {phrase}, {words})" for i, label, phrase, words in templates()))
 
+LEAKS = r"""
+WITH cut AS (
+  SELECT doc_id, row_number() OVER () AS rid,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+item AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+window_of AS (
+  SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT item, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM item WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM window_of),
+place AS (SELECT rid, i, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM cut CROSS JOIN sizes)),
+held AS (SELECT DISTINCT rid, i, n, g FROM place SEMI JOIN window_of USING (n, g)),
+words AS (SELECT rid, count(DISTINCT word) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS word FROM held) GROUP BY rid),
+pairs AS (SELECT DISTINCT rid, item FROM held JOIN window_of USING (n, g)),
+listed AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM pairs GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM cut LEFT JOIN words USING (rid) LEFT JOIN listed USING (rid)
+"""
+
 ORACLES = {
+    "op13_decontamination": LEAKS,
     "op9_license_scan": LICENSES,
     "op7_line_dedup": LINE_DEDUP,
     "op1_quality_rules": QUALITY,
