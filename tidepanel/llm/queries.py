@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidepanel.llm.chats import damage_report
 from tidepanel.llm.codes import code_report
 from tidepanel.llm.common import documents
 from tidepanel.llm.fingerprints import fingerprints
@@ -91,3 +92,8 @@ def op13_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     return code_report(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return damage_report(spark.read.parquet(f"{folder}/conversations.parquet"))
