@@ -1,6 +1,7 @@
 """Edge rules on tiny panels."""
 
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions import columns as C, keys as K
 from tidepanel.functions.quantiles import exact_quantiles
-from tidepanel.operators import forecast as FC, grid as G, horizon as H, joins as J, lags as L, metrics as M, peers as P, tails as A, validation as V
+from tidepanel.operators import forecast as FC, grid as G, horizon as H, joins as J, lags as L, metrics as M, peers as P, profile as R, tails as A, validation as V
 
 
 def one(df):
@@ -273,3 +274,50 @@ def test_wide_and_back(panel):
     assert G.to_long(wide, ["t0", "t1", "t2"], prefix="t").exceptAll(p).count() == 0
     by_time = G.to_wide(p, [1, 2, 95], index="t", over="entity_id", prefix="e")
     assert by_time.where("t = 2").first().asDict() == {"t": 2, "e1": 3.0, "e2": 6.0, "e95": 0.0}
+
+
+def test_strict_pivot_stops_at_undeclared_periods(spark, panel):
+    p = panel({1: [5, 6], 2: [None, 7, 8]})
+    wide = {r["entity_id"]: r.asDict() for r in G.to_wide(p, [2, 0, 1, 9], prefix="t", strict=True).collect()}
+    assert list(wide[1]) == ["entity_id", "t2", "t0", "t1", "t9"]
+    assert wide[1] == {"entity_id": 1, "t2": 0.0, "t0": 5.0, "t1": 6.0, "t9": 0.0} and wide[2]["t2"] == 8.0
+    with pytest.raises(Exception, match="t outside the declared columns: 2"):
+        G.to_wide(p, [0, 1], prefix="t", strict=True).collect()
+    with pytest.raises(Exception, match="outside the declared columns: null"):
+        G.to_wide(p.withColumn("t", F.when(F.col("t") > 0, F.col("t"))), [1, 2], strict=True).collect()
+    assert G.to_wide(p, [0]).count() == 2
+
+
+def test_correlations_of_250_columns(spark):
+    rng = np.random.default_rng(3)
+    wide = rng.normal(size=(400, 250)) @ np.diag(rng.uniform(1, 1e4, 250)) + rng.uniform(-1e5, 1e5, 250)
+    wide[rng.random(wide.shape) < 0.1] = np.nan
+    wide[:, 7] = 3.0
+    wide[:, 8] = np.nan
+    wide[1:, 9] = np.nan
+    frame = pd.DataFrame(wide, columns=[f"c{i}" for i in range(250)])
+    df = spark.createDataFrame(frame).withColumn("c10", F.when(~F.isnan("c10"), F.col("c10")))  # nulls and NaN count alike
+    got = {(r["col_a"], r["col_b"]): r["corr"] for r in R.corr_matrix(df, list(frame.columns)).collect()}
+    assert len(got) == 250 * 251 // 2
+    want = frame.corr()
+    for i, a in enumerate(frame.columns):
+        for b in frame.columns[i:]:
+            w, g = want.at[a, b], got[a, b]
+            assert (g is None and (math.isnan(w) or {a, b} & {"c7"})) or g == pytest.approx(w, abs=1e-9)
+    some = list(frame.columns[:40])
+    blocks = {(r["col_a"], r["col_b"]): r["corr"] for r in R.corr_matrix(df, some, block=16).collect()}
+    assert blocks.keys() == {(a, b) for i, a in enumerate(some) for b in some[i:]}
+    assert all(v is None and got[k] is None or v == pytest.approx(got[k], abs=1e-9) for k, v in blocks.items())
+
+
+def test_shifts_of_250_columns(spark, panel):
+    p = panel({1: list(range(30)), 2: [None, 4, None, 6]})
+    wide = p.withColumns({f"c{i}": F.col("amount") + i for i in range(250)}).withColumn("_shift_1", F.lit("x"))
+    out = L.shift_join(wide)
+    assert len(out.columns) == 2 + 252 * 4
+    start = time.time()
+    rows = {(r["entity_id"], r["t"]): r for r in out.collect()}
+    assert time.time() - start < 60
+    assert rows[1, 20]["c249_12"] == 8.0 + 249 and rows[1, 20]["c0_1"] == 19.0 and rows[1, 1]["c5_2"] is None
+    assert rows[2, 3]["amount_2"] == 4.0 and rows[2, 3]["amount_1"] is None and rows[2, 3]["_shift_1_2"] == "x"
+    assert out.schema["c3_2"].dataType.simpleString() == "double"

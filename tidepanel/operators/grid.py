@@ -30,17 +30,19 @@ def densify(facts: DataFrame, entities: DataFrame, lo: int, hi: int | Column, va
     )
 
 
-def to_wide(panel: DataFrame, columns: list[int], index: str = "entity_id", over: str = "t", value: str = "amount", prefix: str = "") -> DataFrame:
-    """Pivot with one column per listed key; absent cells and absent keys are 0.
+def to_wide(panel: DataFrame, columns: list[int], index: str = "entity_id", over: str = "t", value: str = "amount", prefix: str = "", strict: bool = False) -> DataFrame:
+    """Pivot with one column per declared key, in their order; absent cells and absent keys are 0.
 
-    The keys must be listed, because a plan has a bounded number of columns. The
+    The keys must be declared, because a plan has a bounded number of columns. The
     calendar is bounded, so the default spreads ``t``; spread ``entity_id`` only
-    for a short list of entities.
+    for a short list of entities. Other keys are left out; with ``strict`` a row of such a key, or of none, stops the job.
     """
-    sums = [
-        F.coalesce(F.sum(F.when(F.col(over) == c, F.col(value))), F.lit(0.0)).alias(f"{prefix}{c}") for c in columns
-    ]
-    return panel.groupBy(index).agg(*sums)
+    key = F.col(over)
+    if strict:
+        message = F.concat(F.lit(f"{over} outside the declared columns: "), F.coalesce(key.cast("string"), F.lit("null")))
+        key = F.when(key.isin(columns), key).otherwise(F.raise_error(message).cast(panel.schema[over].dataType))
+    wide = panel.select(index, key.alias("_key"), value).groupBy(index).pivot("_key", columns).agg(F.sum(value))
+    return wide.select(index, *[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).alias(f"{prefix}{c}") for c in columns])
 
 
 def to_long(wide: DataFrame, columns: list[str], index: str = "entity_id", over: str = "t", value: str = "amount", prefix: str = "") -> DataFrame:

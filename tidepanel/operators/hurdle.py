@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, functions as F
 
 from . import tails as A
@@ -37,9 +39,13 @@ def hurdle_forecast(panel: DataFrame, last: int = 66, steps: int = 12, holdout:
     matrix = staged(model_matrix(known), "matrix")
     train = matrix.where(F.col("t") <= last - holdout)
     valid = matrix.where(F.col("t") > last - holdout)
-    zero = fit_zero_classifier(train, FEATURES, **(classifier or {}))
-    model_a = fit_positive(train, FEATURES, **(gbt or {}))
-    model_b = fit_forest(train.where(F.col("y") > 0), FEATURES, **(forest or {}))
+    with ThreadPoolExecutor(3) as pool:  # the fits need nothing of each other
+        fits = (
+            pool.submit(fit_zero_classifier, train, FEATURES, **(classifier or {})),
+            pool.submit(fit_positive, train, FEATURES, **(gbt or {})),
+            pool.submit(fit_forest, train.where(F.col("y") > 0), FEATURES, **(forest or {})),
+        )
+        zero, model_a, model_b = (fit.result() for fit in fits)
 
     def score_rows(df: DataFrame) -> DataFrame:
         out = p_zero(zero, df)

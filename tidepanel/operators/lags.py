@@ -106,13 +106,16 @@ def label_next(df: DataFrame, value: str = "amount") -> DataFrame:
     return df.withColumn("label", F.lead(F.col(value), 1).over(in_time()))
 
 
-def shift_join(df: DataFrame, shifts=(1, 2, 12), cols: tuple[str, ...] = ("amount",)) -> DataFrame:
-    """All ``cols`` as of ``t - m``, suffixed ``_m``; null where that period has no row.
+def shift_join(df: DataFrame, shifts=(1, 2, 12), cols: tuple[str, ...] | None = None) -> DataFrame:
+    """``cols`` as of ``t - m``, suffixed ``_m``; null where that period has no row. Without ``cols``, every column but the keys.
 
-    A range frame of one period is a calendar lag, so no self-join is needed.
+    A range frame of one period is a calendar lag, so no self-join is needed. A shift is one window over one struct, however many columns it holds.
     """
-    at = {m: in_time().rangeBetween(-m, -m) for m in shifts}
-    return df.withColumns({f"{c}_{m}": F.max(c).over(at[m]) for m in shifts for c in cols})
+    cols = [c for c in df.columns if c not in ("entity_id", "t")] if cols is None else list(cols)
+    row = F.struct(*cols)
+    names = {m: next(n for n in (f"_shift_{m}{'_' * i}" for i in range(len(df.columns) + 1)) if n not in df.columns) for m in shifts}
+    out = df.withColumns({names[m]: F.first(row).over(in_time().rangeBetween(-m, -m)) for m in shifts})
+    return out.select(*df.columns, *[F.col(names[m])[c].alias(f"{c}_{m}") for m in shifts for c in cols])
 
 
 def features_at(hist: DataFrame, at: int, entities: DataFrame, ks=LAGS, windows=WINDOWS, dense: bool = True) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 import math
 import random
 
@@ -133,8 +134,8 @@ def gram(df: DataFrame, cols: list[str], y: str = "y", by: str = "fold") -> Data
     )
 
 
-def ridge_path(row, n_cols: int, alphas: list[float]) -> list[tuple[float, np.ndarray, float]]:
-    """``(alpha, coefficients, intercept)`` for every penalty from one ``gram`` row."""
+def _standardized(row, n_cols: int) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, sums, the features' scales, and the centred cross products of the scaled features with each other and with the target."""
     n, size = row["n"], n_cols + 1
     sums = np.array(row["sums"])
     full = np.zeros((size, size))
@@ -143,15 +144,52 @@ def ridge_path(row, n_cols: int, alphas: list[float]) -> list[tuple[float, np.nd
     centred = full - np.outer(sums, sums) / n
     scale = np.sqrt(np.clip(np.diag(centred)[:n_cols], 0, None) / n)
     scale[scale == 0] = 1.0
-    xx = centred[:n_cols, :n_cols] / np.outer(scale, scale)
-    xy = centred[:n_cols, n_cols] / scale
+    return n, sums, scale, centred[:n_cols, :n_cols] / np.outer(scale, scale), centred[:n_cols, n_cols] / scale
+
+
+def _intercept(n: float, sums: np.ndarray, weights: np.ndarray) -> float:
+    return float((sums[-1] - weights @ sums[:-1]) / n)
+
+
+def ridge_path(row, n_cols: int, alphas: list[float]) -> list[tuple[float, np.ndarray, float]]:
+    """``(alpha, coefficients, intercept)`` for every penalty from one ``gram`` row."""
+    n, sums, scale, xx, xy = _standardized(row, n_cols)
     out = []
     for alpha in alphas:
         weights = np.linalg.solve(xx + alpha * np.eye(n_cols), xy) / scale
-        out.append((alpha, weights, float((sums[n_cols] - weights @ sums[:n_cols]) / n)))
+        out.append((alpha, weights, _intercept(n, sums, weights)))
     return out
 
 
+def lasso_path(row, n_cols: int, alphas: list[float], sweeps: int = 100_000, tol: float = 1e-12) -> list[tuple[float, np.ndarray, float]]:
+    """The same for the lasso, half the mean squared error plus ``alpha`` times the absolute scaled coefficients, by cyclic coordinate descent.
+
+    Only the sums are touched, so a sweep costs the square of the number of features whatever the number of rows. Penalties are taken from
+    the largest down, each started from the one before.
+    """
+    n, sums, scale, xx, xy = _standardized(row, n_cols)
+    xx, xy = xx / n, xy / n
+    w, found = np.zeros(n_cols), {}
+    for alpha in sorted(set(alphas), reverse=True):
+        for _ in range(sweeps):
+            before = w.copy()
+            for j in range(n_cols):
+                if xx[j, j] > 0:
+                    slope = xy[j] - xx[j] @ w + xx[j, j] * w[j]
+                    w[j] = math.copysign(max(abs(slope) - alpha, 0.0), slope) / xx[j, j]
+            if np.abs(w - before).max(initial=0.0) <= tol * max(1.0, np.abs(w).max(initial=0.0)):
+                break
+        found[alpha] = w / scale
+    return [(alpha, found[alpha], _intercept(n, sums, found[alpha])) for alpha in alphas]
+
+
+def lasso_alphas(row, n_cols: int, steps: int = 8, least: float = 1e-3) -> list[float]:
+    """Evenly spaced logarithms up to the smallest penalty that leaves no coefficient."""
+    n, _, _, _, xy = _standardized(row, n_cols)
+    top = float(np.abs(xy).max() / n)
+    return [top * least ** (1 - i / (steps - 1)) for i in range(steps)]
+
+
 def fold_grams(matrix: DataFrame, cols: list[str], folds=V.FOLDS, y: str = "y") -> list[dict]:
     """The sums of each fold's training rows. Every row is summed once, in the block of periods between two cuts; the driver adds the blocks up."""
     cuts = sorted({f[1] for f in folds} | {f[0] - 1 for f in folds})
@@ -173,12 +211,12 @@ def linear(cols: list[str], weights, intercept: float) -> Column:
     return out
 
 
-def grid_ridge(matrix: DataFrame, cols: list[str], alphas: list[float], folds=V.FOLDS, y: str = "y") -> DataFrame:
-    """Scores of every penalty in every fold: one job for the sums, one for the scores.
+def grid_linear(matrix: DataFrame, cols: list[str], alphas: list[float], folds=V.FOLDS, y: str = "y", path=ridge_path) -> DataFrame:
+    """Scores of every penalty in every fold: one job for the sums, one for the scores. ``path`` fits the penalties to a fold's sums.
 
     Only one row of sums per block of periods reaches the driver, whatever the panel's size.
     """
-    paths = {g["fold"]: ridge_path(g, len(cols), alphas) for g in fold_grams(matrix, cols, folds, y)}
+    paths = {g["fold"]: path(g, len(cols), alphas) for g in fold_grams(matrix, cols, folds, y)}
     fold = None
     for i, (_, _, lo, hi) in enumerate(folds):
         here = F.col("t").between(lo, hi)
@@ -187,14 +225,39 @@ def grid_ridge(matrix: DataFrame, cols: list[str], alphas: list[float], folds=V.
     tried = []
     for k, alpha in enumerate(alphas):
         p = None
-        for i, path in paths.items():
-            value = linear(cols, path[k][1], path[k][2])
+        for i, fits in paths.items():
+            value = linear(cols, fits[k][1], fits[k][2])
             p = F.when(F.col("fold") == i, value) if p is None else p.when(F.col("fold") == i, value)
         tried.append(F.struct(F.lit(alpha).alias("alpha"), p.alias("p")))
     pairs = valid.select("fold", F.col(y).alias("y"), F.inline(F.array(*tried)))
     return V.score_folds(pairs, ("alpha", "fold"))
 
 
+def grid_ridge(matrix: DataFrame, cols: list[str], alphas: list[float], folds=V.FOLDS, y: str = "y") -> DataFrame:
+    return grid_linear(matrix, cols, alphas, folds, y)
+
+
+@dataclass
+class LinearRule:
+    """Coefficients that predict like a fitted model."""
+
+    cols: list[str]
+    weights: np.ndarray
+    intercept: float
+
+    def predict(self, df: DataFrame, name: str = "p") -> DataFrame:
+        return df.withColumn(name, linear(self.cols, self.weights, self.intercept))
+
+
+def fit_lasso_path(matrix: DataFrame, cols: list[str], folds=V.FOLDS, y: str = "y") -> tuple[LinearRule, float]:
+    """The lasso of all rows at the penalty that scores best over the folds, and that penalty."""
+    whole = gram(matrix.withColumn("fold", F.lit(0)), cols, y).first()
+    alphas = lasso_alphas(whole, len(cols))
+    alpha = best_alpha(grid_linear(matrix, cols, alphas, folds, y, lasso_path))
+    _, weights, intercept = lasso_path(whole, len(cols), [alpha])[0]
+    return LinearRule(cols, weights, intercept), alpha
+
+
 def best_alpha(scores: DataFrame) -> float:
     """The penalty of the best mean fold score, the smaller of equal ones."""
     per = scores.groupBy("alpha").agg(F.avg("score").alias("mean")).orderBy(F.col("mean").desc(), "alpha")
@@ -250,6 +313,56 @@ def search(matrix: DataFrame, cols: list[str], candidates: list[dict], folds=V.F
     return matrix.sparkSession.createDataFrame(rows, ", ".join(fields))
 
 
+def race(
+    matrix: DataFrame, cols: list[str], candidates: list[dict], rungs=(75, 75, 150, 300, 600), keep: float = 0.5, folds=V.FOLDS, y: str = "y", parallelism: int = 8,
+) -> DataFrame:
+    """Every candidate starts; after each rung the best ``keep`` of them go on, with ``rungs`` more trees fitted to their residuals.
+
+    A row per candidate: its parameters, the last ``rung`` it ran (from 0), its ``trees`` a fold, and the ``MEASURES`` of that prefix of its ensemble. Candidates of equal
+    score keep their order. No candidate grows beyond its ``maxIter``. The first tree of a rung takes a full step, as a boosted model's first tree does.
+    Fits of a rung run side by side; each reads only its fold's rows of ``matrix``, which should be staged.
+    """
+    grown: dict[tuple[int, int], list[Fitted]] = {(i, f): [] for i in range(len(candidates)) for f in range(len(folds))}
+    size, last, alive = dict.fromkeys(range(len(candidates)), 0), {}, list(range(len(candidates)))
+
+    def predicted(df: DataFrame, blocks: list[Fitted]) -> DataFrame:
+        for b, block in enumerate(blocks):
+            df = block.predict(df, f"_b{b}")
+        total = F.lit(0.0)
+        for b in range(len(blocks)):
+            total = total + F.col(f"_b{b}")
+        return df.withColumn("p", total).drop(*[f"_b{b}" for b in range(len(blocks))])
+
+    def grow(job: tuple[int, int, int]) -> None:
+        i, f, trees = job
+        lo, hi, _, _ = folds[f]
+        blocks = grown[i, f]
+        rest = predicted(matrix.where(F.col("t").between(lo, hi)), blocks).withColumn("_rest", F.col(y) - F.col("p")).drop("p")
+        blocks.append(fit_gbt(rest, cols, "_rest", **{**candidates[i], "maxIter": trees, "seed": 42 + len(blocks)}))
+
+    def score(i: int) -> tuple:
+        parts = [
+            predicted(matrix.where(F.col("t").between(lo, hi)), grown[i, f]).select(F.lit(f).alias("fold"), F.col(y).alias("y"), "p")
+            for f, (_, _, lo, hi) in enumerate(folds)
+        ]
+        row = fold_report(reduce(DataFrame.union, parts)).first()
+        return tuple(row[m] for m in MEASURES)
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        for rung, trees in enumerate(rungs):
+            more = {i: min(trees, candidates[i]["maxIter"] - size[i]) for i in alive}
+            list(pool.map(grow, [(i, f, more[i]) for i in alive for f in range(len(folds)) if more[i] > 0]))
+            for i, measures in zip(alive, pool.map(score, alive)):
+                size[i] += more[i]
+                last[i] = (rung, size[i], *measures)
+            # a score is null without a good row
+            alive = sorted(alive, key=lambda i: (-(last[i][2] if last[i][2] is not None else -math.inf), i))[: max(1, math.ceil(keep * len(alive)))]
+    kinds = {int: "int", float: "double", str: "string"}
+    fields = ["trial int", *[f"{k} {kinds[type(v)]}" for k, v in candidates[0].items()], "rung int", "trees int", *[f"{m} double" for m in MEASURES]]
+    rows = [(i, *c.values(), *last[i]) for i, c in enumerate(candidates)]
+    return matrix.sparkSession.createDataFrame(rows, ", ".join(fields))
+
+
 def random_candidates(n: int = 40, seed: int = 42, trees: tuple[int, int] = (300, 1200)) -> list[dict]:
     """Seeded draws from the tuning ranges; the learning rate is log-uniform."""
     draw = random.Random(seed)

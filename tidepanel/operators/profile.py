@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.frames import per_entity
@@ -62,12 +65,54 @@ def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.agg(F.corr(x, y).alias("corr"), F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).alias("n"))
 
 
-def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """All pairs in one aggregation, as ``(col_a, col_b, corr)`` rows."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    row = df.agg(*[F.corr(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
-    cells = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"_{i}").alias("corr")) for i, (a, b) in enumerate(pairs)]
-    return row.select(F.inline(F.array(*cells)))
+#: Columns of a block; a task holds six square matrices of a pair of blocks.
+CORR_BLOCK = 256
+#: Rows whose means the sums are taken about. That bears on rounding only, so any rows of the table will do.
+SHIFT_ROWS = 1000
+
+
+def _cross_products(df: DataFrame, left: list[str], right: list[str], shift: dict[str, float]) -> DataFrame:
+    """``(a, b, n, sa, sb, saa, sbb, sab)`` of each pair, over rows where both have a value; one row per task and pair."""
+    names = list(dict.fromkeys([*left, *right]))
+    same = left == right
+    rows = df.select(*[(F.col(c).cast("double") - F.lit(shift[c])).alias(f"_{i}") for i, c in enumerate(names)])
+    at_left, at_right = [names.index(c) for c in left], [names.index(c) for c in right]
+
+    def sums(batches):
+        total = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            there = ~np.isnan(x)
+            x, there = np.where(there, x, 0.0), there.astype(float)
+            a, b, has_a, has_b = x[:, at_left], x[:, at_right], there[:, at_left], there[:, at_right]
+            new = np.stack([has_a.T @ has_b, a.T @ has_b, has_a.T @ b, (a * a).T @ has_b, has_a.T @ (b * b), a.T @ b])
+            total = new if total is None else total + new
+        if total is not None:
+            i, j = np.triu_indices(len(left)) if same else np.indices(total.shape[1:]).reshape(2, -1)
+            arrays = [pa.array(np.array(left, object)[i], pa.string()), pa.array(np.array(right, object)[j], pa.string()), *(pa.array(m[i, j]) for m in total)]
+            yield pa.RecordBatch.from_arrays(arrays, ["col_a", "col_b", "n", "sa", "sb", "saa", "sbb", "sab"])
+
+    return rows.mapInArrow(sums, "col_a string, col_b string, n double, sa double, sb double, saa double, sbb double, sab double")
+
+
+def corr_matrix(df: DataFrame, cols: list[str], block: int = CORR_BLOCK) -> DataFrame:
+    """All pairs as ``(col_a, col_b, corr)`` rows, each over the rows where both columns have a value (NaN counts as none).
+
+    Columns are taken in blocks, and each pair of blocks reads its own columns only: every task multiplies its rows' blocks and emits
+    one row of sums per pair of columns, which are added up by pair. Up to ``block`` columns that is one pass over ``df``, which should be staged beyond.
+    Null where a column does not vary over the shared rows.
+    """
+    some = df.limit(SHIFT_ROWS).agg(*[F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(f"_{i}") for i, c in enumerate(cols)]).first()
+    shift = {c: v if v is not None and math.isfinite(v) else 0.0 for c, v in zip(cols, some)}
+    blocks = [cols[i : i + block] for i in range(0, len(cols), block)]
+    parts = reduce(DataFrame.union, [_cross_products(df, a, b, shift) for i, a in enumerate(blocks) for b in blocks[i:]])
+    n, sa, sb, saa, sbb, sab = (F.sum(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab"))
+    own_a, own_b = saa - sa * sa / n, sbb - sb * sb / n
+    varies = (n > 1) & (own_a > 1e-13 * saa) & (own_b > 1e-13 * sbb)
+    spread = F.sqrt(own_a) * F.sqrt(own_b)
+    return parts.groupBy("col_a", "col_b").agg(F.when(varies, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), (sab - sa * sb / n) / spread))).alias("corr"))
 
 
 def missing_rate(df: DataFrame, top: int = 20) -> DataFrame:

@@ -67,5 +67,6 @@ def recursive_forecast(
         )
         if step % checkpoint_every == 0 and step < steps:
             current = checkpointed(current)
-    rows = current.select("entity_id", F.posexplode("out").alias("_i", "forecast"))
+    # a plain explode infers a filter on the array, whose way down through the steps would spell out every step in each of its uses
+    rows = current.select("entity_id", F.posexplode_outer("out").alias("_i", "forecast"))
     return rows.select("entity_id", (F.col("_i") + last + 1).alias("t"), "forecast")

@@ -313,6 +313,20 @@ def shift_join(spark, d):
     return L.shift_join(X.obs(spark, d).select("entity_id", "t", "num", "amount"), (1, 2, 12), ("num", "amount"))
 
 
+_OBS = ("num", "area", "amount", "price", "area_per_unit", "total_price_per_unit")
+
+
+@query(
+    "shift_all",
+    "wide AS (SELECT entity_id, t, num, area, amount, amount / area AS price, area / num AS area_per_unit, amount / num AS total_price_per_unit FROM obs) "
+    "SELECT p.*, " + ", ".join(f"s{m}.{c} AS {c}_{m}" for m in (1, 2, 12) for c in _OBS) + " FROM wide p "
+    + " ".join(f"LEFT JOIN wide s{m} ON s{m}.entity_id = p.entity_id AND s{m}.t = p.t - {m}" for m in (1, 2, 12)),
+)
+def shift_all(spark, d):
+    """Every column of the observations, of the period itself and of three earlier ones."""
+    return L.shift_join(X.obs(spark, d))
+
+
 @query(
     "align_to_horizon",
     f"per AS (SELECT entity_id, {geo_sql()} AS base FROM train GROUP BY entity_id) "
@@ -505,21 +519,19 @@ def synthetic_history(spark, d):
     return rounded(G.with_synthetic(panel, missing, made))
 
 
-def _periods(spark, d) -> list[int]:
-    """The periods of the data; a pivot needs them before it can be planned."""
-    return list(range(spark.range(1).select(X.last_period(spark, d)).first()[0] + 1))
+#: The declared columns of the pivot: the months of the line items. A later one stops the job.
+_PERIODS = list(range(83))
 
 
-@query("pivot_wide", "spread AS (SELECT entity_id, 't' || t AS k, amount FROM panel) PIVOT spread ON k USING coalesce(sum(amount), 0.0) GROUP BY entity_id")
+@query("pivot_wide", "SELECT entity_id, " + ", ".join(f"coalesce(sum(amount) FILTER (t = {t}), 0.0) AS t{t}" for t in _PERIODS) + " FROM panel GROUP BY entity_id")
 def pivot_wide(spark, d):
-    return G.to_wide(X.panel(spark, d), _periods(spark, d), prefix="t")
+    return G.to_wide(X.panel(spark, d), _PERIODS, prefix="t", strict=True)
 
 
 @query("unpivot_long", "SELECT entity_id, t, amount FROM panel")
 def unpivot_long(spark, d):
-    periods = _periods(spark, d)
-    wide = G.to_wide(X.panel(spark, d), periods, prefix="t")
-    return G.to_long(wide, [f"t{t}" for t in periods], prefix="t")
+    wide = G.to_wide(X.panel(spark, d), _PERIODS, prefix="t", strict=True)
+    return G.to_long(wide, [f"t{t}" for t in _PERIODS], prefix="t")
 
 
 @query("distinct_entities", "SELECT count(DISTINCT entity_id) AS n_entities, count(DISTINCT t) AS n_periods FROM obs")

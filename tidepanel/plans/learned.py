@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import is_zero
 from ..functions.quantiles import exact_quantiles
-from ..operators import grid as G, hurdle, learn as ML, recursive as RC, validation as V
+from ..operators import ensembles as E, grid as G, hurdle, learn as ML, recursive as RC, splits, validation as V
 from ..operators.lags import lags
 from ..operators.profile import time_medians
 from ..session import scratch_path, staged
@@ -15,6 +15,8 @@ from .registry import query, rounded, score_sql
 
 #: A cut: the operators' default is 400 trees. README has the seconds a tree takes.
 _TREES = {"maxDepth": 4, "maxIter": 100}
+#: A cut with it: the operator's default is 100 trees without a lower error.
+_PATIENCE = 20
 _ALPHAS = [round(10 ** (-3 + 5 * i / 7), 6) for i in range(8)]
 
 
@@ -47,8 +49,9 @@ def ridge_forecast(spark, d):
 
 @query("lasso_forecast")
 def lasso_forecast(spark, d):
+    """The penalty is chosen over the folds, then all known rows are fitted."""
     panel = _history(spark, d)
-    return _forecast(panel, ML.fit_linear(_matrix(panel), ML.FEATURES, 10.0, "lasso"))
+    return _forecast(panel, ML.fit_lasso_path(_matrix(panel), ML.FEATURES)[0])
 
 
 @query("ols_forecast")
@@ -65,9 +68,26 @@ def gbt_forecast(spark, d):
 
 @query("gbt_early_stop")
 def gbt_early_stop(spark, d):
+    """Boosting cut where the newest year's error has not fallen for ``_PATIENCE`` trees."""
+    panel = _history(spark, d)
+    model, _ = E.fit_patient(_matrix(panel), ML.FEATURES, F.col("t") > X.LAST - 12, patience=_PATIENCE, **_TREES)
+    return _forecast(panel, model)
+
+
+@query("gbt_error_curve")
+def gbt_error_curve(spark, d):
+    """Error on the newest year of every prefix of the ensemble, and whether it is the one that patience keeps."""
+    _, curve = E.fit_patient(_matrix(_history(spark, d)), ML.FEATURES, F.col("t") > X.LAST - 12, patience=_PATIENCE, **_TREES)
+    return rounded(curve.withColumn("kept", F.col("trees") == E.best_prefix(curve, _PATIENCE)))
+
+
+@query("gbt_saved_forecast")
+def gbt_saved_forecast(spark, d):
+    """The ensemble written as a table of nodes, read back, and scored by DataFrame operations alone."""
     panel = _history(spark, d)
-    rows = _matrix(panel).withColumn("is_valid", F.col("t") > X.LAST - 12)
-    return _forecast(panel, ML.fit_gbt(rows, ML.FEATURES, validation="is_valid", **_TREES))
+    path = scratch_path(spark, "saved")
+    E.save_nodes(E.node_table(ML.fit_gbt(_matrix(panel), ML.FEATURES, **_TREES), spark), path)
+    return _forecast(panel, E.NodeModel(E.load_nodes(spark, path), ML.FEATURES))
 
 
 @query("forest_forecast")
@@ -136,12 +156,23 @@ def grid_gbt(spark, d):
     return rounded(ML.search(_matrix(_history(spark, d)), ML.FEATURES, candidates), 6, rmse=3)
 
 
+@query("grid_lasso")
+def grid_lasso(spark, d):
+    rows = _matrix(_history(spark, d))
+    alphas = ML.lasso_alphas(ML.gram(rows.withColumn("fold", F.lit(0)), ML.FEATURES).first(), len(ML.FEATURES))
+    return rounded(ML.grid_linear(rows, ML.FEATURES, alphas, path=ML.lasso_path), 6, rmse=3)
+
+
+#: A cut: the operator's default rungs add up to 1,200 trees over all folds. README has the seconds.
+_RUNGS, _RACE_FOLDS = (2, 2, 4, 8), V.FOLDS[-2:]
+
+
 @query("random_search")
 def random_search(spark, d):
-    """Trials from the tuning ranges; the best one is saved and read back."""
-    found = ML.search(_matrix(_history(spark, d)), ML.FEATURES, ML.random_candidates(3, trees=(5, 12)))
+    """Forty trials from the tuning ranges race; the best one that ran to the end is saved and read back."""
+    found = ML.race(_matrix(_history(spark, d)), ML.FEATURES, ML.random_candidates(40), _RUNGS, folds=_RACE_FOLDS)
     path = scratch_path(spark, "params")
-    sinks.save_params(V.best(found, ["trial"], score="mean_score"), path)
+    sinks.save_params(V.best(found.where(F.col("rung") == len(_RUNGS) - 1), ["trial"], score="mean_score"), path)
     chosen = sinks.load_params(spark, path, found.schema, {}).first()["trial"]
     return rounded(found.withColumn("chosen", F.col("trial") == chosen), 6, rmse=3)
 
@@ -223,3 +254,51 @@ def recursive_pair(spark, d):
     panel = _history(spark, d)
     rows = staged(lags(panel, (1, 12)).dropna(subset=_PAIR).withColumnRenamed("amount", "y"), "matrix")
     return rounded(RC.recursive_forecast(ML.fit_linear(rows, _PAIR, kind="ols"), RC.history_state(panel, X.LAST), X.LAST, X.STEPS), 3)
+
+
+_PENALTIES = [10.0, 5000.0, 12000.0]
+
+
+@query(
+    "lasso_coefficients",
+    _FIT + "," + _solved("rows") + f""",
+unit AS (SELECT ma, mb, my, sqrt(va) AS sa, sqrt(vb) AS sb, ab / sqrt(va * vb) AS r, ay / sqrt(va) AS ra, bby / sqrt(vb) AS rb FROM sums_rows),
+signs AS (SELECT * FROM (VALUES (-1), (0), (1)) AS a(ga) CROSS JOIN (VALUES (-1), (0), (1)) AS b(gb)),
+penalties AS (SELECT unnest({_PENALTIES}::DOUBLE[]) AS alpha),
+ends AS (
+  SELECT alpha, ga, gb, u.*,
+         CASE WHEN ga = 0 THEN 0.0 WHEN gb = 0 THEN ra - alpha * ga ELSE (ra - alpha * ga - r * (rb - alpha * gb)) / (1 - r * r) END AS va,
+         CASE WHEN gb = 0 THEN 0.0 WHEN ga = 0 THEN rb - alpha * gb ELSE (rb - alpha * gb - r * (ra - alpha * ga)) / (1 - r * r) END AS vb
+  FROM unit u CROSS JOIN signs CROSS JOIN penalties)
+SELECT alpha, round(va / sa, 4) + 0.0 AS wa, round(vb / sb, 4) + 0.0 AS wb, round(my - va / sa * ma - vb / sb * mb, 3) AS c FROM ends
+WHERE sign(va) = ga AND sign(vb) = gb AND (ga <> 0 OR abs(ra - r * vb) <= alpha) AND (gb <> 0 OR abs(rb - r * va) <= alpha)
+""",
+)
+def lasso_coefficients(spark, d):
+    row = ML.gram(_pair_matrix(spark, d).withColumn("fold", F.lit(0)), _PAIR).first()
+    fits = [(alpha, float(w[0]), float(w[1]), c) for alpha, w, c in ML.lasso_path(row, 2, _PENALTIES)]
+    return rounded(spark.createDataFrame(fits, "alpha double, wa double, wb double, c double"), 4, c=3)
+
+
+@query(
+    "best_split",
+    _FIT + """,
+cells AS (
+  SELECT feature, x, count(*) AS n, sum(y) AS s
+  FROM (SELECT 'lag_1' AS feature, a AS x, y FROM rows UNION ALL SELECT 'lag_12', b, y FROM rows) GROUP BY feature, x),
+running AS (
+  SELECT feature, x, lead(x) OVER w AS next, sum(n) OVER (w ROWS UNBOUNDED PRECEDING) AS nl, sum(s) OVER (w ROWS UNBOUNDED PRECEDING) AS sl,
+         sum(n) OVER (PARTITION BY feature) AS n, sum(s) OVER (PARTITION BY feature) AS s
+  FROM cells WINDOW w AS (PARTITION BY feature ORDER BY x)),
+gains AS (
+  SELECT *, (sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n) / n AS gain, (x + next) / 2 AS threshold
+  FROM running WHERE next IS NOT NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY gain DESC, threshold) AS place FROM gains)
+SELECT feature, round(threshold, 4) AS threshold, round(gain / 1000, 2) AS gain, CAST(nl AS BIGINT) AS n_left, CAST(n - nl AS BIGINT) AS n_right,
+       round(sl / nl, 3) AS mean_left, round((s - sl) / (n - nl), 3) AS mean_right
+FROM ranked WHERE place = 1
+""",
+)
+def best_split(spark, d):
+    found = splits.best_splits(_pair_matrix(spark, d), _PAIR)
+    return rounded(found.withColumn("gain", F.col("gain") / 1000), 4, gain=2, mean_left=3, mean_right=3)
