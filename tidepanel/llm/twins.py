@@ -119,6 +119,8 @@ FROM documents d LEFT JOIN line_fate USING (doc_id)
 
 LICENSES = r"""
 WITH template(number, label, phrase, words) AS (VALUES {templates}),
+needed(number, key, t_at) AS (VALUES {needed}),
+needs AS (SELECT number, count(DISTINCT key) AS n_keys FROM needed GROUP BY number),
 worded AS (
   SELECT row_number() OVER () AS rid, doc_id,
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -127,23 +129,34 @@ t_grams AS (
   SELECT number, label, phrase, len(words) - 2 AS t_n, i - 1 AS t_at, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g
   FROM (SELECT *, unnest(range(1, len(words) - 1)) AS i FROM template)),
 d_grams AS (SELECT rid, i - 1 AS d_at, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM worded)),
-hits AS (SELECT rid, number, label, phrase, t_n, t_at, d_at - t_at AS diagonal FROM d_grams JOIN t_grams USING (g)),
+hits AS (SELECT rid, number, label, phrase, t_n, t_at, d_at, d_at - t_at AS diagonal FROM d_grams JOIN t_grams USING (g)),
 diagonals AS (SELECT DISTINCT rid, number, phrase, diagonal FROM hits),
 numbered AS (
   SELECT *, sum(CASE WHEN phrase OR diagonal - before > 2 OR before IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY rid, number ORDER BY diagonal) AS span
   FROM (SELECT *, lag(diagonal) OVER (PARTITION BY rid, number ORDER BY diagonal) AS before FROM diagonals)),
+in_spans AS (SELECT h.*, n.span FROM hits h JOIN numbered n ON n.rid = h.rid AND n.number = h.number AND n.diagonal = h.diagonal),
+told AS (SELECT rid, number, span, count(DISTINCT key) AS n_told FROM in_spans JOIN needed USING (number, t_at) GROUP BY rid, number, span),
 spans AS (
-  SELECT h.rid, h.number, h.label, h.phrase, h.t_n, n.span, min(h.diagonal) AS start, count(DISTINCT h.t_at) AS held
-  FROM hits h JOIN numbered n ON n.rid = h.rid AND n.number = h.number AND n.diagonal = h.diagonal GROUP BY ALL),
-good AS (SELECT *, held / t_n AS share FROM spans WHERE CASE WHEN phrase THEN held = t_n ELSE held / t_n >= 0.6 AND held >= 6 END),
+  SELECT rid, number, label, phrase, t_n, span, min(diagonal) AS start, min(d_at) AS first_at, max(d_at) + 3 AS stop_at, count(DISTINCT t_at) AS held
+  FROM in_spans GROUP BY ALL),
+good AS (
+  SELECT s.*, held / t_n AS share FROM spans s LEFT JOIN told USING (rid, number, span) LEFT JOIN needs USING (number)
+  WHERE CASE WHEN phrase THEN held = t_n ELSE held / t_n >= 0.6 AND held >= 6 AND n_told = n_keys END),
+best AS (
+  SELECT * FROM good a
+  WHERE phrase OR NOT EXISTS (
+    SELECT 1 FROM good b WHERE b.rid = a.rid AND NOT b.phrase AND b.label <> a.label AND b.first_at < a.stop_at AND a.first_at < b.stop_at
+      AND (b.share > a.share OR (b.share = a.share AND (b.held > a.held OR (b.held = a.held AND b.number < a.number)))))),
 found AS (
   SELECT rid, count(*) FILTER (phrase) AS n_base, min(start) FILTER (phrase) AS first_word, max(start) FILTER (phrase) AS last_word,
          coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
-  FROM good GROUP BY rid)
+  FROM best GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(score, 0.0), 6) AS score
 FROM worded LEFT JOIN found USING (rid)
-""".replace("{templates}", ", ".join(f"({i}, '{label}', {phrase}, {words})" for i, label, phrase, words in templates()))
+""".replace("{templates}", ", ".join(f"({i}, '{label}', {phrase}, {text.split()})" for i, label, phrase, text, _ in templates())).replace(
+    "{needed}", ", ".join(f"({i}, {k}, {t})" for i, _, _, _, needed in templates() for k, places in enumerate(needed) for t in places)
+)
 
 LEAKS = r"""
 WITH cut AS (
