@@ -166,16 +166,18 @@ def _state(subset: int, island: int, sizes: np.ndarray, genomes: list[np.ndarray
 
 
 def _ordered(group: pd.DataFrame) -> pd.DataFrame:
-    return group.sort_values(["length", "deal", "doc_id", "piece"], ascending=[False, True, True, True], kind="stable")
+    return group.sort_values(["length", "deal", "no_id", "doc_id", "piece"], ascending=[False, True, True, True, True], kind="stable")
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, subset: int = SUBSET, epochs: int = EPOCHS) -> DataFrame:
     """One row per piece: ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id`` and ``offset``.
 
     A document is its ids and then id 1, so a null or empty text has one token. A longer one than ``capacity`` is cut there.
-    Every row is packed, so repeated rows are packed as often as they come; ids may be null. An empty table gives an empty result.
+    Every row is packed, so repeated rows are packed as often as they come; ids may be null and are kept to the last bit. An empty table gives an empty result.
     """
-    held = staged(pieces(docs, path, capacity), "pieces")
+    # pandas would turn ids beside a null into doubles, so a null travels as 0 and a flag
+    plain = {"doc_id": F.coalesce("doc_id", F.lit(0).cast("long")), "no_id": F.col("doc_id").isNull()}
+    held = staged(pieces(docs, path, capacity).withColumns(plain), "pieces")
     subsets = max(1, -(-held.count() // subset))
     dealt = held.withColumn("subset", F.pmod("deal", F.lit(subsets)).cast("long"))
 
@@ -193,7 +195,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, sub
 
         return run
 
-    islands = dealt.select("subset", "doc_id", "piece", "length", "deal").withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
+    islands = dealt.select("subset", "doc_id", "no_id", "piece", "length", "deal").withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
     state = islands.groupBy("subset", "island").applyInPandas(found, _STATE)
     for epoch in range(1, epochs):
         state = staged(state, "islands")
@@ -204,13 +206,15 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, sub
 
     def place(items, genome):
         if not len(items):
-            return pd.DataFrame(columns=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            return pd.DataFrame(columns=["doc_id", "no_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
         items = _ordered(items)
         bins = np.frombuffer(genome["genomes"].iloc[0], np.int32, len(items)).astype(np.int64)
         order = np.argsort(bins, kind="stable")
         items, bins = items.iloc[order], bins[order]
         total = np.cumsum(items["length"].to_numpy()) - items["length"].to_numpy()
         first = np.searchsorted(bins, bins, "left")
-        return items[["doc_id", "piece", "start", "length", "ids_crc32"]].assign(sequence_id=bins + (int(genome["subset"].iloc[0]) << 24), offset=total - total[first])
+        return items[["doc_id", "no_id", "piece", "start", "length", "ids_crc32"]].assign(sequence_id=bins + (int(genome["subset"].iloc[0]) << 24), offset=total - total[first])
 
-    return dealt.groupBy("subset").cogroup(best.groupBy("subset")).applyInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    schema = "doc_id long, no_id boolean, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    placed = dealt.groupBy("subset").cogroup(best.groupBy("subset")).applyInPandas(place, schema)
+    return placed.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
