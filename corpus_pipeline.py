@@ -10,7 +10,7 @@ from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidepanel.llm.common import small_side
+from tidepanel.llm.common import free_name, shared_ids, small_side, versioned
 from tidepanel.llm.lines import drop_lines
 from tidepanel.llm.ngram import ngram_join
 from tidepanel.llm.packing import pack
@@ -46,19 +46,22 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @_step
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line, or nearly, go; every document stays."""
-    return _counted(drop_lines(docs), docs.columns)
+    """Lines that repeat an earlier line, or nearly, go, and so do documents of which no word is left."""
+    return _counted(drop_lines(docs, emptied=False), docs.columns)
 
 
 @_step
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by five-word Jaccard similarity of 0.8 or more, the one of the smallest id stays.
 
-    Rows that share an id stay or go together.
+    Rows of one id and one text are one document. Different texts of one id are judged each for itself, under a number of their own.
     """
-    found = ngram_join(docs, n=5, percent=80)
-    out = small_side(found.where("component_id <> doc_id").select(F.col("doc_id").alias("r_doc")).distinct())
-    return docs.join(out, docs["doc_id"] == out["r_doc"], "left_anti")
+    key, version = free_name("key", docs), free_name("version", docs)
+    rows = versioned(docs, shared_ids(docs), version)
+    rows = rows.withColumn(key, F.when(F.col(version) == 0, F.col("doc_id").cast("long")).otherwise(F.xxhash64("doc_id", version)))
+    found = ngram_join(rows, n=5, percent=80, key=key)
+    out = small_side(found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct())
+    return rows.join(out, rows[key] == out["gone"], "left_anti").select(*docs.columns)
 
 
 @_step

@@ -28,6 +28,45 @@ def words_of(text: Column) -> Column:
     return F.when(F.coalesce(trimmed, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANK_CLASS + "+"))
 
 
+def free_name(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores behind it until no column of ``frames`` has it, in any case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def shared_ids(docs: DataFrame) -> DataFrame:
+    """The ids (``v_doc``) that stand on different texts."""
+    digest = F.xxhash64("text")
+    rows = docs.where("doc_id is not null and text is not null").groupBy(F.col("doc_id").cast("long").alias("v_doc"))
+    return small_side(rows.agg(F.min(digest).alias("low"), F.max(digest).alias("high")).where("low <> high").select("v_doc"))
+
+
+def versioned(docs: DataFrame, shared: DataFrame, name: str = "version") -> DataFrame:
+    """``docs`` with a version: a hash of the text where an id stands on different texts, else 0, which costs next to nothing wherever it travels.
+
+    Rows of one id and one text are one document, rows of one id and different texts are several; id and version tell them apart.
+    """
+    v = free_name("v_doc", docs)
+    shared = shared.withColumnRenamed("v_doc", v)
+    version = F.when(F.col(v).isNotNull(), F.coalesce(F.xxhash64("text"), F.lit(0))).otherwise(F.lit(0)).cast("long")
+    return docs.join(shared, docs["doc_id"].cast("long") == F.col(v), "left").withColumn(name, version).drop(v)
+
+
+def with_found(docs: DataFrame, shared: DataFrame, found: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``docs`` with ``columns`` (name in ``found``: name in the result) of the document each row is; null where ``found`` has none or the text is null.
+
+    ``found`` has one row per ``doc_id`` and ``version``.
+    """
+    doc, version, mine = (free_name(c, docs) for c in ("f_doc", "f_version", "version"))
+    found = found.select(F.col("doc_id").alias(doc), F.col("version").alias(version), *(F.col(a).alias(b) for a, b in columns.items()))
+    rows = versioned(docs, shared, mine)
+    same = (F.col("doc_id").cast("long") == F.col(doc)) & (F.col(version) == F.col(mine))
+    out = rows.join(found, same, "left").drop(doc, version, mine)
+    return out.withColumns({b: F.when(F.col("text").isNotNull(), F.col(b)) for b in columns.values()})
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of a well-mixed 64-bit hash, element by element."""
     x = x ^ (x >> _U64(30))

@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidepanel.llm.common import _IS_BLANK, map_batches, mix64, signed, slices, small_side, text_buffer
+from tidepanel.llm.common import _IS_BLANK, BLANKS, free_name, map_batches, mix64, signed, slices, shared_ids, small_side, text_buffer, versioned, with_found
 from tidepanel.session import staged
 
 MAX_EDITS = 2
@@ -136,14 +136,15 @@ def _occurrences(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id").take(pa.array(owner)),
+                    part.column("version").take(pa.array(owner)),
                     pa.array(number, pa.int32()),
                     pa.array([_signed(x & 0xFFFFFFFFFFFFFFFF) for x in both], pa.int64()),
                     pa.array([_signed(x >> 64) for x in both], pa.int64()),
                 ],
-                ["doc_id", "line", "h1", "h2"],
+                ["doc_id", "version", "line", "h1", "h2"],
             )
 
-    return map_batches(docs, work, "doc_id long, line int, h1 long, h2 long")
+    return map_batches(docs, work, "doc_id long, version long, line int, h1 long, h2 long")
 
 
 def _segment_keys(docs: DataFrame, edits: int, min_bytes: int) -> DataFrame:
@@ -200,16 +201,16 @@ def _segment_keys(docs: DataFrame, edits: int, min_bytes: int) -> DataFrame:
 def near_lines(docs: DataFrame, first: DataFrame, edits: int = MAX_EDITS, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Pairs ``(a, b)`` of line hashes of different lines within ``edits`` edits.
 
-    ``first`` holds ``h1`` and the place ``(doc_id, line)`` of one occurrence of every line.
+    ``docs`` is as ``versioned`` gives it; ``first`` holds ``h1`` and the place ``(doc_id, version, line)`` of one occurrence of every line.
     """
-    keys = staged(_segment_keys(docs, edits, min_bytes), "segments")
+    keys = staged(_segment_keys(docs.select("text"), edits, min_bytes), "segments")
     own = keys.select(F.explode("own").alias("key"), F.col("h").alias("a"), F.col("sign").alias("sign_a")).distinct()
     there = keys.select(F.explode("there").alias("key"), F.col("h").alias("b"), F.col("sign").alias("sign_b"))
     close = F.bit_count(F.col("sign_a").bitwiseXOR(F.col("sign_b"))) <= 4 * edits
     met = own.join(there, (own["key"] == there["key"]) & (F.col("a") != F.col("b")) & close)
     pairs = staged(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b").alias("h1"))).distinct()
-    places = first.join(wanted, "h1").groupBy("doc_id").agg(F.collect_list(F.struct("line", "h1")).alias("want"))
+    places = first.join(wanted, "h1").groupBy("doc_id", "version").agg(F.collect_list(F.struct("line", "h1")).alias("want"))
 
     def texts(batch):
         for part in slices(batch, "text", 1 << 20):
@@ -219,7 +220,7 @@ def near_lines(docs: DataFrame, first: DataFrame, edits: int = MAX_EDITS, min_by
             found = [(h, x) for h, x in found if _signed(xxhash.xxh3_128_intdigest(x) & 0xFFFFFFFFFFFFFFFF) == h]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["h", "line"])
 
-    held = staged(map_batches(docs.join(small_side(places, F.size("want") + 1), "doc_id").select("text", "want"), texts, "h long, line binary").distinct(), "texts")
+    held = staged(map_batches(docs.join(small_side(places, F.size("want") + 1), ["doc_id", "version"]).select("text", "want"), texts, "h long, line binary").distinct(), "texts")
     left = held.select(F.col("h").alias("a"), F.col("line").alias("x"))
     right = held.select(F.col("h").alias("b"), F.col("line").alias("y"))
 
@@ -232,24 +233,29 @@ def near_lines(docs: DataFrame, first: DataFrame, edits: int = MAX_EDITS, min_by
     return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), verify, "a long, b long").distinct()
 
 
-def dropped_lines(docs: DataFrame, edits: int = MAX_EDITS, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """``doc_id``, ``n_lines`` (lines with a word), ``n_near`` (its lines' links to different lines) and the sorted ``dropped`` line numbers.
+def dropped_lines(docs: DataFrame, shared: DataFrame, edits: int = MAX_EDITS, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """``doc_id`` and ``version``, ``n_lines`` (lines with a word), ``n_near`` (its lines' links to different lines) and the sorted ``dropped`` line numbers.
 
-    Documents are rows with a ``doc_id`` and a ``text`` that has a word; line numbers count every line from 0.
+    Documents are rows with a ``doc_id`` and a ``text`` that has a word; line numbers count every line from 0. Different texts of one of the ``shared`` ids
+    are documents of their own, in the order of their versions.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    docs = versioned(rows, shared).select("doc_id", "version", "text")
     lines = staged(_occurrences(docs), "lines")
-    first = staged(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("at")).select("h1", "h2", "at.*"), "first")
+    first = staged(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "version", "line")).alias("at")).select("h1", "h2", "at.*"), "first")
     near = staged(near_lines(docs, first, edits, min_bytes), "near")
-    place = first.select("h1", F.struct("doc_id", "line").alias("at")).groupBy("h1").agg(F.min("at").alias("at"))
+    place = first.select("h1", F.struct("doc_id", "version", "line").alias("at")).groupBy("h1").agg(F.min("at").alias("at"))
     ends = near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
     ends = ends.join(place.withColumnRenamed("h1", "a").withColumnRenamed("at", "at_a"), "a").join(place.withColumnRenamed("h1", "b").withColumnRenamed("at", "at_b"), "b")
     late = ends.groupBy(F.col("a").alias("h1")).agg(F.max(F.col("at_b") < F.col("at_a")).alias("late"), F.count(F.lit(1)).alias("links"))
-    marked = first.join(late, "h1", "left").select("h1", "h2", F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line"), F.coalesce("late", F.lit(False)).alias("late"), F.coalesce("links", F.lit(0)).alias("links"))
-    copy = (F.col("doc_id") != F.col("first_doc")) | (F.col("line") != F.col("first_line"))
-    rows = lines.join(marked, ["h1", "h2"]).select("doc_id", "line", "links", (copy | F.col("late")).alias("drop"))
-    rows = rows.groupBy("doc_id", "line").agg(F.max("drop").alias("drop"), F.max("links").alias("links"))
-    return rows.groupBy("doc_id").agg(
+    marked = first.join(late, "h1", "left").select(
+        "h1", "h2", F.col("doc_id").alias("first_doc"), F.col("version").alias("first_version"), F.col("line").alias("first_line"),
+        F.coalesce("late", F.lit(False)).alias("late"), F.coalesce("links", F.lit(0)).alias("links"),
+    )
+    copy = (F.col("doc_id") != F.col("first_doc")) | (F.col("version") != F.col("first_version")) | (F.col("line") != F.col("first_line"))
+    rows = lines.join(marked, ["h1", "h2"]).select("doc_id", "version", "line", "links", (copy | F.col("late")).alias("drop"))
+    rows = rows.groupBy("doc_id", "version", "line").agg(F.max("drop").alias("drop"), F.max("links").alias("links"))
+    return rows.groupBy("doc_id", "version").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.sum("links").cast("long").alias("n_near"),
         F.sort_array(F.collect_list(F.when(F.col("drop"), F.col("line")))).alias("dropped"),
@@ -260,21 +266,32 @@ def line_report(docs: DataFrame, edits: int = MAX_EDITS, min_bytes: int = MIN_BY
     """One row per row of ``docs``: ``doc_id``, ``n_lines``, ``n_dropped``, ``n_near`` and ``dropped``.
 
     Null and blank texts have no lines. A row with a null id is not compared and keeps its lines.
-    Rows with one id and one text are one document. Other columns are left out; empty tables give empty results.
+    Rows with one id and one text are one document; rows with one id and different texts are different documents, in a fixed order.
+    Other columns are left out; empty tables give empty results.
     """
-    found = dropped_lines(docs, edits, min_bytes)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    shared = shared_ids(rows)
+    found = with_found(rows, shared, dropped_lines(rows, shared, edits, min_bytes), {c: c for c in ("n_lines", "n_near", "dropped")})
     zero = F.lit(0).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(found, "doc_id", "left").select(
+    return found.select(
         "doc_id", F.coalesce("n_lines", zero).alias("n_lines"), F.coalesce(F.size("dropped").cast("long"), zero).alias("n_dropped"),
         F.coalesce("n_near", zero).alias("n_near"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"),
     )
 
 
-def drop_lines(docs: DataFrame, edits: int = MAX_EDITS, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """``docs`` with the dropped lines taken out of ``text``; all columns and rows stay, a null text stays null."""
-    found = dropped_lines(docs, edits, min_bytes).where(F.size("dropped") > 0).select(F.col("doc_id").alias("_doc"), "dropped")
-    joined = docs.join(small_side(found, F.size("dropped") + 1), docs["doc_id"].cast("long") == F.col("_doc"), "left")
+def drop_lines(docs: DataFrame, edits: int = MAX_EDITS, min_bytes: int = MIN_BYTES, emptied: bool = True) -> DataFrame:
+    """``docs`` with the dropped lines taken out of ``text``; all columns stay, whatever their names, and a null text stays null.
+
+    All rows stay, but without ``emptied`` those go that had a word and have none left. Ids and texts are told apart as in ``line_report``.
+    """
+    shared = shared_ids(docs)
+    found = dropped_lines(docs, shared, edits, min_bytes).where(F.size("dropped") > 0)
+    gone = free_name("dropped", docs)
+    joined = with_found(docs, shared, small_side(found, F.size("dropped") + 1), {"dropped": gone})
     lines = F.split("text", "\n")
-    keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped"))
-    text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n"))
-    return joined.withColumn("text", text).select(*docs.columns)
+    keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n"))
+    out = joined.withColumn("text", text)
+    if not emptied:
+        out = out.where(F.col(gone).isNull() | F.col("text").isNull() | (F.btrim("text", F.lit(BLANKS)) != ""))
+    return out.select(*docs.columns)

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidepanel.llm.common import map_batches, mix64, powers, signed, slices, text_buffer, word_hashes
+from tidepanel.llm.common import map_batches, mix64, powers, shared_ids, signed, slices, text_buffer, versioned, with_found, word_hashes
 from tidepanel.session import staged
 
 RUN = 2
@@ -114,32 +114,34 @@ def _spans(docs: DataFrame) -> DataFrame:
             span_owner, at, span_keys, span_again = once(np.searchsorted(cut.words, at, "right") - 1, at, span_keys, SPAN)
             number = np.concatenate([cut.number[begin], cut.words[span_owner] - at - 1])
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").take(pa.array(np.concatenate([owner, span_owner]))), pa.array(number, pa.int32()), pa.array(signed(np.concatenate([keys, span_keys]))), pa.array(np.concatenate([again, span_again]))],
-                ["doc_id", "sentence", "key", "again"],
+                [*(part.column(c).take(pa.array(np.concatenate([owner, span_owner]))) for c in ("doc_id", "version")), pa.array(number, pa.int32()), pa.array(signed(np.concatenate([keys, span_keys]))), pa.array(np.concatenate([again, span_again]))],
+                ["doc_id", "version", "sentence", "key", "again"],
             )
 
-    return map_batches(docs, work, "doc_id long, sentence int, key long, again boolean")
+    return map_batches(docs, work, "doc_id long, version long, sentence int, key long, again boolean")
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the places of its repeated runs and spans, as in ``_spans``."""
-    rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+def repeated_runs(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """``doc_id`` and ``version`` (as in ``versioned``) and the places of the document's repeated runs and spans, as in ``_spans``."""
+    rows = versioned(docs.where("doc_id is not null and text is not null"), shared).select("doc_id", "version", "text")
     spans = staged(_spans(rows), "spans")
     once = spans.where("not again")
-    keys = once.groupBy("key").agg(F.min("doc_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    late = once.join(keys, "key").where("doc_id > keeper").select("doc_id", "sentence")
-    every = late.union(spans.where("again").select("doc_id", "sentence"))
-    return every.groupBy("doc_id").agg(F.collect_set("sentence").alias("begins"))
+    place = F.struct("doc_id", "version")
+    keys = once.groupBy("key").agg(F.min(place).alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    late = once.join(keys, "key").where(place > F.col("keeper")).select("doc_id", "version", "sentence")
+    every = late.union(spans.where("again").select("doc_id", "version", "sentence"))
+    return every.groupBy("doc_id", "version").agg(F.collect_set("sentence").alias("begins"))
 
 
 def drop_passages(docs: DataFrame) -> DataFrame:
     """One row per row: ``doc_id``, ``n_sentences``, ``n_removed`` (sentences that lose words), ``removed`` (``start:end`` of the parts that go, code points) and the ``text`` that is left.
 
-    Null texts stay null and have no sentences. Rows with one id count as one document, whose rows keep or lose the same passages; a row with a null id
-    keeps its text. Other columns are left out; an empty table gives an empty result.
+    Null texts stay null and have no sentences. Rows with one id and one text are one document; rows with one id and different texts are different documents, in a fixed order.
+    A row with a null id keeps its text. Other columns are left out; an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marks = staged(repeated_runs(rows).withColumnRenamed("doc_id", "m_doc"), "marks")
+    shared = shared_ids(rows)
+    marks = staged(repeated_runs(rows, shared), "marks")
 
     def work(batch):
         for part in slices(batch, "text"):
@@ -181,5 +183,5 @@ def drop_passages(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_sentences", "n_removed", "removed", "text"],
             )
 
-    joined = rows.join(marks, F.col("doc_id") == F.col("m_doc"), "left").select("doc_id", "text", "begins")
+    joined = with_found(rows, shared, marks, {"begins": "begins"}).select("doc_id", "text", "begins")
     return map_batches(joined, work, "doc_id long, n_sentences long, n_removed long, removed string, text string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidepanel.llm.common import BLANK_CLASS, BLANKS, words_of
+from tidepanel.llm.common import BLANK_CLASS, BLANKS, free_name, words_of
 from tidepanel.session import staged
 
 MIN_WORDS = 50
@@ -29,25 +29,25 @@ def document_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     A window that occurs twice is found by sorting the windows of its own document,
     with a 64-bit hash for the three words. A null text counts as one without words.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumns({"_t": t, "_w": words_of(F.col(text))})
-    lines = F.filter(F.split(F.col("_t"), "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
-    df = df.withColumns({"_s": _covered(F.col("_w")), "_l": lines})
-    s = F.col("_s")
-    again = F.filter(s, lambda x, i: F.coalesce(x["h"] == F.get(s, i - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(s, i + 1)["h"], F.lit(False)))
-    df = df.withColumn("_q", F.sort_array(F.transform(again, lambda x: x["p"])))
-    q = F.col("_q")
-    steps = F.transform(q, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(q, i + 1) - p, F.lit(3))))
+    t, w, s, l, q = (free_name(c, docs) for c in ("t", "w", "s", "l", "q"))
+    df = docs.withColumns({t: F.coalesce(F.col(text), F.lit("")), w: words_of(F.col(text))})
+    lines = F.filter(F.split(F.col(t), "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
+    df = df.withColumns({s: _covered(F.col(w)), l: lines})
+    sorted_ = F.col(s)
+    again = F.filter(sorted_, lambda x, i: F.coalesce(x["h"] == F.get(sorted_, i - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(sorted_, i + 1)["h"], F.lit(False)))
+    df = df.withColumn(q, F.sort_array(F.transform(again, lambda x: x["p"])))
+    places = F.col(q)
+    steps = F.transform(places, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(places, i + 1) - p, F.lit(3))))
     df = df.withColumns(
         {
-            "n_words": F.size("_w").cast("long"),
-            "word_chars": (F.length("_t") - F.regexp_count("_t", F.lit(BLANK_CLASS))).cast("long"),
-            "n_symbols": F.regexp_count("_t", F.lit("[#*$%&|<>]")).cast("long"),
-            "n_lines": F.size("_l").cast("long"),
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
+            "n_words": F.size(w).cast("long"),
+            "word_chars": (F.length(t) - F.regexp_count(t, F.lit(BLANK_CLASS))).cast("long"),
+            "n_symbols": F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long"),
+            "n_lines": F.size(l).cast("long"),
+            "n_dup_lines": (F.size(l) - F.size(F.array_distinct(l))).cast("long"),
             "n_repeat_words": F.aggregate(steps, F.lit(0), lambda a, x: a + x).cast("long"),
         }
-    ).drop("_t", "_w", "_s", "_l", "_q")
+    ).drop(t, w, s, l, q)
     return df.withColumns(
         {
             "short": F.col("n_words") < MIN_WORDS,
