@@ -271,9 +271,11 @@ def line_report(docs: DataFrame, edits: int = MAX_EDITS, min_bytes: int = MIN_BY
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shared = shared_ids(rows)
-    found = with_found(rows, shared, dropped_lines(rows, shared, edits, min_bytes), {c: c for c in ("n_lines", "n_near", "dropped")})
+    found = dropped_lines(rows, shared, edits, min_bytes).withColumnsRenamed({"doc_id": "f_doc", "version": "f_version"})
+    # texts stay behind: a row without one has no version and finds nothing
+    named = versioned(rows, shared).select("doc_id", F.when(F.col("text").isNotNull(), F.col("version")).alias("version"))
     zero = F.lit(0).cast("long")
-    return found.select(
+    return named.join(found, (F.col("doc_id") == F.col("f_doc")) & (F.col("version") == F.col("f_version")), "left").select(
         "doc_id", F.coalesce("n_lines", zero).alias("n_lines"), F.coalesce(F.size("dropped").cast("long"), zero).alias("n_dropped"),
         F.coalesce("n_near", zero).alias("n_near"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"),
     )
