@@ -6,7 +6,6 @@ import random
 import re
 import zlib
 
-import pytest
 from pyspark.sql import functions as F
 
 from tidepanel.llm import chats as CH
