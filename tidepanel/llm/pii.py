@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field over candidate spans.
 
 The patterns give the base spans. The field adds what they miss: numbers that stand side by side, telephone numbers without
-a plus sign, shorter card numbers, written-out addresses. It scores whole segments (bounded in tokens) by features of the span, and a dynamic
+a plus sign (national forms, bare digits behind a word such as "tel"), shorter card numbers, written-out addresses, also with bracketed at and dot. It scores whole segments (bounded in tokens) by features of the span, and a dynamic
 programme over the tokens picks boundaries and kinds together; base spans are arcs of the same lattice. A segment that cannot be personal data (no
 digit, no ``@``, no written-out address) is no candidate, so the lattice is only built where a text has one.
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidepanel.llm.common import map_batches, slices
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_TOKENS = 14
+MAX_TOKENS = 16
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -34,6 +34,11 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _TRIGGER = re.compile(r"[0-9@]|(?<![A-Za-z])[Dd][Oo][Tt](?![A-Za-z])")
 _TOKEN = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
+_CUE = re.compile(r"(?i)(?<![a-z])(?:tel|telephone|phone|call|mobile|cell|fax|dial|ring|text)[.:]? (?:me |us )?(?:at |on )?\Z")
+_SPOKEN = re.compile(r"(?i) ?[ \[(]at[ \])].* ?[ \[(]dot[ \])]")
+_MORE = re.compile(r"(?i) ?[ \[(]dot[ \])]")
+_WHOLE = re.compile(r"(?i)[A-Z0-9._%+-]+ ?[ \[(]at[ \])] ?[A-Z0-9-]+(?: ?[ \[(]dot[ \])] ?[A-Z0-9-]+)+")
+_JOINED = re.compile(r"[A-Za-z0-9][._-]\Z")
 
 
 def luhn(digits: str) -> bool:
@@ -92,9 +97,10 @@ def _features(text: str, start: int, end: int, base: str | None) -> list[str]:
     out = [
         "bias", f"digits={min(len(digits), 20)}", f"shape={shape}" if len(shape) < 16 else "shape=long", f"groups={groups}",
         f"luhn={len(digits) > 12 and luhn(digits)}", f"plus={span[0] == '+'}", f"paren={'(' in span and ')' in span}",
-        f"at={'@' in span}", f"spoken={bool(re.search(r'(?i) at .* dot ', span))}",
+        f"at={'@' in span}", f"spoken={bool(_SPOKEN.search(span))}&{bool(_WHOLE.fullmatch(span))}",
         f"glued={bool(before and before in '0123456789@+') or bool(after and after in '0123456789@')}",
-        f"dots={span.count('.')}", f"more={text[end : end + 5].lower() == ' dot '}",
+        f"dots={span.count('.')}", f"more={bool(_MORE.match(text, end))}",
+        f"cue={bool(_CUE.search(text[max(0, start - 24) : start]))}&{len(digits) > 6}", f"zero={digits[:1] == '0'}&{groups}", f"joined={bool(_JOINED.search(text[max(0, start - 2) : start]))}",
     ]
     if base:
         out.append(f"base={base}")
@@ -119,7 +125,7 @@ def candidates(text: str, tokens: list[tuple[int, int]], known: dict[tuple[int,
                 digits += len(w)
             elif w not in "+().-/":
                 numeric = False
-            if not w.isalnum() and w not in "+().-/@_%":
+            if not w.isalnum() and w not in "+().-/@_%[]":
                 break
             at |= w == "@"
             spoken |= w.lower() == "at" and j > i
@@ -129,7 +135,7 @@ def candidates(text: str, tokens: list[tuple[int, int]], known: dict[tuple[int,
             a, b = tokens[i][0], tokens[j][1]
             kind = known.get((a, b))
             tight = " " not in text[a:b]
-            if kind or (numeric and digits >= 7 and _is_number(w)) or (at and tight) or (dot and w.lower() != "dot" and j - i <= 6 and first[0].isalnum()):
+            if kind or (numeric and digits >= 7 and _is_number(w)) or (at and tight) or (dot and w.lower() != "dot" and j - i <= 15 and first[0].isalnum()):
                 out.append((i, j + 1, _features(text, a, b, kind)))
     return out
 
@@ -187,6 +193,9 @@ def _sentence(rng: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
             pass
         return full
 
+    def spoken(at, dot):
+        return rng.choice([word, lambda: f"{word()}.{word()}"])() + at + dot.join([*(word() for _ in range(rng.randint(1, 2))), rng.choice(("com", "org", "net", word()))])
+
     area, mid, end = number(3), number(3), number(4)
     makers = [
         ("email", lambda: f"{word()}.{word()}@{word()}.com"), ("email", lambda: f"{word()}{number(2)}@{word()}.{word()}.org"),
@@ -194,13 +203,20 @@ def _sentence(rng: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
         ("ip", lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4))), ("ip", lambda: ".".join(str(rng.randint(10, 255)) for _ in range(4))),
         ("card", lambda: card(16)), ("card", lambda: card(16)), ("card", lambda: card(15)), ("card", lambda: card(19)),
         ("phone", lambda: f"+1 ({area}) {mid}-{end}"), ("phone", lambda: f"({area}) {mid}-{end}"), ("phone", lambda: f"+{number(2)} {number(3)} {number(7)}"),
-        ("phone", lambda: f"+1-{area}-{mid}-{end}"), ("phone", lambda: f"{area}-{mid}-{end}"),
+        ("phone", lambda: f"+1-{area}-{mid}-{end}"), ("phone", lambda: f"{area}-{mid}-{end}"), ("phone", lambda: f"{area}.{mid}.{end}"),
+        ("phone", lambda: f"0{number(2)} {number(4)} {number(4)}"), ("phone", lambda: f"0{number(4)} {number(6)}"), ("phone", lambda: f"0{number(3)}-{number(6)}"),
+        ("phone", lambda: f"0{number(3)} {number(3)} {number(4)}"), ("phone", lambda: " ".join([f"0{number(1)}", *(number(2) for _ in range(4))])),
+        ("email", lambda: spoken(" [at] ", " [dot] ")), ("email", lambda: spoken(" (at) ", " (dot) ")), ("email", lambda: spoken("[at]", "[dot]")),
+        ("phone", None), ("phone", None),
     ]
     decoys = [
         lambda: f"{rng.randint(1900, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", lambda: f"{number(1)}.{number(1)}.{number(2)}",
         lambda: f"{number(3)}-{number(3)}", lambda: not_card(16), lambda: not_card(13), lambda: number(8), lambda: number(10), lambda: f"{word()} at {word()}",
         lambda: f"{number(3)} {number(3)} {number(3)}", lambda: not_card(20), lambda: f"{rng.randint(300, 999)}.{number(3)}.{number(3)}.{number(3)}", lambda: f"{number(4)} {number(4)}",
         lambda: f"{word()}@{word()}", lambda: f"{word()} dot {word()}", lambda: f"{number(2)}/{number(2)}/{number(4)}", lambda: number(7), lambda: not_card(18), lambda: number(12), lambda: number(9),
+        lambda: f"0{number(9)}", lambda: f"97{rng.choice('89')}-{number(1)}-{number(2)}-{number(6)}-{number(1)}", lambda: f"{rng.randint(1, 9)} {number(3)} {number(3)} {number(3)}",
+        lambda: f"{word()} [at] {word()}", lambda: f"{word()} (dot) {word()}", lambda: f"{rng.randint(1900, 2030)} {rng.randint(10, 12)} {rng.randint(10, 28)} {number(4)}",
+        lambda: f"{number(1)}.{number(9)}", lambda: " ".join(str(rng.randint(1900, 2030)) for _ in range(rng.randint(2, 4))), lambda: f"0{number(3)} {number(4)}",
     ]
     parts, spans, at = [], [], 0
     for _ in range(rng.randint(3, 6)):
@@ -210,7 +226,10 @@ def _sentence(rng: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
             at += len(parts[-1]) + 1
         if pick < 0.55:
             kind, make = rng.choice(makers)
-            parts.append(make())
+            if make is None or kind == "phone" and rng.random() < 0.3:
+                parts.append(rng.choice(("tel", "phone", "call", "mobile", "cell:", "fax", "tel:", "dial")))
+                at += len(parts[-1]) + 1
+            parts.append(make() if make else rng.choice((lambda: number(10), lambda: f"0{number(9)}", lambda: f"0{number(10)}", lambda: f"{number(5)} {number(5)}"))())
             spans.append((kind, at, at + len(parts[-1])))
         elif pick < 0.85:
             if spans and spans[-1][2] + 1 == at:
@@ -232,7 +251,7 @@ def made_sentences(n: int, seed: int) -> list[tuple[str, list[tuple[str, int, in
 
 
 @lru_cache(maxsize=1)
-def trained_weights(sentences: int = 500, epochs: int = 8, seed: int = 7) -> dict[str, list[float]]:
+def trained_weights(sentences: int = 1000, epochs: int = 8, seed: int = 7) -> dict[str, list[float]]:
     """Weights by stochastic gradient ascent on the conditional likelihood, summed over all segmentations forwards and backwards."""
     data = []
     for text, spans in made_sentences(sentences, seed):
