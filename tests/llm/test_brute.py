@@ -1,6 +1,7 @@
 """Every operator against a brute-force version or a library, on documents and on random texts."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -76,6 +77,33 @@ def test_ngram_join(spark, n, percent, block):
     assert got == brute_components(made, n, percent)
 
 
+@pytest.mark.parametrize("n,percent,few", [(3, 90, 2), (5, 80, 3), (5, 80, 100), (1, 60, 4)])
+def test_ngram_join_takes_large_families_apart(spark, n, percent, few):
+    """Families of more than four sets are split by partial overlaps; some keys make pairs, the others stars; hot n-grams are counted apart."""
+    rng = random.Random(n)
+    zipf = [f"z{int(40 * rng.random() ** 3)}" for _ in range(4000)]
+    texts = dict(enumerate(near_copies(n + 20, 40)))
+    texts |= {500 + i: " ".join(rng.choice(zipf) for _ in range(rng.choice((30, 80, 120)))) for i in range(40)}
+    rows = [*texts.items(), *list(texts.items())[::7]]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in NG.ngram_join(spark.createDataFrame(rows, SCHEMA), n, percent, block=4, few=few, hot=3).collect()}
+    assert got == brute_components(texts, n, percent)
+
+
+def test_unrelated_texts_of_few_words_make_no_large_family(spark):
+    """Texts of 300 words from a skewed vocabulary of 30 share rare n-grams in chains; the sums of partial overlaps leave none together."""
+    rng = random.Random(5)
+    texts = {i: " ".join(f"v{int(30 * rng.random() ** 2)}" for _ in range(300)) for i in range(1500)}
+    texts[3000] = texts[7].replace("v1 ", "v2 ", 1)
+    rows = spark.createDataFrame(list(texts.items()), SCHEMA)
+    small = NG._signatures(rows, 4).selectExpr("doc_id rep", "n", "even")
+    keys = NG._prefixes(rows, small, small.selectExpr("rep mixed").where("rep < 0"), 4, 80, NG.RARE, NG.HOT_ROWS)
+    before = NG._families(keys, 80, 1 << 30, NG.RARE).groupBy("family").count().agg({"count": "max"}).first()[0]
+    after = NG._families(keys, 80, 16, NG.RARE).collect()
+    sizes = collections.Counter(r["family"] for r in after)
+    assert before > 500 and max(sizes.values()) <= 16
+    assert {r["rep"] for r in after if r["family"] == 7} >= {7, 3000}
+
+
 def test_ngram_join_of_long_near_copies_deals_fragments(spark):
     rng = random.Random(9)
     texts = {}
@@ -275,6 +303,49 @@ def test_pii_model_on_held_out_sentences_and_clean_texts(texts):
         if not re.search("[0-9@]", t):
             assert not every
 
+#: Typed by hand, not made by the grammar: a sentence, and the kind and text of each span.
+HELD_OUT = [
+    ("Call 020 7946 0958 before noon.", [("phone", "020 7946 0958")]),
+    ("my office: tel 0171-234567, ask for Ann", [("phone", "0171-234567")]),
+    ("phone 5551234567 or leave a note", [("phone", "5551234567")]),
+    ("You can reach the desk on 01632 960123 all day", [("phone", "01632 960123")]),
+    ("fax: (212) 555-0142", [("phone", "(212) 555-0142")]),
+    ("the number is 415.555.0199 today", [("phone", "415.555.0199")]),
+    ("Appelez le 01 70 18 99 00 demain", [("phone", "01 70 18 99 00")]),
+    ("mobile 07700 900461 after six", [("phone", "07700 900461")]),
+    ("dial +44 161 496 0000 from abroad", [("phone", "+44 161 496 0000")]),
+    ("text me at 2025550173 please", [("phone", "2025550173")]),
+    ("write to john [at] example [dot] com", [("email", "john [at] example [dot] com")]),
+    ("ask mary (at) mail (dot) example (dot) org about it", [("email", "mary (at) mail (dot) example (dot) org")]),
+    ("his address is j.doe [at] example [dot] net, I think", [("email", "j.doe [at] example [dot] net")]),
+    ("sales at example dot com answers quickly", [("email", "sales at example dot com")]),
+    ("paul[at]example[dot]org is gone", [("email", "paul[at]example[dot]org")]),
+    ("pay with 4111 1111 1111 1111 only", [("card", "4111 1111 1111 1111")]),
+    ("an old card 378282246310005 was declined", [("card", "378282246310005")]),
+    ("mail support@example.co.uk or not", [("email", "support@example.co.uk")]),
+    ("server 203.0.113.7 is down", [("ip", "203.0.113.7")]),
+    ("cards 4111111111111111 5500005555555559 both", [("card", "4111111111111111"), ("card", "5500005555555559")]),
+]
+CLEAN = [
+    "order 5551234567 shipped on 2019-05-12", "ISBN 978-3-16-148410-0 is out of print", "the city has 1 200 300 400 records", "from 1990 1995 2000 to 2005 it rose",
+    "pi is 3.141592653589793 and more", "version 10.15.7.2000 fails", "we met [at] noon in the (dot) matrix room", "section 12.4.1 of the 2014-2015 report", "it took 20 000 000 years",
+    "ticket 0012345678 is open", "at 10:30 on 12/05/2019 they left", "scores 100 200 300 and 98 76 54", "the part 4000-1234-AB does not fit", "a dot on the map at dawn dot",
+]
+
+
+def test_pii_model_on_forms_typed_by_hand():
+    weights = PI.trained_weights()
+    hit, of = collections.Counter(), collections.Counter()
+    for text, spans in HELD_OUT:
+        got = [(k, text[a:b]) for k, a, b in PI.find_spans(text, weights)[1]]
+        for k, span in spans:
+            of[k] += 1
+            hit[k] += (k, span) in got
+    wrong = [(text, PI.find_spans(text, weights)[1]) for text in CLEAN if PI.find_spans(text, weights)[1]]
+    print(hit, of, wrong)
+    assert sum(hit.values()) >= 0.9 * sum(of.values()) and all(hit[k] >= 0.75 * of[k] for k in of)
+    assert len(wrong) <= 1
+
 
 def test_pii_other_digits_are_no_digits():
     weights = PI.trained_weights()
@@ -372,3 +443,111 @@ def test_passages_begin_and_end_in_mid_sentence(spark):
         inside = docs[1000 + i][min(a for a, _ in spans) : max(b for _, b in spans)]
         assert rows[1000 + i]["n_removed"] > 0 and len(inside.split()) >= PS.SPAN
         assert all(at <= a and b <= at + len(" ".join(passage)) + 1 for a, b in spans)
+
+
+M64 = (1 << 64) - 1
+
+
+def plain_mix(x):
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> shift)) * factor & M64
+    return x ^ (x >> 31)
+
+
+def plain_passages(texts):
+    """Whole results of ``drop_passages`` by loops over words, sentences and spans; ``texts`` is in the order of the ids."""
+    known = {}
+
+    def hashed(word):
+        if word not in known:
+            known[word] = int(PS.word_hashes(pa.array([word]), lower=True)[0][0])
+        return known[word]
+
+    def key(words):
+        return plain_mix((sum(hashed(w) * pow(PS._BASE, i, 1 << 64) for i, w in enumerate(words)) + len(words)) & M64)
+
+    parts = {}
+    for d, text in texts.items():
+        found = list(WORD.finditer(text or ""))
+        words = [m[0] for m in found]
+        stop = [w[-1] in ".!?" or k + 1 == len(words) or "\n" in text[found[k].end() : found[k + 1].start()] for k, w in enumerate(words)]
+        sentences, begin = [], 0
+        for k, end in enumerate(stop):
+            if end:
+                cuts = [i for i in range(begin, k) if k + 1 - begin > PS.LONG and plain_mix(hashed(words[i]) ^ 0x5851F42D4C957F2D) % 8 == 0] + [k]
+                for c in cuts:
+                    sentences.append((begin, c + 1))
+                    begin = c + 1
+        spans = []  # (key, first word, word after the last, how far a repeat begins from the first one)
+        for i, (a, _) in enumerate(sentences):
+            for b in [b for _, b in sentences[i + PS.RUN - 1 :]]:
+                if b - a >= PS.MIN_WORDS:
+                    spans.append((("run", key(words[a:b])), a, b, 0))
+                    break
+        each = [key(words[a : a + PS.SPAN]) ^ 0x2545F4914F6CDD1D for a in range(len(words) - PS.SPAN + 1)]
+        least = set()
+        for a in range(len(each) - PS.NEAR + 1):
+            low = min(each[a : a + PS.NEAR])
+            least |= {b for b in range(a, a + PS.NEAR) if each[b] == low}
+        spans += [(("span", each[a]), a, a + PS.SPAN, PS.SPAN) for a in sorted(least)]
+        parts[d] = found, sentences, spans
+    out, before = {}, set()
+    for d, (found, sentences, spans) in parts.items():
+        gone, own = set(), {}
+        for k, a, b, apart in spans:
+            if k not in own:
+                own[k] = a
+                if k in before:
+                    gone |= set(range(a, b))
+            elif a >= own[k] + apart:
+                gone |= set(range(a, b))
+        before |= set(own)
+        text, left, removed = texts[d], "", []
+        if text is not None:
+            at = 0
+            for k in range(len(found)):
+                if k in gone and k - 1 not in gone:
+                    end = next((i for i in range(k, len(found)) if i not in gone), None)
+                    a, b = found[k].start(), len(text) if end is None else found[end].start()
+                    left, at = left + text[at:a], b
+                    removed.append(f"{a}:{b}")
+            left += text[at:]
+        out[d] = (len(sentences), sum(any(k in gone for k in range(a, b)) for a, b in sentences), ",".join(removed), None if text is None else left)
+    return out
+
+
+def test_passages_against_brute_force(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdeé日") for _ in range(rng.randint(1, 6))) + rng.choice(["", "", "", "", ".", "!", "?", ","])
+    blank = lambda: rng.choice([" ", " ", " ", " ", "  ", "\t", "\n", " \n\n"])
+    run = lambda n: "".join(word() + blank() for _ in range(n))
+    pool = [run(rng.choice((12, 30, 60, 90))) for _ in range(8)] + ["one two. " * 30, run(70).translate({ord(c): "x" for c in ".!?\n"})]
+    texts = {i: "".join(rng.choice(pool) if rng.random() < 0.5 else run(rng.choice((0, 3, 20, 50))) for _ in range(rng.randint(0, 5))) for i in range(90)}
+    texts |= {90: None, 91: "", 92: " \n", 93: texts[5], 94: texts[6].upper()}
+    rows = spark.createDataFrame(list(texts.items()), SCHEMA).repartition(3)
+    got = {r["doc_id"]: (r["n_sentences"], r["n_removed"], r["removed"], r["text"]) for r in PS.drop_passages(rows).collect()}
+    assert got == plain_passages(texts)
+
+
+def test_pii_programme_finds_the_best_segmentation():
+    """Every way to lay candidate spans side by side, on short zones of random tokens and random weights."""
+    rng = random.Random(13)
+    for trial in range(300):
+        text = " ".join(rng.choice(["020", "7946", "555-0199", "+44", "a@b.co", "at", "dot", "bob", "(171)", "4111111111111111", "10.0.0.1"]) for _ in range(rng.randint(1, 6)))
+        tokens = [m.span() for m in PI._TOKEN.finditer(text)][:12]
+        known = {(a, b): k for k, a, b in PI.base_spans(text)}
+        arcs = PI.candidates(text, tokens, known)
+        weights = {f: [rng.uniform(-1, 1) for _ in PI.KINDS] for _, _, fs in arcs for f in fs}
+        of = {}
+        for i, j, fs in arcs:
+            for k, s in zip(PI.KINDS, PI._score(weights, fs)):
+                of.setdefault(i, []).append((j, s, (k, tokens[i][0], tokens[j - 1][1])))
+
+        @functools.cache
+        def best(i):
+            if i >= len(tokens):
+                return 0.0
+            return max([best(i + 1), *(s + best(j) for j, s, _ in of.get(i, ()))])
+
+        score = {span: s for arcs_of in of.values() for _, s, span in arcs_of}
+        assert sum(score[s] for s in PI.decode(weights, text, tokens, known)) == pytest.approx(best(0))

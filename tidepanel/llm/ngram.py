@@ -3,10 +3,12 @@
 The n-grams have one global order: those with an even hash first, by the number of distinct sets that hold them, then the rest; equal ones by hash.
 1. Documents with equal sets are one, by two sums of hashes.
 2. The even n-grams of each set, a first fragment of the order, are counted across sets. A set can differ from a similar one in so many members
-   (``allowed``). One with more members that no other set holds has no partner and goes.
+   (``allowed``). One with more members that no other set holds has no partner and goes. Frequent n-grams are counted before any exchange.
 3. Two similar sets share one of their first ``allowed + 1`` members in the order. The sets with a member among those in common form a
    star around the smallest id. No pairs are made.
-4. The components of the stars are families: no similar pair lies across two families.
+4. The components of the stars are families: no similar pair lies across two families. A family of more sets than a block is taken apart: on the first fragment of the
+   order the partial overlaps of its sets are counted by n-gram and summed per pair, and only pairs whose sum lets them be similar stay together. An n-gram of more
+   than ``few`` of its sets makes a star instead of pairs.
 5. A family's sets are dealt into blocks, and every two blocks meet in one task. There overlaps are counted on one fragment of the order after another,
    rare n-grams by the pairs of sets that hold them, frequent ones by a matrix product, and summed per pair. The task emits links, not pairs: a spanning
    forest of its similar pairs and the number of links of each document. Two blocks with more than ``GRAMS`` members meet in several tasks, each with
@@ -28,6 +30,13 @@ BLOCK = 1024
 GRAMS = 1 << 21
 COLUMNS = 2048
 FEW = 8
+#: Sets up to which a key of a large family is counted pair by pair.
+RARE = 32
+#: Frequent n-grams are told by the top bits of their hashes: a bucket of so many times the average, and of so many rows at least.
+HOT = 8
+HOT_ROWS = 1000
+BUCKET_BITS = 16
+BUCKETS = 1 << BUCKET_BITS
 
 _U = np.uint64
 _C = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -72,45 +81,129 @@ def _signatures(docs: DataFrame, n: int) -> DataFrame:
     return map_batches(docs, work, "doc_id long, n long, even long, sig1 long, sig2 long")
 
 
-def _even_grams(docs: DataFrame, n: int) -> DataFrame:
-    """``(gram, id)`` of the n-grams with an even hash."""
+def _hot_buckets(docs: DataFrame, n: int, rows: int) -> list[int]:
+    """Buckets of even n-grams (their top bits) with more than ``rows`` places and ``HOT`` times the average; at most one bucket in ``HOT``.
+
+    Only the way in which n-grams are counted depends on it, not the counts. A task leaves out the buckets below half of that.
+    """
+    def run(batches):
+        held = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                grams = np.concatenate([np.zeros(0, _U), *ngram_sets(part.column("text"), n)])
+                held += np.bincount((grams[grams & _U(1) == 0] >> _U(64 - BUCKET_BITS)).astype(np.int64), minlength=BUCKETS)
+        at = np.flatnonzero(held * BUCKETS * 2 > HOT * held.sum())
+        total = pa.array([-1, *at], pa.int32()), pa.array([held.sum(), *held[at]], pa.int64())
+        yield pa.RecordBatch.from_arrays(list(total), ["bucket", "held"])
+
+    counts = staged(docs.select("text").mapInArrow(run, "bucket int, held long").groupBy("bucket").agg(F.sum("held").alias("held")), "buckets")
+    total = counts.where("bucket < 0").agg(F.sum("held")).first()[0] or 0
+    bound = max(rows, HOT * total / BUCKETS)
+    return [r["bucket"] for r in counts.where((F.col("bucket") >= 0) & (F.col("held") > bound)).select("bucket").collect()]
+
+
+def _grams(docs: DataFrame, n: int, parity: int, buckets: list[int] | None = None, inside: bool = False) -> DataFrame:
+    """``(gram, id)`` of the n-grams whose hash has that last bit; of those in ``buckets`` or outside them, where given."""
+    marked = np.zeros(BUCKETS, bool)
+    marked[buckets or []] = True
+
     def work(batch):
         for part in slices(batch, "text", 1 << 20):
-            sets = [s[s & _U(1) == 0] for s in ngram_sets(part.column("text"), n)]
+            sets = [s[s & _U(1) == _U(parity)] for s in ngram_sets(part.column("text"), n)]
+            if buckets is not None:
+                sets = [s[marked[(s >> _U(64 - BUCKET_BITS)).astype(np.int64)] == inside] for s in sets]
             ids = np.repeat(part.column("doc_id").to_numpy(zero_copy_only=False), [len(s) for s in sets])
             yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sets))), pa.array(ids.astype(np.int64))], ["gram", "id"])
 
     return map_batches(docs, work, "gram long, id long")
 
 
-def _odd_grams(docs: DataFrame, n: int) -> DataFrame:
-    """``(gram, id)`` of the others."""
-    def work(batch):
-        for part in slices(batch, "text", 1 << 20):
-            sets = [s[s & _U(1) == 1] for s in ngram_sets(part.column("text"), n)]
-            ids = np.repeat(part.column("doc_id").to_numpy(zero_copy_only=False), [len(s) for s in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sets))), pa.array(ids.astype(np.int64))], ["gram", "id"])
+def _counted(docs: DataFrame, n: int, rows: int) -> DataFrame:
+    """``(gram, id, held)`` of the even n-grams that two sets or more hold.
 
-    return map_batches(docs, work, "gram long, id long")
+    A window counts most of them, in one exchange. The rows of n-grams in a hot bucket stay where they are: their counts are added up before the exchange and
+    joined back, so no task reads all rows of a frequent n-gram.
+    """
+    buckets = _hot_buckets(docs, n, rows)
+    counted = _grams(docs, n, 0, buckets, False).withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("held > 1")
+    if not buckets:
+        return counted
+    hot = staged(_grams(docs, n, 0, buckets, True), "hot")
+    held = small_side(hot.groupBy("gram").agg(F.count(F.lit(1)).alias("held")).where("held > 1"))
+    return counted.unionByName(hot.join(held, "gram"))
 
 
-def _stars(docs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
-    """Star edges ``(a, b)`` between sets that share a member among their first ones in the order; ``reps`` has one ``(rep, n, even)`` per distinct set."""
-    counted = _even_grams(docs, n).withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("gram")))
-    per = counted.where("held > 1").groupBy("id").agg(F.collect_list(F.struct(F.col("held").cast("int").alias("held"), "gram")).alias("shared"))
-    allowed = F.floor(F.col("n") * (100 - percent) / 100)
-    first = reps.join(per, reps["rep"] == per["id"], "left").select(
-        "rep", "even", allowed.alias("allowed"), F.coalesce("shared", F.array()).alias("shared")
+def _prefixes(docs: DataFrame, reps: DataFrame, several: DataFrame, n: int, percent: int, few: int, hot: int) -> DataFrame:
+    """``(gram, held, id, n, wide, near)``: the shared ones among the first members of each set; ``reps`` has one ``(rep, n, even)`` per distinct set.
+
+    Similar sets share one of their first ``allowed + 1`` members, which are ``near``. The keys go on for half as many again, for the sums of partial
+    overlaps; the first ``wide`` members are those of them that at most ``few`` sets hold. A set with too few even members takes all of them and
+    the odd ones, with ``wide`` 0, which lets all pairs pass. So do ids of ``several`` rows, whose members are counted together.
+    """
+    per = _counted(docs, n, hot).groupBy("id").agg(F.collect_list(F.struct(F.col("held").cast("int").alias("held"), "gram")).alias("shared"))
+    first = reps.withColumn("allowed", F.floor(F.col("n") * (100 - percent) / 100)).join(per, reps["rep"] == per["id"], "left")
+    first = first.join(several, reps["rep"] == several["mixed"], "left").withColumn("shared", F.sort_array(F.coalesce("shared", F.array()))).withColumns(
+        {"alone": F.col("even") - F.size("shared"), "short": F.col("even") <= F.col("allowed")}
+    ).where("short or alone <= allowed")
+    reach = F.when(F.col("short"), F.col("even")).otherwise(F.least(F.col("even"), F.col("allowed") + 1 + F.floor(F.col("allowed") / 2)))
+    first = first.withColumn("shared", F.slice("shared", F.lit(1), F.greatest(reach - F.col("alone"), F.lit(0)).cast("int")))
+    rare = F.size(F.filter("shared", lambda x: x["held"] <= few))
+    first = staged(
+        first.select(
+            "rep", "n", "short", (F.col("allowed") + 1 - F.col("alone")).alias("most"), "shared",
+            F.when(F.col("short") | F.col("mixed").isNotNull(), F.lit(0)).otherwise(F.col("alone") + rare).cast("long").alias("wide"),
+        ), "first",
+    )
+    even = first.select("rep", "n", "wide", "short", "most", F.posexplode("shared").alias("place", "one")).select(
+        "one.gram", F.col("one.held").cast("long").alias("held"), F.col("rep").alias("id"), "n", "wide", (F.col("short") | (F.col("place") < F.col("most"))).alias("near")
     )
-    more = F.col("allowed") + 1 - (F.col("even") - F.size("shared"))
-    first = first.where(more > 0).select("rep", (F.col("even") <= F.col("allowed")).alias("short"), F.slice(F.sort_array("shared"), F.lit(1), more.cast("int")).alias("shared"))
-    first = staged(first, "first")
     # a set with too few even members has odd ones among its first; all of them will do
-    short = small_side(first.where("short").select("rep"))
-    odd = _odd_grams(docs.join(short, docs["doc_id"] == short["rep"], "left_semi"), n)
-    keys = first.select(F.explode("shared.gram").alias("gram"), F.col("rep").alias("id")).union(odd)
-    across = keys.withColumn("a", F.min("id").over(Window.partitionBy("gram")))
-    return across.where("a <> id").select("a", F.col("id").alias("b")).distinct()
+    short = small_side(first.where("short").select("rep", F.col("n").alias("size")))
+    odd = staged(_grams(docs.join(short, docs["doc_id"] == short["rep"], "left_semi"), n, 1), "odd")
+    held = odd.groupBy("gram").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    odd = odd.join(held, "gram").join(short, F.col("id") == F.col("rep"))
+    return even.union(odd.select("gram", "held", "id", F.col("size").alias("n"), F.lit(0).cast("long").alias("wide"), F.lit(True).alias("near")))
+
+
+def _stars(keys: DataFrame) -> DataFrame:
+    """Edges ``(a, b)`` from each set to the smallest id that shares a key; counted before the exchange, so a key of very many sets has no task of its own."""
+    least = keys.groupBy("gram").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("held")).where("held > 1").select("gram", "a")
+    return keys.join(least, "gram").where("a <> id").select("a", F.col("id").alias("b")).distinct()
+
+
+def _pairs(keys: DataFrame, percent: int, few: int) -> DataFrame:
+    """Edges between sets whose partial overlap on the first fragment of the order, the n-grams of at most ``few`` sets, lets them be similar.
+
+    What two sets share and is not counted lies behind the wide members of one of them, so a pair whose sum and the longer rest fall short of the overlap
+    it needs is not similar. A near key of more sets makes a star, whatever the sums.
+    """
+    sets = keys.where(F.col("held") <= few).groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("id", "n", "wide"))).alias("sets"))
+    met = sets.select("sets", F.posexplode("sets").alias("place", "x"))
+    met = met.select("x", F.explode(F.slice("sets", F.col("place") + 2, F.size("sets"))).alias("y"))
+    met = met.where(100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+    summed = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("part"))
+    rest = F.greatest(F.col("x.n") - F.col("x.wide"), F.col("y.n") - F.col("y.wide"))
+    enough = (100 + percent) * (F.col("part") + rest) >= percent * (F.col("x.n") + F.col("y.n"))
+    strong = summed.where(enough).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    return strong.union(_stars(keys.where((F.col("held") > few) & F.col("near"))))
+
+
+def _families(keys: DataFrame, percent: int, block: int, few: int) -> DataFrame:
+    """``(rep, family)``: no similar pair lies across two families.
+
+    First sets that share a near key are one family. On unrelated texts of few words such families grow together; one of more than ``block`` sets is
+    taken apart by the sums of partial overlaps.
+    """
+    family = components(_stars(keys.where("near").select("gram", "id"))).withColumnsRenamed({"id": "rep", "component": "family"})
+    family = staged(family, "families")
+    large = family.groupBy("family").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block).select("family")
+    large = small_side(large)
+    if not large.limit(1).count():
+        return family
+    inside = staged(family.join(large, "family", "left_semi").select("rep"), "inside")
+    own = staged(keys.join(inside, keys["id"] == inside["rep"], "left_semi"), "keys")
+    apart = components(_pairs(own, percent, few)).withColumnsRenamed({"id": "rep", "component": "family"})
+    return family.join(large, "family", "left_anti").select("rep", "family").union(apart.select("rep", "family"))
 
 
 def _forest(links: np.ndarray) -> list[tuple[int, int]]:
@@ -211,16 +304,24 @@ def _verify_summed(percent: int):
 
 
 def _dealt(sets: DataFrame, block: int, grams: int) -> DataFrame:
-    """``sets`` of families with their block, the number of blocks, and of the fragments that keep what two blocks hold of one at about ``grams`` members."""
-    sizes = sets.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
-    todo = sets.join(sizes, "family").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    """``sets`` of families with their block, the number of blocks, and of the fragments that keep what two blocks hold of one at about ``grams`` members.
+
+    Only families of more than one block or fragment are looked up, so that no exchange brings a family together.
+    """
+    sizes = sets.groupBy("family").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block)
+    sizes = small_side(sizes.select("family", F.ceil(F.col("size") / block).cast("int").alias("blocks")))
+    todo = sets.join(sizes, "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     todo = todo.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     held = todo.groupBy("family", "blocks", "block").agg(F.sum("n").alias("held")).groupBy("family", "blocks").agg(F.max("held").alias("most"))
-    held = held.select("family", F.ceil(F.least(F.lit(2), "blocks") * F.col("most") / grams).cast("int").alias("fragments"))
-    return todo.join(held, "family").select("family", "n", "sig1", F.col("rep").alias("doc_id"), "copies", "blocks", "block", "fragments")
+    held = held.select("family", F.ceil(F.least(F.lit(2), "blocks") * F.col("most") / grams).cast("int").alias("fragments")).where("fragments > 1")
+    todo = todo.join(small_side(held), "family", "left").withColumn("fragments", F.coalesce("fragments", F.lit(1)))
+    return todo.select("family", "n", "sig1", F.col("rep").alias("doc_id"), "copies", "blocks", "block", "fragments")
 
 
-def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", block: int = BLOCK, grams: int = GRAMS) -> DataFrame:
+def ngram_join(
+    docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id",
+    block: int = BLOCK, grams: int = GRAMS, few: int = RARE, hot: int = HOT_ROWS,
+) -> DataFrame:
     """Documents with ``n_shingles``, ``component_id`` and ``n_links``; one row per row.
 
     Two documents link when the n-gram sets' Jaccard similarity is ``percent`` / 100 or more; ``component_id``
@@ -238,7 +339,8 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text
     reps = staged(named.groupBy("n", "even", "sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "sets")
     copies = small_side(named.join(reps.select("n", "sig1", "sig2", "rep"), ["n", "sig1", "sig2"]).where("doc_id <> rep").select(F.col("doc_id").alias("copy")))
     alone = rows.where("doc_id is not null").join(copies, F.col("doc_id") == F.col("copy"), "left_anti")
-    family = components(_stars(alone, reps.select("rep", "n", "even"), n, percent)).withColumnsRenamed({"id": "rep", "component": "family"})
+    several = small_side(small.where("doc_id is not null").groupBy(F.col("doc_id").alias("mixed")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("mixed"))
+    family = _families(_prefixes(alone, reps.select("rep", "n", "even"), several, n, percent, few, hot), percent, block, few)
     sets = reps.join(family, "rep")
     todo = staged(_dealt(sets, block, grams), "dealt")
     columns = ["family", "n", "sig1", "doc_id", "copies", "blocks", "block", "fragments"]
