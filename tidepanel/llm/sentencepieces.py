@@ -1,9 +1,9 @@
-"""SentencePiece ids of whole texts and back, by a forward recursion over a trie of words.
+"""SentencePiece ids of whole texts and back, by a Viterbi recursion over a trie of words.
 
 Blanks become the mark U+2581, with one before the text. No piece holds a mark after another sign, and none a line end, so the marked words of a text are encoded apart.
 The new words of a slice are sorted: neighbours share prefixes, and a depth-first walk of the trie they form keeps the forward scores of the prefix
-that a word shares with the one before. A prefix's score is its token count on the one valid path to it, the last token of which agrees with the last token
-of the prefix before (see ``bpe``); the vocabulary is one of merges, so the valid path, not the sum of piece scores, decides.
+that a word shares with the one before. A prefix's score is the greatest sum of piece scores over the admissible paths to it; of equal sums the path of the longer last
+piece stays. In a unigram model every path is admissible. In a model of merges a piece must agree with the piece before it (see ``bpe``), which leaves one path.
 """
 
 from __future__ import annotations
@@ -25,15 +25,59 @@ from tidepanel.llm.tokens import Remembered, tokenizer_path
 MARK = "▁"
 WORDS = 500_000
 _WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+#: Fixed values of the model format: the trainer's settings, the model's type in them, and the type of a unigram model.
+TRAINER_FIELD = 2
+TYPE_FIELD = 3
+UNIGRAM = 1
+#: Fixed: what an unknown sign scores below the worst piece.
+UNKNOWN_PENALTY = 10.0
+
+
+def _varint(raw: bytes, at: int) -> tuple[int, int]:
+    value = shift = 0
+    while True:
+        value |= (raw[at] & 0x7F) << shift
+        at, shift = at + 1, shift + 7
+        if raw[at - 1] < 0x80:
+            return value, at
+
+
+def _fields(raw: bytes, at: int, end: int):
+    """Number, first byte and end of each field's value in a protocol buffer message."""
+    while at < end:
+        tag, at = _varint(raw, at)
+        kind, start = tag & 7, at
+        if kind == 0:
+            at = _varint(raw, at)[1]
+        elif kind == 2:
+            size, start = _varint(raw, at)
+            at = start + size
+        else:
+            at += 8 if kind == 1 else 4
+        yield tag >> 3, start, at
+
+
+def type_place(raw: bytes) -> int | None:
+    """Where a model's bytes hold its type; None if they leave it out, which means a unigram model."""
+    for field, start, end in _fields(raw, 0, len(raw)):
+        if field == TRAINER_FIELD:
+            for inner, place, _ in _fields(raw, start, end):
+                if inner == TYPE_FIELD:
+                    return place
+    return None
 
 
 class Pieces:
-    """Vocabulary, the walk over sorted words, and a bounded memory of words."""
+    """Vocabulary, the walk over sorted words, and a bounded memory of words. Models that know no bytes are not meant: unknown signs become their bytes."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
+        with open(path, "rb") as f:
+            raw = f.read()
+        place = type_place(raw)
+        self.merges = place is not None and raw[place] != UNIGRAM
         self.ids: dict[str, int] = {}
         scores: dict[str, float] = {}
         self.bytes = [0] * 256
@@ -48,6 +92,8 @@ class Pieces:
             else:
                 self.ids[piece], scores[piece] = i, -model.get_score(i)
                 self.texts.append(piece.replace(MARK, " ").encode())
+        self.costs = scores
+        self.unknown = max(scores.values(), default=0.0) + UNKNOWN_PENALTY
         self.pairs = Pairs(lambda a, b: scores.get(a + b))
         self.grow = frozenset(p[:k] for p in self.ids for k in range(1, len(p) + 1))
         self.raw = Remembered(self._raw, WORDS)
@@ -63,9 +109,10 @@ class Pieces:
     def walk(self, words: list[str]) -> list[bytes]:
         """Ids of sorted words; the forward scores of a shared prefix are kept from one word to the next."""
         ids, grow, known, agree, tokens_of = self.ids, self.grow, self.pairs.known, self.pairs.agree, self.raw
+        merges, costs, unknown = self.merges, self.costs, self.unknown
         out, before = [], ""
-        # for each prefix: the start of its last token, that token, its token count, and where tokens begin that can still end later
-        start, token, score, live = [0], [None], [0], [[0]]
+        # for each prefix: the start of its last token, that token, its forward score, and where tokens begin that can still end later
+        start, token, score, live = [0], [None], [0.0], [[0]]
         for word in words:
             shared = 0
             for a, b in zip(word, before):
@@ -75,26 +122,32 @@ class Pieces:
             for column in (start, token, score, live):
                 del column[shared + 1 :]
             for k in range(shared, len(word)):
-                last, later = -1, []
+                last, best, later = -1, 0.0, []
                 for j in live[k]:
                     t = word[j : k + 1]
-                    if last < 0 and (j == k or t in ids):
-                        fits = known.get((token[j], t))
-                        if agree(token[j], t) if fits is None else fits:
-                            last = j
+                    if (last < 0 or not merges) and (j == k or t in ids):
+                        if merges:
+                            fits = known.get((token[j], t))
+                            if fits is None:
+                                fits = agree(token[j], t)
+                        else:
+                            fits = True
+                        if fits:
+                            sum_ = score[j] - costs.get(t, unknown)
+                            if last < 0 or sum_ > best:
+                                last, best = j, sum_
                     if t in grow:
                         later.append(j)
                 later.append(k + 1)
                 start.append(last)
                 token.append(word[last : k + 1])
-                score.append(score[last] + 1)
+                score.append(best)
                 live.append(later)
-            at = len(word)
-            parts = [b""] * score[at]
+            at, parts = len(word), []
             while at:
-                parts[score[at] - 1] = tokens_of[token[at]]
+                parts.append(tokens_of[token[at]])
                 at = start[at]
-            out.append(b"".join(parts))
+            out.append(b"".join(reversed(parts)))
             before = word
         return out
 
