@@ -11,7 +11,9 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_SYMBOL_PERCENT = 50
 MAX_DUP_LINE_PERCENT = 50
-HOST_LIMIT = 0.8
+#: A host fails a rule when its shrunk rate lies so many standard deviations of the prior above the prior's mean, and above the least limit: most of its documents fail.
+HOST_DEVIATIONS = 2.0
+HOST_LIMIT = 0.5
 
 RULES = ("short", "repeats", "symbols", "dup_lines")
 
@@ -58,12 +60,13 @@ def document_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     ).withColumn("base_failed", F.col("short") | F.col("repeats"))
 
 
-def host_rates(ruled: DataFrame, host: str = "source") -> DataFrame:
-    """One row per host: for each rule the share of failing documents, shrunk to the other hosts.
+def host_rates(ruled: DataFrame, host: str = "source", host_limit: float = HOST_LIMIT, deviations: float = HOST_DEVIATIONS) -> DataFrame:
+    """One row per host: for each rule the share of failing documents, shrunk to the other hosts, and ``host_failed``.
 
     The shares are taken as draws from a beta distribution whose mean is the share over all documents and whose
     strength comes from the spread between hosts beyond what counting alone gives (method of moments).
-    A host of few documents is drawn to the mean, one of many keeps its own share.
+    A host of few documents is drawn to the mean, one of many keeps its own share. A host fails if the shrunk share of a rule is above ``host_limit`` and
+    above the prior's mean by more than ``deviations`` of its standard deviations; so one host alone, or hosts that are all alike, never fail.
     Documents without a host belong to none.
     """
     counts = ruled.where(F.col(host).isNotNull()).groupBy(host).agg(
@@ -83,20 +86,21 @@ def host_rates(ruled: DataFrame, host: str = "source") -> DataFrame:
         between = (F.col(f"sum_{r}") - F.col("hosts") * chance) / F.col("all_n")
         strength = F.when(between > 0, F.greatest(F.lit(1.0), F.least(F.col("all_n").cast("double"), chance / between - 1))).otherwise(F.col("all_n").cast("double"))
         rates = rates.withColumn(f"rate_{r}", (F.col(f"f_{r}") + F.col(f"m_{r}") * strength) / (F.col("n") + strength))
+        limit = F.greatest(F.lit(host_limit), F.col(f"m_{r}") + deviations * F.sqrt(chance / (strength + 1)))
+        rates = rates.withColumn(f"over_{r}", F.col(f"rate_{r}") > limit)
     worst = F.greatest(*(F.col(f"rate_{r}") for r in RULES))
-    return rates.select(host, F.col("n").alias("host_documents"), *(f"rate_{r}" for r in RULES), worst.alias("host_rate"))
+    return rates.select(host, F.col("n").alias("host_documents"), *(f"rate_{r}" for r in RULES), worst.alias("host_rate"), F.greatest(*(F.col(f"over_{r}") for r in RULES)).alias("host_failed"))
 
 
-def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", host_limit: float = HOST_LIMIT) -> DataFrame:
+def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", host_limit: float = HOST_LIMIT, deviations: float = HOST_DEVIATIONS) -> DataFrame:
     """Judge every document by its own rules and by its host: one row per row, texts left out.
 
-    A document is kept when it passes the base rules and no rule's shrunk failure rate of its host is
-    above ``host_limit``. Null text: no words, so it fails. Null host: own rules only. Repeated rows are
+    A document is kept when it passes the base rules and its host fails none (``host_rates``). Null text: no words, so it fails. Null host: own rules only. Repeated rows are
     judged and counted one by one. An empty table gives an empty result. Other columns stay, but for those that the result names.
     """
-    names = {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", *RULES, "base_failed", "host_documents", "host_rate", "kept", *(f"rate_{r}" for r in RULES)}
+    names = {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", *RULES, "base_failed", "host_documents", "host_rate", "host_failed", "kept", *(f"rate_{r}" for r in RULES)}
     own = docs.drop(*(names - {text, host}))
     ruled = staged(document_rules(own, text).drop(text), "ruled")
-    hosts = host_rates(ruled, host)
+    hosts = host_rates(ruled, host, host_limit, deviations)
     joined = ruled.join(hosts, host, "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("host_rate"), F.lit(0.0)) <= host_limit))
+    return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("host_failed", F.lit(False)))

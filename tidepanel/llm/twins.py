@@ -41,13 +41,13 @@ prior AS (
   SELECT rule, m, CASE WHEN v > 0 THEN greatest(1.0, least(CAST(all_n AS DOUBLE), m * (1 - m) / v - 1)) ELSE CAST(all_n AS DOUBLE) END AS strength
   FROM (SELECT means.*, (s - k * m * (1 - m)) / all_n AS v FROM means JOIN spread USING (rule))),
 rates AS (
-  SELECT source, max(rate) AS host_rate,
+  SELECT source, max(rate) AS host_rate, bool_or(rate > greatest(0.5, m + 2 * sqrt(m * (1 - m) / (strength + 1)))) AS host_failed,
          max(rate) FILTER (rule = 'short') AS rate_short, max(rate) FILTER (rule = 'repeats') AS rate_repeats,
          max(rate) FILTER (rule = 'symbols') AS rate_symbols, max(rate) FILTER (rule = 'dup_lines') AS rate_dup_lines
-  FROM (SELECT source, rule, (f + m * strength) / (n + strength) AS rate FROM hosts JOIN prior USING (rule)) GROUP BY source),
+  FROM (SELECT source, rule, m, strength, (f + m * strength) / (n + strength) AS rate FROM hosts JOIN prior USING (rule)) GROUP BY source),
 judged AS (
   SELECT ruled.*, rates.* EXCLUDE (source), short OR repeats AS base_failed,
-         NOT (short OR repeats) AND coalesce(host_rate, 0) <= 0.8 AS kept
+         NOT (short OR repeats) AND NOT coalesce(host_failed, false) AS kept
   FROM ruled LEFT JOIN rates USING (source))
 """
 
