@@ -65,6 +65,16 @@ def test_densify_drops_facts_off_the_grid(spark, panel):
     assert rows == {(1, 0): 1.0, (1, 1): 2.0, (1, 2): 0.0, (2, 0): 0.0, (2, 1): 0.0, (2, 2): 0.0}
 
 
+def test_cells_of_a_one_file_list_of_entities_are_dealt(spark, panel):
+    ids = [*range(1, 401), 7, None, None]
+    only = spark.createDataFrame([(i,) for i in ids], "entity_id long").coalesce(1)
+    held = [r["count"] for r in G.cells(only, 0, 9).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) == 10 * len(ids) and max(held) <= sum(held) / 2
+    rows = G.densify(panel({7: [1, 2]}), only, 0, 9)
+    assert rows.count() == 10 * 401
+    assert [r["amount"] for r in rows.where("entity_id = 7").orderBy("t").collect()] == [1.0, 2.0] + [0.0] * 8
+
+
 def test_no_leak(panel):
     a, b = panel({1: range(1, 31)}), panel({1: list(range(1, 21)) + [999] * 10})
     names = L.lag_feature_names() + ["ewm_6"]

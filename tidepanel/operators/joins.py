@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import keys as K
 from ..functions.frames import per_entity
 from . import tails as A
-from .grid import grid
+from .grid import cells
 from .peers import STATS, peer_stats
 
 
@@ -43,8 +43,7 @@ def build_mart(
     ``facts`` holds ``amount``, ``pht`` (second-hand) and ``lt`` (land) per ``(entity_id, t)``; it is stacked on
     the grid and aggregated with it: one shuffle instead of a join.
     """
-    cells = grid(entities, lo, hi).withColumn("_on_grid", F.lit(True))
-    stacked = cells.unionByName(facts.select("entity_id", "t", "amount", "pht", "lt"), allowMissingColumns=True)
+    stacked = cells(entities, lo, hi).unionByName(facts.select("entity_id", "t", "amount", "pht", "lt"), allowMissingColumns=True)
     sides = [c for v in ("pht", "lt") for c in (F.avg(v).alias(f"{v}_mean"), F.sum(v).alias(f"{v}_sum"), F.max(v).alias(f"{v}_max"))]
     frame = (
         stacked.groupBy("entity_id", "t")
