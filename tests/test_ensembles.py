@@ -177,3 +177,13 @@ def test_race_goes_on_with_the_best(spark, matrix):
     params = {**candidates[one["trial"]], "maxIter": 1, "seed": 42}
     plain = ML.fold_report(ML.cross_validate(matrix, lambda train: ML.fit_gbt(train, ML.FEATURES, **params), folds)).first()
     assert one["mean_score"] == pytest.approx(plain["mean_score"]) and one["rmse"] == pytest.approx(plain["rmse"])
+
+
+def test_a_leaf_leads_to_itself(spark):
+    """A root that is a leaf, a shallow leaf and a gap give what a walk gives, however many steps the ensemble has."""
+    inner, leaf = (0, 0.5, 0, "x", 1.0, 1, 2, 9.0, 5), (0, 0.5, 1, None, None, None, None, 2.0, 5)
+    rows = [inner, leaf, (0, 0.5, 2, "y", 0.0, 3, 4, 8.0, 5), (0, 0.5, 3, None, None, None, None, 4.0, 5), (0, 0.5, 4, None, None, None, None, 6.0, 5)]
+    nodes = spark.createDataFrame([*rows, (1, 1.0, 0, None, None, None, None, 10.0, 5), (2, 1.0, 0, "gone", 3.0, 1, 2, 7.0, 5)], E.NODES)
+    df = spark.createDataFrame([(1, 1.0, 5.0), (2, 2.0, -1.0), (3, 2.0, None), (4, None, 0.0)], "i int, x double, y double")
+    found = {r["i"]: r["p"] for r in E.NodeModel(nodes, ["y", "x"]).predict(df).collect()}
+    assert found == {1: 18.0, 2: 19.0, 3: 20.0, 4: 19.0}

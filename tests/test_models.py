@@ -111,3 +111,10 @@ def test_search_and_grid(spark, matrix):
     found = ML.search(matrix, ML.FEATURES, [{"maxDepth": 2, "maxIter": 2}], folds=((0, 30, 31, 42), (0, 42, 43, 54)))
     assert found.columns == ["trial", "maxDepth", "maxIter", *ML.MEASURES] and found.count() == 1
     assert ML.random_candidates(3) == ML.random_candidates(3)
+
+
+def test_recursion_runs_on_all_cores(spark, panel):
+    state = RC.history_state(panel({e: range(e, e + 20) for e in range(1, 200)}), 19)
+    assert state.rdd.getNumPartitions() >= 8
+    hist = {r["entity_id"]: r["hist"] for r in state.collect()}
+    assert len(hist) == 199 and hist[5] == [float(v) for v in range(13, 25)]

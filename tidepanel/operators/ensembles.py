@@ -60,14 +60,19 @@ def with_tree_values(df: DataFrame, nodes: DataFrame, cols: list[str], name: str
     The model, whose size its parameters bound, enters as one scalar. A missing feature value goes right, as any comparison with NaN does.
     """
     at = F.array_position(F.array(*map(F.lit, cols)), F.col("feature")) - 1
-    node = F.struct("node", F.coalesce(at, F.lit(-1)).cast("int").alias("at"), "threshold", "left", "right", "value")
+    # a leaf leads to itself on either side, so that a step reads its node three times and no more
+    inner = at >= 0
+    node = F.struct(
+        "node", F.when(inner, at).otherwise(F.lit(0)).cast("int").alias("at"), "threshold",
+        F.when(inner, F.col("left")).otherwise(F.col("node")).alias("left"), F.when(inner, F.col("right")).otherwise(F.col("node")).alias("right"), "value",
+    )
     trees = nodes.groupBy("tree", "weight", "steps").agg(F.sort_array(F.collect_list(node)).alias("nodes"))
     model = trees.agg(F.sort_array(F.collect_list(F.struct("tree", "weight", "steps", "nodes")))).scalar()
 
     def down(tree: Column, x: Column) -> Column:
         def step(here: Column, _: Column) -> Column:
             node = F.get(tree["nodes"], here)
-            return F.when(node["at"] < 0, here).when(F.get(x, node["at"]) <= node["threshold"], node["left"]).otherwise(node["right"])
+            return F.when(F.get(x, node["at"]) <= node["threshold"], node["left"]).otherwise(node["right"])
 
         return F.get(tree["nodes"], F.aggregate(F.sequence(F.lit(1), tree["steps"]), F.lit(0), step))["value"]
 

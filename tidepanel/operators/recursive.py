@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.frames import over_cores
 from ..session import checkpointed
 from .lags import LAGS, WINDOWS
 
 
 def history_state(panel: DataFrame, last: int, depth: int = max(*LAGS, *WINDOWS)) -> DataFrame:
-    """``(entity_id, hist)`` with the newest ``depth`` dense values, oldest first."""
-    recent = panel.where((F.col("t") > last - depth) & (F.col("t") <= last)).repartition("entity_id")
+    """``(entity_id, hist)`` with the newest ``depth`` dense values, oldest first, over as many tasks as there are cores: a step's cost is its predictions."""
+    recent = over_cores(panel.where((F.col("t") > last - depth) & (F.col("t") <= last)))
     pairs = F.sort_array(F.collect_list(F.struct("t", "amount")))
     return recent.groupBy("entity_id").agg(F.transform(pairs, lambda p: p["amount"]).alias("hist"))
 
