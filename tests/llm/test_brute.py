@@ -89,6 +89,38 @@ def test_ngram_join_takes_large_families_apart(spark, n, percent, few):
     assert got == brute_components(texts, n, percent)
 
 
+def rows_made(df):
+    """Rows that the joins and explodes of a collected plan made."""
+    found = []
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(node.plan())
+        if "Join" in name or name == "GenerateExec":
+            found.append(node.metrics().apply("numOutputRows").value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
+
+
+def test_counts_of_frequent_ngrams_are_joined_by_chunk(spark):
+    """On 800 near copies of one text no join or explode makes a row per n-gram and copy; the counts are those of the sets."""
+    texts = {i: " ".join([f"w{k}" for k in range(60)] + [f"own{i}"]) for i in range(800)} | {900 + i: t for i, t in enumerate(near_copies(6, 20))}
+    counted = NG._counted(spark.createDataFrame(list(texts.items()), SCHEMA).repartition(4), 3, 100)
+    got = sorted((x["gram"], r["id"], x["held"]) for r in counted.collect() for x in r["shared"])
+    sets = {d: [int(g) for g in NG.signed(s) if g % 2 == 0] for d, s in zip(texts, NG.ngram_sets(pa.array(list(texts.values())), 3))}
+    held = collections.Counter(g for s in sets.values() for g in s)
+    assert got == sorted((g, d, held[g]) for d, s in sets.items() for g in s if held[g] > 1)
+    frequent = sum(c >= 800 for c in held.values())
+    made = rows_made(counted)
+    assert frequent > 15 and made and max(made) <= 4 * (frequent + 40)
+
+
 def test_unrelated_texts_of_few_words_make_no_large_family(spark):
     """Texts of 300 words from a skewed vocabulary of 30 share rare n-grams in chains; the sums of partial overlaps leave none together."""
     rng = random.Random(5)

@@ -3,7 +3,7 @@
 The n-grams have one global order: those with an even hash first, by the number of distinct sets that hold them, then the rest; equal ones by hash.
 1. Documents with equal sets are one, by two sums of hashes.
 2. The even n-grams of each set, a first fragment of the order, are counted across sets. A set can differ from a similar one in so many members
-   (``allowed``). One with more members that no other set holds has no partner and goes. Frequent n-grams are counted before any exchange.
+   (``allowed``). One with more members that no other set holds has no partner and goes. Frequent n-grams are counted by chunks of texts.
 3. Two similar sets share one of their first ``allowed + 1`` members in the order. The sets with a member among those in common form a
    star around the smallest id. No pairs are made.
 4. The components of the stars are families: no similar pair lies across two families. A family of more sets than a block is taken apart: on the first fragment of the
@@ -102,35 +102,88 @@ def _hot_buckets(docs: DataFrame, n: int, rows: int) -> list[int]:
     return [r["bucket"] for r in counts.where((F.col("bucket") >= 0) & (F.col("held") > bound)).select("bucket").collect()]
 
 
-def _grams(docs: DataFrame, n: int, parity: int, buckets: list[int] | None = None, inside: bool = False) -> DataFrame:
-    """``(gram, id)`` of the n-grams whose hash has that last bit; of those in ``buckets`` or outside them, where given."""
+def _members(part: pa.RecordBatch, n: int, parity: int, marked: np.ndarray | None = None, inside: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams whose hash has that last bit and the ids of their sets; of those in the ``marked`` buckets or outside them, where given."""
+    sets = [s[s & _U(1) == _U(parity)] for s in ngram_sets(part.column("text"), n)]
+    if marked is not None:
+        sets = [s[marked[(s >> _U(64 - BUCKET_BITS)).astype(np.int64)] == inside] for s in sets]
+    ids = np.repeat(part.column("doc_id").to_numpy(zero_copy_only=False), [len(s) for s in sets])
+    return signed(np.concatenate(sets)), ids.astype(np.int64)
+
+
+def _marked(buckets: list[int]) -> np.ndarray:
     marked = np.zeros(BUCKETS, bool)
-    marked[buckets or []] = True
+    marked[buckets] = True
+    return marked
+
+
+def _grams(docs: DataFrame, n: int, parity: int, buckets: list[int] | None = None) -> DataFrame:
+    """``(gram, id)`` of the n-grams whose hash has that last bit; only those outside the hot ``buckets``, where given."""
+    marked = None if buckets is None else _marked(buckets)
 
     def work(batch):
         for part in slices(batch, "text", 1 << 20):
-            sets = [s[s & _U(1) == _U(parity)] for s in ngram_sets(part.column("text"), n)]
-            if buckets is not None:
-                sets = [s[marked[(s >> _U(64 - BUCKET_BITS)).astype(np.int64)] == inside] for s in sets]
-            ids = np.repeat(part.column("doc_id").to_numpy(zero_copy_only=False), [len(s) for s in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sets))), pa.array(ids.astype(np.int64))], ["gram", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _members(part, n, parity, marked)], ["gram", "id"])
 
     return map_batches(docs, work, "gram long, id long")
 
 
+#: Members of a set that others hold too, with the number of sets.
+_SHARED = "array<struct<held:int,gram:bigint>>"
+
+
+def _chunks(docs: DataFrame, n: int, buckets: list[int]) -> DataFrame:
+    """The even n-grams in ``buckets``, one row for a few megabytes of text: ``own`` n-grams and their ``counts``, ``ids`` of the sets, their ``sizes``, and ``members`` as places in ``own``."""
+    marked = _marked(buckets)
+
+    def work(batch):
+        for part in slices(batch, "text", 1 << 22):
+            gram, ids = _members(part, n, 0, marked, True)
+            if len(gram):
+                own, members, counts = np.unique(gram, return_inverse=True, return_counts=True)
+                heads = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+                sizes = np.diff(np.append(heads, len(ids)))
+                columns = [(own, pa.int64()), (counts, pa.int32()), (ids[heads], pa.int64()), (sizes, pa.int32()), (members, pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.list_(kind)) for x, kind in columns], ["own", "counts", "ids", "sizes", "members"])
+
+    return map_batches(docs, work, "own array<long>, counts array<int>, ids array<long>, sizes array<int>, members array<int>")
+
+
+def _hot(docs: DataFrame, n: int, buckets: list[int]) -> DataFrame:
+    """``(id, many)``: of each set the n-grams in ``buckets`` that two sets or more hold.
+
+    The counts of a chunk's n-grams are added up over the chunks and come back to the chunk, whose sets then look them up. No join has a row per n-gram and set.
+    """
+    def work(batch):
+        for row in range(batch.num_rows):
+            own, ids, sizes, members = (batch.column(c)[row].values.to_numpy() for c in ("own", "ids", "sizes", "members"))
+            known = batch.column("known")[row].values
+            held = np.zeros(len(own), np.int32)
+            held[known.field("place").to_numpy()] = known.field("held").to_numpy()
+            keep = held[members] > 1
+            first = np.append(0, keep.cumsum())[np.append(0, sizes.cumsum())]
+            shared = pa.StructArray.from_arrays([pa.array(held[members][keep]), pa.array(own[members][keep])], ["held", "gram"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(first, pa.int32()), shared)], ["id", "many"])
+
+    chunks = staged(_chunks(docs, n, buckets).withColumn("chunk", F.monotonically_increasing_id()), "hot")
+    own = chunks.select("chunk", F.posexplode(F.arrays_zip("own", "counts")).alias("place", "one")).select("chunk", "place", F.col("one.own").alias("gram"), "one.counts")
+    held = small_side(own.groupBy("gram").agg(F.sum("counts").alias("held")).where("held > 1"))
+    known = own.join(held, "gram").groupBy("chunk").agg(F.collect_list(F.struct("place", "held")).alias("known"))
+    return map_batches(chunks.join(known, "chunk").select("own", "ids", "sizes", "members", "known"), work, f"id long, many {_SHARED}")
+
+
 def _counted(docs: DataFrame, n: int, rows: int) -> DataFrame:
-    """``(gram, id, held)`` of the even n-grams that two sets or more hold.
+    """``(id, shared)``: of each set the even n-grams that two sets or more hold, with the number of sets.
 
-    A window counts most of them, in one exchange. The rows of n-grams in a hot bucket stay where they are: their counts are added up before the exchange and
-    joined back, so no task reads all rows of a frequent n-gram.
+    A window counts most of them, in one exchange. The n-grams of a hot bucket are counted by chunks of texts, so no task reads all rows of a frequent n-gram.
     """
     buckets = _hot_buckets(docs, n, rows)
-    counted = _grams(docs, n, 0, buckets, False).withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("held > 1")
+    counted = _grams(docs, n, 0, buckets).withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("held > 1")
+    counted = counted.select("id", F.struct(F.col("held").cast("int").alias("held"), "gram").alias("one"))
     if not buckets:
-        return counted
-    hot = staged(_grams(docs, n, 0, buckets, True), "hot")
-    held = small_side(hot.groupBy("gram").agg(F.count(F.lit(1)).alias("held")).where("held > 1"))
-    return counted.unionByName(hot.join(held, "gram"))
+        return counted.groupBy("id").agg(F.collect_list("one").alias("shared"))
+    both = counted.withColumn("many", F.lit(None).cast(_SHARED)).unionByName(_hot(docs, n, buckets), allowMissingColumns=True)
+    return both.groupBy("id").agg(F.concat(F.collect_list("one"), F.flatten(F.collect_list("many"))).alias("shared"))
 
 
 def _prefixes(docs: DataFrame, reps: DataFrame, several: DataFrame, n: int, percent: int, few: int, hot: int) -> DataFrame:
@@ -140,7 +193,7 @@ def _prefixes(docs: DataFrame, reps: DataFrame, several: DataFrame, n: int, perc
     overlaps; the first ``wide`` members are those of them that at most ``few`` sets hold. A set with too few even members takes all of them and
     the odd ones, with ``wide`` 0, which lets all pairs pass. So do ids of ``several`` rows, whose members are counted together.
     """
-    per = _counted(docs, n, hot).groupBy("id").agg(F.collect_list(F.struct(F.col("held").cast("int").alias("held"), "gram")).alias("shared"))
+    per = _counted(docs, n, hot)
     first = reps.withColumn("allowed", F.floor(F.col("n") * (100 - percent) / 100)).join(per, reps["rep"] == per["id"], "left")
     first = first.join(several, reps["rep"] == several["mixed"], "left").withColumn("shared", F.sort_array(F.coalesce("shared", F.array()))).withColumns(
         {"alone": F.col("even") - F.size("shared"), "short": F.col("even") <= F.col("allowed")}
