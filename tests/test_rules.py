@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions import columns as C, keys as K
 from tidepanel.functions.quantiles import exact_quantiles
 from tidepanel.operators import forecast as FC, grid as G, horizon as H, joins as J, lags as L, metrics as M, peers as P, profile as R, tails as A, validation as V
+from tidepanel.plans import QUERIES
 
 
 def one(df):
@@ -75,6 +76,28 @@ def test_cells_of_a_one_file_list_of_entities_are_dealt(spark, panel):
     assert [r["amount"] for r in rows.where("entity_id = 7").orderBy("t").collect()] == [1.0, 2.0] + [0.0] * 8
 
 
+DENSE = (
+    "align_columns", "clip_range", "december_vs_rest", "densify_panel", "entity_stats", "feature_selection", "fill_sentinel", "fold_assignment", "growth_rate",
+    "join_boost", "join_yearly", "label_next", "lag_ratio",
+)
+
+
+@pytest.mark.parametrize("name", DENSE)
+def test_the_grid_of_a_query_is_dealt(spark, sf, monkeypatch, name):
+    """No query makes the cells of its panel from one file of entities in one task."""
+    made = []
+    original = G.grid
+
+    def grid(entities, lo, hi):
+        made.append(entities.select("entity_id").groupBy(F.spark_partition_id()).count())
+        return original(entities, lo, hi)
+
+    monkeypatch.setattr(G, "grid", grid)
+    QUERIES[name](spark, sf)
+    held = [[r["count"] for r in parts.collect()] for parts in made]
+    assert held and all(len(h) > 1 and max(h) < sum(h) for h in held)
+
+
 def test_no_leak(panel):
     a, b = panel({1: range(1, 31)}), panel({1: list(range(1, 21)) + [999] * 10})
     names = L.lag_feature_names() + ["ewm_6"]
