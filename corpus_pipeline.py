@@ -10,7 +10,7 @@ from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidepanel.llm.common import free_name, shared_ids, small_side, versioned
+from tidepanel.llm.common import bounded_batches, free_name, shared_ids, small_side, versioned
 from tidepanel.llm.lines import drop_lines
 from tidepanel.llm.ngram import ngram_join
 from tidepanel.llm.packing import pack
@@ -20,11 +20,12 @@ from tidepanel.session import drop_scratch, scratch_scope, staged
 
 
 def _step(stage):
-    """A stage that first deletes what the stage before it staged: its result is written by then."""
+    """A stage that first deletes what the stage before it staged: its result is written by then. Its Arrow batches are bounded by bytes."""
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         drop_scratch(spark, "stage")
+        bounded_batches(spark)
         with scratch_scope("stage"):
             return stage(spark, docs, sf_dir)
 

@@ -1,6 +1,7 @@
 """SQL twins of the text queries, and the stages against brute-force versions."""
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +59,28 @@ def test_stages_take_effect(spark, sf, tmp_path):
 def test_run(spark, sf):
     rows = CP.run(spark, sf).collect()
     assert rows and {"doc_id", "piece", "sequence_id", "offset"} <= set(rows[0].asDict())
+
+
+def test_stages_bound_the_bytes_of_a_batch(spark):
+    """Rows alone do not bound the memory of a worker: 800 texts of 16 KB are one batch of 10,000 rows at most."""
+    docs = spark.range(800).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a word "), 2300).alias("text")).coalesce(1)
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    rows = CP._step(lambda spark, docs, sf_dir: docs.mapInArrow(held, "n long, size long"))(spark, docs, "").collect()
+    assert sum(r["n"] for r in rows) == 800
+    assert max(r["size"] for r in rows) < 6 << 20
+
+
+def test_equal_lines_of_a_task_give_one_row_of_segments(spark):
+    """However its texts are dealt into batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.range(40).select(F.lit("one line that stands in every text of the task\nand a second one, as long as it has to be").alias("text")).coalesce(1)
+    spark.conf.set(name, "2")
+    try:
+        assert LN._segment_keys(docs, 2, 24).count() == 2
+    finally:
+        spark.conf.set(name, before)

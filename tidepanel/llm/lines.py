@@ -23,6 +23,8 @@ from tidepanel.session import staged
 
 MAX_EDITS = 2
 MIN_BYTES = 24
+#: Hashes of lines that a task keeps to tell equal lines.
+SEEN = 1 << 18
 
 _PAIR_BIT = np.uint64(1) << (mix64(np.arange(1 << 16, dtype=np.uint64) + np.uint64(77)) >> np.uint64(58))
 
@@ -148,13 +150,15 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 
 
 def _segment_keys(docs: DataFrame, edits: int, min_bytes: int) -> DataFrame:
-    """For each line that is long enough: hash, signature, index keys and probe keys; equal lines of a batch give one row."""
+    """For each line that is long enough: hash, signature, index keys and probe keys; of equal lines a task gives one row, or one for every ``SEEN`` lines."""
     digest = xxhash.xxh3_64_intdigest
 
-    def work(batch):
+    def run(batches):
         places: dict[int, tuple] = {}
         seen: set[int] = set()
-        for part in slices(batch, "text", 1 << 20):
+        for part in (part for batch in batches for part in slices(batch, "text", 1 << 20)):
+            if len(seen) > SEEN:
+                seen.clear()
             data, _, _, starts, ends = _line_bounds(part.column("text"))
             long = ends - starts >= min_bytes
             starts, ends = starts[long], ends[long]
@@ -195,7 +199,7 @@ def _segment_keys(docs: DataFrame, edits: int, min_bytes: int) -> DataFrame:
                 ["h", "sign", "own", "there"],
             )
 
-    return map_batches(docs, work, "h long, sign long, own array<long>, there array<long>")
+    return docs.mapInArrow(run, "h long, sign long, own array<long>, there array<long>")
 
 
 def near_lines(docs: DataFrame, first: DataFrame, edits: int = MAX_EDITS, min_bytes: int = MIN_BYTES) -> DataFrame:
