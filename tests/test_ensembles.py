@@ -187,3 +187,15 @@ def test_a_leaf_leads_to_itself(spark):
     df = spark.createDataFrame([(1, 1.0, 5.0), (2, 2.0, -1.0), (3, 2.0, None), (4, None, 0.0)], "i int, x double, y double")
     found = {r["i"]: r["p"] for r in E.NodeModel(nodes, ["y", "x"]).predict(df).collect()}
     assert found == {1: 18.0, 2: 19.0, 3: 20.0, 4: 19.0}
+
+
+@pytest.mark.parametrize("fit", [ML.fit_forest, ML.fit_zero_classifier])
+def test_forests_keep_nodes_from_level_to_level(spark, fit):
+    """No level walks the trees from their roots, and the trees are those that such walks give, also with rows that come twice."""
+    rng = np.random.default_rng(11)
+    rows = [(float(rng.integers(0, 30)), float(rng.normal()), float(max(rng.normal() + i % 3, 0.0))) for i in range(600)]
+    df = spark.createDataFrame([*rows, *rows[:200]], "a double, b double, y double")
+    kept, walked = (fit(df, ["a", "b"], numTrees=6, maxDepth=5, **more).model for more in ({}, {"cacheNodeIds": False}))
+    assert kept.getCacheNodeIds() and kept.getCheckpointInterval() == -1
+    trees = [m.toDebugString.split("\n", 1)[1] for m in (kept, walked)]
+    assert kept.totalNumNodes > 60 and trees[0] == trees[1]
