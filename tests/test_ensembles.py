@@ -7,7 +7,9 @@ import pytest
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
-from tidepanel.operators import ensembles as E, learn as ML, splits as S
+from tidepanel.operators import ensembles as E, learn as ML, splits as S, validation as V
+from tidepanel.plans import learned as L
+from tidepanel.session import scratch_path
 from tidepanel.sources import fixtures as X
 
 
@@ -179,6 +181,73 @@ def test_race_goes_on_with_the_best(spark, matrix):
     assert one["mean_score"] == pytest.approx(plain["mean_score"]) and one["rmse"] == pytest.approx(plain["rmse"])
 
 
+def test_race_adds_up_what_it_saved(spark, matrix, monkeypatch):
+    """Two rungs give what two models in memory give, one without trees left changes nothing, and a session without checkpoints gets them."""
+    asked = []
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
+    monkeypatch.setattr(type(spark.sparkContext), "setCheckpointDir", lambda self, path: asked.append(path))
+    params, (lo, hi, valid_lo, valid_hi) = {**ML.random_candidates(1)[0], "maxDepth": 3, "maxIter": 3}, (0, 54, 55, 66)
+    found = ML.race(matrix, ML.FEATURES, [params], rungs=(2, 4, 2), folds=((lo, hi, valid_lo, valid_hi),)).first()
+    assert (found["rung"], found["trees"]) == (2, 3)
+    assert [path.startswith(scratch_path(spark, "checkpoints")[:-12]) for path in asked] == [True]
+    train, valid = matrix.where(F.col("t").between(lo, hi)), matrix.where(F.col("t").between(valid_lo, valid_hi))
+    one = ML.fit_gbt(train, ML.FEATURES, **{**params, "maxIter": 2, "seed": 42})
+    rest = one.predict(train).withColumn("rest", F.col("y") - F.col("p")).drop("p")
+    two = ML.fit_gbt(rest, ML.FEATURES, "rest", **{**params, "maxIter": 1, "seed": 43})
+    pairs = two.predict(one.predict(valid, "a"), "b").select(F.lit(0).alias("fold"), "y", (F.col("a") + F.col("b")).alias("p"))
+    plain = ML.fold_report(pairs).first()
+    assert [found[m] for m in ML.MEASURES] == [pytest.approx(plain[m]) for m in ML.MEASURES]
+
+
+def test_random_search_runs_the_whole_race(spark, monkeypatch):
+    """Every trial that stays gets its trees, up to its own number, in every fold. Fits are stood in for, so that only the work asked for is counted."""
+    fitted = []
+
+    class Zero:
+        """In place of a fitted model."""
+
+        model = property(lambda self: self)
+
+        def write(self):
+            return self
+
+        def save(self, path):
+            pass
+
+        @staticmethod
+        def load(path):
+            return Zero()
+
+        def setPredictionCol(self, name):
+            self.name = name
+            return self
+
+        def transform(self, df):
+            return df.withColumn(self.name, F.lit(0.0))
+
+        def predict(self, df, name="p"):
+            return self.setPredictionCol(name).transform(df)
+
+    def fit(df, cols, y, **params):
+        fitted.append(params["maxIter"])
+        return Zero()
+
+    rows = spark.createDataFrame([(e, t, float(t)) for e in range(2) for t in range(12, 67)], "entity_id long, t int, y double")
+    rows = rows.withColumns({c: F.col("y") for c in ML.FEATURES}).coalesce(1).persist()
+    monkeypatch.setattr(ML, "fit_gbt", fit)
+    monkeypatch.setattr(ML, "GBTRegressionModel", Zero)
+    monkeypatch.setattr(L, "_history", lambda spark, d: None)
+    monkeypatch.setattr(L, "_matrix", lambda panel: rows)
+    found = L.random_search(spark, "").orderBy("trial").collect()
+    wanted = ML.random_candidates(40)
+    assert [r["maxIter"] for r in found] == [c["maxIter"] for c in wanted] and min(r["maxIter"] for r in found) >= 300
+    # equal scores keep the order of the trials: 40, 20, 10, 5 and 3 of them run
+    assert [r["rung"] for r in found] == [4] * 3 + [3] * 2 + [2] * 5 + [1] * 10 + [0] * 20
+    assert [r["trees"] for r in found] == [min((75, 150, 300, 600, 1200)[r["rung"]], r["maxIter"]) for r in found]
+    assert sum(fitted) == len(V.FOLDS) * sum(r["trees"] for r in found)
+    assert [r["trial"] for r in found if r["chosen"]] == [0]
+
+
 def test_a_leaf_leads_to_itself(spark):
     """A root that is a leaf, a shallow leaf and a gap give what a walk gives, however many steps the ensemble has."""
     inner, leaf = (0, 0.5, 0, "x", 1.0, 1, 2, 9.0, 5), (0, 0.5, 1, None, None, None, None, 2.0, 5)
